@@ -26,9 +26,9 @@ LOWER[65:91] += 32
 #: [^\x20\x09-\x0D]
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
-#: [^\x00-\x2F\x3A-\x60\x7B-\x7F]
+#: [^\x00-\x2F\x3A-\x60\x7B-\x7F] of the lower-cased text, so A-Z count
 ALNUM = np.ones(256, dtype=bool)
-for _a, _b in ((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)):
+for _a, _b in ((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)):
     ALNUM[_a : _b + 1] = False
 
 _powers = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
@@ -98,7 +98,7 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of h[i:i+n] for each i that has n words after it in the array."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    g = np.full(len(h) - n + 1, U(n) * U(0x2545F4914F6CDD1D))
+    g = np.full(len(h) - n + 1, U(n * 0x2545F4914F6CDD1D % 2**64))
     for j in range(n):
         g += h[j : len(h) - n + 1 + j] * _GRAM[j]
     return mix(g)

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -39,18 +39,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sorted_chunks(ids: DataFrame, bound: int = BROADCAST_ENTRIES) -> Iterator[np.ndarray]:
-    """The distinct longs of a one-column table as sorted arrays of about ``bound`` entries at most.
-
-    The count is taken first. A larger table is read in slices of its hash, one slice at a time.
-    """
+def set_slices(ids: DataFrame, bound: int = BROADCAST_ENTRIES) -> tuple[int, Callable[[int], np.ndarray]]:
+    """The distinct longs of a one-column table, counted first: how many slices of about ``bound`` entries, and a reader of the kth, sorted."""
     name = ids.columns[0]
     ids = ids.where(F.col(name).isNotNull()).distinct()
-    n = ids.count()
-    slices = -(-n // bound) if n else 0
-    for k in range(slices):
-        part = ids if slices == 1 else ids.where(F.pmod(F.xxhash64(name, F.lit("slice")), F.lit(slices)) == k)
-        yield np.sort(np.array(part.toPandas()[name], dtype=np.int64))
+    n = max(1, -(-ids.count() // bound))
+
+    def read(k: int) -> np.ndarray:
+        part = ids if n == 1 else ids.where(F.pmod(F.xxhash64(name, F.lit("slice")), F.lit(n)) == k)
+        return np.sort(np.array(part.toPandas()[name], dtype=np.int64))
+
+    return n, read
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id", bound: int = BROADCAST_ENTRIES) -> DataFrame:
@@ -65,10 +64,17 @@ def without_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id", bound:
     return docs.join(F.broadcast(ids), docs[column] == ids["__id"], "left_anti")
 
 
-def apply_in_passes(docs: DataFrame, chunks: list, scan: Callable[[DataFrame, object], DataFrame], name: str) -> DataFrame:
-    """Apply ``scan`` once for each chunk of a set; between passes the table is written, so that one chunk is held at a time."""
-    for k, chunk in enumerate(chunks):
-        docs = scan(docs, chunk)
-        if k + 1 < len(chunks):
+def look_up(docs: DataFrame, values: DataFrame, bound: int = BROADCAST_ENTRIES) -> DataFrame:
+    """Left join ``values(doc_id unique, ...)`` to ``docs``: sent to the executors if of ``bound`` rows at most, else by a shuffle."""
+    values = values.withColumnRenamed("doc_id", "__id")
+    side = F.broadcast(values) if values.count() <= bound else values.hint("shuffle_merge")
+    return docs.join(side, docs["doc_id"] == values["__id"], "left").drop("__id")
+
+
+def apply_in_passes(docs: DataFrame, n: int, chunk: Callable[[int], object], scan: Callable[[DataFrame, object], DataFrame], name: str) -> DataFrame:
+    """Apply ``scan`` once for each of ``n`` chunks of a set; between passes the table is written, so that one chunk is held at a time."""
+    for k in range(n):
+        docs = scan(docs, chunk(k))
+        if k + 1 < n:
             docs = materialize(docs, name)
     return docs
