@@ -5,12 +5,14 @@ source's expected tokens meet its target, the one of least relative entropy to t
 r = 2 / (1 + exp(-lambda_source * size / mean size)): rates are tilted exponentially in size (in the odds, which
 keeps them below 2). The dual is one convex problem for each source; its Newton steps are kept inside a bracket
 and run for all sources at once over the counts of (source, size), never on the driver. Rates become whole
-copies by carrying each document's fraction on to the next of its bucket, in the order of size, so that a
-source's total misses its target by a few documents at most.
+copies by carrying what each document's fraction leaves owed on to the next of its bucket, from the largest down,
+so that a source's total misses its target by about half of a small document for each bucket.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,18 +115,32 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     lam = tilts(histogram, goals.drop("rows"), most)
     goals = materialize(lam.alias("l").join(goals.select("source", "rows").alias("g"), F.col("l.source").eqNullSafe(F.col("g.source"))).select("l.*", "rows"), "goals")
     rows = sized.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select(
-        "d.doc_id", "d.source", "d.size", F.col("total").alias("source_size"), "target", _rate(F.col("lam"), F.col("d.size") / F.col("mean"), most).alias("rate"),
+        F.col("d.doc_id").cast("long").alias("doc_id"), "d.source", "d.size", F.col("total").alias("source_size"), "target", _rate(F.col("lam"), F.col("d.size") / F.col("mean"), most).alias("rate"),
         F.ceil(F.col("rows") / BUCKET_ROWS).alias("buckets"),
     )
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), "buckets"))
-    order = Window.partitionBy("source", "bucket").orderBy("size", "doc_id")
-    part = F.col("rate") - F.floor("rate")
-    upto = F.sum(part).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    # half a copy is owed at the start; a document takes one more where the running sum of fractions passes a whole number
-    more = F.floor(upto + 0.5) - F.floor(upto - part + 0.5)
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.least(F.lit(most), F.greatest(F.lit(0), F.floor("rate") + more))).cast("long")
-    rows = rows.withColumn("copies", copies)
-    return rows.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = "doc_id long, source string, size long, source_size long, target double, rate double, copies long, taken long"
+    return rows.groupBy("source", "bucket").applyInArrow(_round(most), out)
+
+
+def _round(most: int):
+    """Whole copies for a bucket, from the largest document down: a document takes its fraction as a copy where half of its size
+    or more is owed by then, so that what stays owed at the end is about half of a small document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("size", "descending"), ("doc_id", "ascending")])
+        owed, copies = 0.0, []
+        for size, rate in zip(table["size"].to_pylist(), table["rate"].to_pylist()):
+            whole = min(most, int(rate))
+            owed += (rate - whole) * size
+            if size and whole < most and owed >= size / 2:
+                whole, owed = whole + 1, owed - size
+            copies.append(whole if size else 1)
+        n = pa.array(copies, pa.int64())
+        names = ["doc_id", "source", "size", "source_size", "target", "rate"]
+        return pa.table([*(table[c] for c in names), n, pc.multiply(n, table["size"])], names=[*names, "copies", "taken"])
+
+    return run
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
