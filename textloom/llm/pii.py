@@ -228,9 +228,9 @@ def sanitise(docs: DataFrame, remove: bool = False, **thresholds) -> DataFrame:
     return found.mapInArrow(run, found.schema).select(*docs.columns)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, **thresholds) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term)``, a row per document."""
-    found = annotate(docs.select("doc_id", "text"))
+    found = annotate(docs.select("doc_id", "text"), **thresholds)
     listed = lambda some: F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [of(k) for k in KINDS]

@@ -52,13 +52,13 @@ def _strength(groups: DataFrame, level: str) -> DataFrame:
     """One row: the prior strength of a level, and the overall rate."""
     g = groups.where("n > 0").withColumn("p", F.col("k") / F.col("n"))
     s = g.agg(
-        F.count("*").alias("K"), F.sum("n").alias("N"), F.sum(F.col("n") * F.col("n")).alias("N2"), F.sum("k").alias("k"),
-        F.sum(F.col("k") * F.col("p")).alias("kp"), F.sum(F.col("k") * (1 - F.col("p"))).alias("within"),
+        F.count("*").alias("groups"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum("k").alias("bad"),
+        F.sum(F.col("k") * F.col("p")).alias("between"), F.sum(F.col("k") * (1 - F.col("p"))).alias("within"),
     )
-    mu = F.coalesce(F.try_divide("k", "N"), F.lit(0.0))
-    msb = F.try_divide(F.col("kp") - F.col("k") * mu, F.col("K") - 1)
-    msw = F.try_divide("within", F.col("N") - F.col("K"))
-    size = F.try_divide(F.col("N") - F.try_divide("N2", "N"), F.col("K") - 1)
+    mu = F.coalesce(F.try_divide("bad", "total"), F.lit(0.0))
+    msb = F.try_divide(F.col("between") - F.col("bad") * mu, F.col("groups") - 1)
+    msw = F.try_divide("within", F.col("total") - F.col("groups"))
+    size = F.try_divide(F.col("total") - F.try_divide("squares", "total"), F.col("groups") - 1)
     rho = F.least(F.lit(0.5), F.greatest(F.lit(0.001), F.coalesce(F.try_divide(msb - msw, msb + (size - 1) * msw), F.lit(0.01))))
     return s.select(((1 - rho) / rho).alias(f"m_{level}"), mu.alias("mu"))
 
