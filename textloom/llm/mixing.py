@@ -70,11 +70,13 @@ def tilts(histogram: DataFrame, goals: DataFrame, most: int = MOST, rounds: int
         F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), (done | (F.col("total") == 0)).alias("ok"),
     )
     state = materialize(state, "tilts")
+    # decimal sums do not depend on the order of the rows, so reruns agree to the last bit
+    exact = lambda v: F.sum(v.cast("decimal(38,9)")).cast("double")
     for _ in range(rounds):
         x = F.col("size") / F.col("mean")
         r = _rate(F.col("lam"), x, most)
         sums = histogram.alias("h").join(state.where("not ok").alias("g"), same).groupBy("g.source").agg(
-            F.sum(F.col("n") * F.col("size") * r).alias("have"), F.sum(F.col("n") * F.col("size") * x * r * (1 - r / most)).alias("slope")
+            exact(F.col("n") * F.col("size") * r).alias("have"), exact(F.col("n") * F.col("size") * x * r * (1 - r / most)).alias("slope")
         )
         new = state.alias("g").join(sums.alias("h"), same, "left").select("g.*", "have", "slope")
         over = F.col("have") > F.col("target")
