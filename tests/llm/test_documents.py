@@ -307,7 +307,7 @@ def test_disclosing_terms(spark):
     for k in range(400):
         rows.append(" ".join(rng.choice(common) for _ in range(20)))
     for k in range(6):
-        rows.append(f"zorblat said to call with {rng.choice(common)} number {k} at zed@site.org and the rest")
+        rows.append(f"zorblat said to call {rng.choice(common)} number {k} at zed@site.org and the rest")
     frame = spark.createDataFrame(list(enumerate([*rows, None])), "doc_id long, text string")
     hits = {r.term: r for r in pii.disclosing_terms(frame, bits=5.0).collect()}
     h = kernel.words(np.frombuffer(b"zorblat", np.uint8), np.array([0, 7]), kernel.ALNUM)[0]
