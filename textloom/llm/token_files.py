@@ -12,9 +12,12 @@ compressed parts; the parts: doc_ids (int64), which of them are null (bits), len
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,9 @@ BLOCK = 512
 SHARD_TOKENS = 8_000_000
 RANGE_CHARS = 48_000_000
 MOST_RANGES = 4096
-MOST_WORDS = 1_000_000
+MOST_WORDS = 1_200_000
+_SEPARATOR = re.compile("[\x1c-\x1f]")
+_BEYOND_LATIN = re.compile("[\u0130\u0250-\U0010ffff]")
 
 
 class WaveletFile:
@@ -157,7 +162,7 @@ class Encoder:
     ``by_word``: for tokenizers whose pre-tokenizer drops white space and whose normaliser works within words, so
     that a text's ids are those of its words in turn. Words are then encoded once and remembered, up to
     ``MOST_WORDS``; later new ones are encoded each time. Texts with the separators U+001C-1F, at which Python splits and
-    the tokenizer does not, are encoded whole.
+    the tokenizer does not, are encoded whole. ``lowers``: the tokenizer lower-cases (read off its file), so words are remembered in lower case.
     """
 
     def __init__(self, path: str, by_word: bool):
@@ -167,17 +172,20 @@ class Encoder:
         self._tok = Tokenizer.from_file(path)
         self.kind = np.uint16 if self._tok.get_vocab_size() <= 1 << 16 else np.uint32
         self._by_word, self._known = by_word, {}
+        self._lowers = '"Lowercase"' in (self._tok.normalizer.__getstate__().decode() if self._tok.normalizer else "")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.kind is np.uint16 else "I"
+        return [array(code, e.ids).tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self._by_word:
             return self._whole(texts)
         known = self._known
-        odd = [k for k, t in enumerate(texts) if not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f")]
-        split = [t.split() for t in texts]
-        new = list({w for ws in split for w in ws if w not in known})
+        odd = [k for k, t in enumerate(texts) if _SEPARATOR.search(t)]
+        # letters of the Latin blocks have one lower case of one letter, so forms that differ in case share an entry
+        split = [(t if not self._lowers or "<|" in t or not t.isascii() and _BEYOND_LATIN.search(t) else t.lower()).split() for t in texts]
+        new = list(set(chain.from_iterable(split)).difference(known))
         extra = dict(zip(new, self._whole(new)))
         if len(known) + len(extra) <= MOST_WORDS:
             known.update(extra)
