@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files
-from .runtime import fresh_path, materialize
+from .runtime import BROADCAST_ENTRIES, fresh_path, materialize
 
 MAGIC = b"TLWM"
 HEAD = struct.Struct("<4sHHQQI")
@@ -293,6 +293,9 @@ def read_digests(manifest: DataFrame) -> DataFrame:
     ranges = ranges.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("base"))
     shards = manifest.select("range", "seq", (F.sum("n_tokens").over(Window.partitionBy("range").orderBy("seq")) - F.col("n_tokens")).alias("before"))
     shards = shards.join(ranges, "range").select("range", "seq", (F.col("base") + F.col("before")).alias("base"))
+    # the planner takes what is read from the files for as small as their names: it must not be the side that is sent
+    small = manifest.count() <= BROADCAST_ENTRIES // 40
+    shards = F.broadcast(shards) if small else shards.hint("shuffle_merge")
     return docs.join(shards, ["range", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -230,7 +230,8 @@ def archive(pages: DataFrame, time: Column | None = None) -> DataFrame:
     index = merge_runs(runs)
     back = read(runs.select(F.col("run").alias("path")).distinct())
     at = index.select(F.col("run").alias("path"), "offset", "url_key", "part", "nth")
-    return back.join(at, ["path", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "part", "nth")
+    # both sides grow with the pages, though the planner sees only file names on one
+    return back.hint("shuffle_merge").join(at, ["path", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "part", "nth")
 
 
 ORACLE_SQL = """
