@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .runtime import apply_in_passes
+from .runtime import apply_in_passes, releasing
 
 #: Bytes of test text whose windows are broadcast at once (a window takes about 100 bytes for each word of text).
 MOST_BYTES = 8_000_000
@@ -110,7 +110,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_bytes: int = M
                 names = batch.schema.names
                 yield pa.record_batch([new.get(c, batch.column(k)) for k, c in enumerate(names)], names=names)
 
-        return d.mapInArrow(run, schema)
+        return d.mapInArrow(releasing(run), schema)
 
     return apply_in_passes(docs, slices, windows, one_pass, "scanned")
 
@@ -152,4 +152,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_bytes:
             names = batch.schema.names
             yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else batch.column(k) for k, c in enumerate(names)], names=names)
 
-    return found.mapInArrow(run, found.schema).select(*docs.columns)
+    return found.mapInArrow(releasing(run), found.schema).select(*docs.columns)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import apply_in_passes, look_up, materialize, set_slices
+from .runtime import apply_in_passes, look_up, materialize, releasing, set_slices
 
 MIN_SITES = 5
 LG_K = 10
@@ -72,7 +72,7 @@ def cut_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_
                 names = batch.schema.names
                 yield pa.record_batch([new.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
 
-        return d.mapInArrow(run, schema)
+        return d.mapInArrow(releasing(run), schema)
 
     return apply_in_passes(docs, n, read, one_pass, "cut")
 

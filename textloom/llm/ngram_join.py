@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .components import components
-from .runtime import materialize, without_ids
+from .runtime import materialize, releasing, without_ids
 
 #: Shingles packed together by a task, and sets of one side in a tree.
 BLOCK_SHINGLES = 2_000_000
@@ -170,7 +170,7 @@ def ordered_sets(docs: DataFrame, n_words: int = 5, threshold: tuple[int, int] =
     global order, or null where too few are shared for any link to a different text or a copy."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = min(12, max(6, math.ceil(math.log2(2 * parts))))
-    ranged = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_hash_pass(n_words, bits), _RANGED)
+    ranged = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(_hash_pass(n_words, bits)), _RANGED)
     numbered = ranged.groupBy("r").applyInArrow(_count_range, _RANGED)
     return numbered.groupBy("blk").applyInArrow(_gather_block(*threshold), _SETS)
 
@@ -332,7 +332,7 @@ def similar_components(docs: DataFrame, n_words: int = 5, threshold: tuple[int,
                 sigs += [r["sig"]] * min(k, len(t))
             yield pa.record_batch([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(sigs, pa.binary())], names=["key", "sig"])
 
-    posted = sets.select("sig", "n", "toks").mapInArrow(post, "key long, sig binary")
+    posted = sets.select("sig", "n", "toks").mapInArrow(releasing(post), "key long, sig binary")
     several = posted.groupBy("key").agg(F.min("sig").alias("pivot"), F.count("*").alias("k")).where("k > 1").drop("k")
     posted = materialize(posted.join(several, "key"), "posted")
 
@@ -341,7 +341,7 @@ def similar_components(docs: DataFrame, n_words: int = 5, threshold: tuple[int,
         best = tries.groupBy("sig", "pivot").count().groupBy("sig").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
         held = best.join(sets.select("sig", "n", "toks"), "sig")
         probes = sets.select(F.col("sig").alias("pivot"), F.col("n").alias("p_n"), F.col("toks").alias("p_toks"))
-        return held.join(probes, "pivot").sortWithinPartitions("pivot").mapInArrow(_try_pivots(num, den), "u binary, v binary")
+        return held.join(probes, "pivot").sortWithinPartitions("pivot").mapInArrow(releasing(_try_pivots(num, den)), "u binary, v binary")
 
     def labelled(roots: DataFrame) -> DataFrame:
         """Postings under shingles whose sets lie in several components."""
@@ -394,7 +394,7 @@ def _exhaust(mixed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     rows = rows.select("key", "sig", "comp", F.explode(meets).alias("m")).select("key", "sig", "comp", "m.*")
     rows = rows.join(sets.select("sig", "n", "toks"), "sig")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    return rows.mapInArrow(_join_blocks(num, den), "u binary, v binary")
+    return rows.mapInArrow(releasing(_join_blocks(num, den)), "u binary, v binary")
 
 
 def keep_one(docs: DataFrame, n_words: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .runtime import apply_in_passes, materialize, set_slices
+from .runtime import apply_in_passes, materialize, releasing, set_slices
 
 WINDOW, SUPPORT, SHARE, BITS = 8, 3, 0.5, 10.0
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -109,7 +109,7 @@ def _context_pass(batches):
 
 def disclosing_terms(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
     """``(term, entity, near, uses, share, bits)``: terms (by hash) over the thresholds, from counts over all texts."""
-    seen = materialize(docs.select("text").mapInArrow(_context_pass, "entity long, term long, line long").groupBy("entity", "term", F.when(F.col("entity").isNotNull(), F.col("line")).alias("line")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("entity").isNull(), F.col("line"))).alias("words")), "contexts")
+    seen = materialize(docs.select("text").mapInArrow(releasing(_context_pass), "entity long, term long, line long").groupBy("entity", "term", F.when(F.col("entity").isNotNull(), F.col("line")).alias("line")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("entity").isNull(), F.col("line"))).alias("words")), "contexts")
     words = seen.where("entity is null").agg(F.sum("words")).first()[0] or 0
     pairs = seen.where("entity is not null").groupBy("entity", "term").agg(F.sum("n").alias("near"), F.count("*").alias("lines"))
     mass = pairs.groupBy("entity").agg(F.sum("near").alias("mass"))
@@ -160,7 +160,7 @@ def _count_uses(docs: DataFrame, terms: np.ndarray) -> DataFrame:
         some = np.flatnonzero(n)
         yield pa.record_batch([pa.array(sent.value[some]), pa.array(n[some])], names=["term", "uses"])
 
-    return docs.select("text").mapInArrow(run, "term long, uses long").groupBy("term").agg(F.sum("uses").alias("uses"))
+    return docs.select("text").mapInArrow(releasing(run), "term long, uses long").groupBy("term").agg(F.sum("uses").alias("uses"))
 
 
 def annotate(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
@@ -202,7 +202,7 @@ def annotate(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits
                 names = batch.schema.names
                 yield pa.record_batch([pa.array(spans, kind) if c == "_spans" else batch.column(k) for k, c in enumerate(names)], names=names)
 
-        return d.mapInArrow(run, schema)
+        return d.mapInArrow(releasing(run), schema)
 
     return apply_in_passes(docs, n, read, one_pass, "annotated")
 
@@ -225,7 +225,7 @@ def sanitise(docs: DataFrame, remove: bool = False, **thresholds) -> DataFrame:
             names = batch.schema.names
             yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(names)], names=names)
 
-    return found.mapInArrow(run, found.schema).select(*docs.columns)
+    return found.mapInArrow(releasing(run), found.schema).select(*docs.columns)
 
 
 def report(docs: DataFrame, **thresholds) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files
-from .runtime import BROADCAST_ENTRIES, fresh_path, materialize
+from .runtime import BROADCAST_ENTRIES, fresh_path, materialize, releasing
 
 MAGIC = b"TLWM"
 HEAD = struct.Struct("<4sHHQQI")
@@ -34,7 +34,7 @@ BLOCK = 512
 SHARD_TOKENS = 8_000_000
 RANGE_CHARS = 48_000_000
 MOST_RANGES = 4096
-MOST_WORDS = 1_200_000
+MOST_WORDS = 600_000
 _SEPARATOR = re.compile("[\x1c-\x1f]")
 _BEYOND_LATIN = re.compile("[\u0130\u0250-\U0010ffff]")
 
@@ -266,9 +266,9 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, by_word: boo
     cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n)}) if n > 1 else []
     where = F.coalesce(F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
     rows = docs.select(where.cast("int").alias("range"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.mapInArrow(_encode_pass(path, by_word, end_id), "range int, doc_id long, ids binary")
+    rows = rows.mapInArrow(releasing(_encode_pass(path, by_word, end_id)), "range int, doc_id long, ids binary")
     rows = rows.repartition(n, "range").sortWithinPartitions("range", "doc_id", "ids")
-    return materialize(rows.mapInArrow(_write_pass(folder, end_id, wide, shard_tokens), "path string, range int, seq int, n_docs long, n_tokens long"), "manifest")
+    return materialize(rows.mapInArrow(releasing(_write_pass(folder, end_id, wide, shard_tokens)), "path string, range int, seq int, n_docs long, n_tokens long"), "manifest")
 
 
 def read_digests(manifest: DataFrame) -> DataFrame:
@@ -288,7 +288,7 @@ def read_digests(manifest: DataFrame) -> DataFrame:
                 )
 
     files_apart = manifest.select("path", "range", "seq").repartition(max(1, manifest.count()), "path")
-    docs = files_apart.mapInArrow(run, "range int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    docs = files_apart.mapInArrow(releasing(run), "range int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     ranges = manifest.groupBy("range").agg(F.sum("n_tokens").alias("n"))  # MOST_RANGES rows at most
     ranges = ranges.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("base"))
     shards = manifest.select("range", "seq", (F.sum("n_tokens").over(Window.partitionBy("range").orderBy("seq")) - F.col("n_tokens")).alias("before"))

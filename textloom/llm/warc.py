@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .runtime import BROADCAST_ENTRIES, fresh_path, materialize
+from .runtime import BROADCAST_ENTRIES, fresh_path, materialize, releasing
 
 MIN_REVISIT = 100
 #: Compressed bytes of an archive file, about.
@@ -170,7 +170,7 @@ def write(pages: DataFrame, folder: str, time: Column | None = None, file_bytes:
     refers = F.when((F.col("bytes") >= MIN_REVISIT) & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     when = F.date_format(F.timestamp_seconds("time"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rows = rows.select("page_id", F.coalesce("url", F.lit("")).alias("url"), "html", "digest", "time", when.alias("when"), refers.alias("refers_to"))
-    return materialize(rows.mapInArrow(_write_pass(folder, file_bytes), _RUN), "runs")
+    return materialize(rows.mapInArrow(releasing(_write_pass(folder, file_bytes)), _RUN), "runs")
 
 
 def merge_runs(runs: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -200,7 +200,7 @@ def merge_runs(runs: DataFrame, partitions: int | None = None) -> DataFrame:
 
     parts = partitions or int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = runs.repartitionByRange(parts, "url_key", "time", "page_id", "run", "offset").sortWithinPartitions("run", "seq")
-    return ranged.mapInArrow(run, "part int, nth long, url_key string, time long, page_id long, run string, offset long, length long")
+    return ranged.mapInArrow(releasing(run), "part int, nth long, url_key string, time long, page_id long, run string, offset long, length long")
 
 
 def read(paths: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def read(paths: DataFrame) -> DataFrame:
                     rows.append((path, at, number("X-Page-Id"), _unheader(f["WARC-Target-URI"]), size, digest, f["WARC-Type"], number("X-Refers-To-Page-Id")))
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return paths.repartition(max(1, paths.count()), "path").mapInArrow(run, _BACK)
+    return paths.repartition(max(1, paths.count()), "path").mapInArrow(releasing(run), _BACK)
 
 
 def archive(pages: DataFrame, time: Column | None = None) -> DataFrame:
