@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import materialize, releasing
 
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET, HISTORY = 1024, 256
@@ -126,7 +126,7 @@ def format_conversations(rows: DataFrame, budget: int = BUDGET, history: int = H
     """
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return rows.mapInArrow(_format_pass(budget, history, count), _WINDOW)
+    return rows.mapInArrow(releasing(_format_pass(budget, history, count)), _WINDOW)
 
 
 def _read_pass(batches):
@@ -169,7 +169,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """``(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)`` from the windows alone: turns and losses in
     code points of the unescaped texts, formatted characters of all windows."""
     rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "window").select("conv_id", "formatted", "n_repeated", "loss")
-    return rows.mapInArrow(_read_pass, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(releasing(_read_pass), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def round_trip(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
