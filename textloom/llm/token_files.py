@@ -37,6 +37,9 @@ MOST_RANGES = 4096
 MOST_WORDS = 600_000
 _SEPARATOR = re.compile("[\x1c-\x1f]")
 _BEYOND_LATIN = re.compile("[\u0130\u0250-\U0010ffff]")
+#: Latin letters and at most one mark after them: such words lie side by side in one text for the tokenizer.
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[.,;:!?]?")
+_TOGETHER = 200
 
 
 class WaveletFile:
@@ -162,7 +165,8 @@ class Encoder:
     ``by_word``: for tokenizers whose pre-tokenizer drops white space and whose normaliser works within words, so
     that a text's ids are those of its words in turn. Words are then encoded once and remembered, up to
     ``MOST_WORDS``; later new ones are encoded each time. Texts with the separators U+001C-1F, at which Python splits and
-    the tokenizer does not, are encoded whole. ``lowers``: the tokenizer lower-cases (read off its file), so words are remembered in lower case.
+    the tokenizer does not, are encoded whole. If the model marks the ends of words (``end_of_word_suffix``), new plain words are
+    encoded many to a text and told apart by those ends; should their number not be as expected, one by one. ``lowers``: the tokenizer lower-cases (read off its file), so words are remembered in lower case.
     """
 
     def __init__(self, path: str, by_word: bool):
@@ -172,12 +176,31 @@ class Encoder:
         self._tok = Tokenizer.from_file(path)
         self.kind = np.uint16 if self._tok.get_vocab_size() <= 1 << 16 else np.uint32
         self._by_word, self._known = by_word, {}
+        suffix = getattr(self._tok.model, "end_of_word_suffix", None)
+        self._ends = np.zeros(self._tok.get_vocab_size(), bool)
+        self._ends[[k for w, k in self._tok.get_vocab().items() if suffix and w.endswith(suffix)]] = True
         self._lowers = '"Lowercase"' in (self._tok.normalizer.__getstate__().decode() if self._tok.normalizer else "")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.kind is np.uint16 else "I"
         return [array(code, e.ids).tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each of some distinct words."""
+        plain = list(filter(_PLAIN.fullmatch, words)) if self._ends.any() else []
+        out = {}
+        if plain:
+            together = self._whole([" ".join(plain[a : a + _TOGETHER]) for a in range(0, len(plain), _TOGETHER)])
+            raw = b"".join(together)
+            at = np.flatnonzero(self._ends[np.frombuffer(raw, self.kind)]) + 1
+            last = np.cumsum([1 if w.isalpha() else 2 for w in plain]) - 1  # letters are one piece, a mark is another
+            if len(at) == last[-1] + 1:
+                to = (at[last] * self.kind().itemsize).tolist()
+                out = dict(zip(plain, [raw[a:b] for a, b in zip([0, *to], to)]))
+        rest = [w for w in words if w not in out] if out else words
+        out.update(zip(rest, self._whole(rest)))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self._by_word:
             return self._whole(texts)
@@ -186,7 +209,7 @@ class Encoder:
         # letters of the Latin blocks have one lower case of one letter, so forms that differ in case share an entry
         split = [(t if not self._lowers or "<|" in t or not t.isascii() and _BEYOND_LATIN.search(t) else t.lower()).split() for t in texts]
         new = list(set(chain.from_iterable(split)).difference(known))
-        extra = dict(zip(new, self._whole(new)))
+        extra = self._words(new)
         if len(known) + len(extra) <= MOST_WORDS:
             known.update(extra)
             get = known.__getitem__
