@@ -17,7 +17,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,10 @@ MOST_RANGES = 4096
 MOST_WORDS = 600_000
 _SEPARATOR = re.compile("[\x1c-\x1f]")
 _BEYOND_LATIN = re.compile("[\u0130\u0250-\U0010ffff]")
-#: Latin letters and at most one mark after them: such words lie side by side in one text for the tokenizer.
-_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[.,;:!?]?")
+#: Latin letters and the marks after them: the letters of many such words lie side by side in one text for the model.
+_PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u024f]+)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)")
+_MARKS = [*"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~", "...", ",%%%", "!!"]
+MOST_MARKS = 10_000
 _TOGETHER = 200
 
 
@@ -165,8 +167,9 @@ class Encoder:
     ``by_word``: for tokenizers whose pre-tokenizer drops white space and whose normaliser works within words, so
     that a text's ids are those of its words in turn. Words are then encoded once and remembered, up to
     ``MOST_WORDS``; later new ones are encoded each time. Texts with the separators U+001C-1F, at which Python splits and
-    the tokenizer does not, are encoded whole. If the model marks the ends of words (``end_of_word_suffix``), new plain words are
-    encoded many to a text and told apart by those ends; should their number not be as expected, one by one. ``lowers``: the tokenizer lower-cases (read off its file), so words are remembered in lower case.
+    the tokenizer does not, are encoded whole. If the model marks the ends of words (``end_of_word_suffix``) and every Latin letter,
+    with marks after it, gives the same ids so, new lower-case words of Latin letters go to the model many to a text and are
+    told apart by those ends, the marks' ids follow; else they are encoded one by one. ``lowers``: the tokenizer lower-cases (read off its file), so words are remembered in lower case.
     """
 
     def __init__(self, path: str, by_word: bool):
@@ -176,27 +179,49 @@ class Encoder:
         self._tok = Tokenizer.from_file(path)
         self.kind = np.uint16 if self._tok.get_vocab_size() <= 1 << 16 else np.uint32
         self._by_word, self._known = by_word, {}
-        suffix = getattr(self._tok.model, "end_of_word_suffix", None)
-        self._ends = np.zeros(self._tok.get_vocab_size(), bool)
-        self._ends[[k for w, k in self._tok.get_vocab().items() if suffix and w.endswith(suffix)]] = True
+        self._bare, self._ends, self._mark = None, np.zeros(0, bool), {}
         self._lowers = '"Lowercase"' in (self._tok.normalizer.__getstate__().decode() if self._tok.normalizer else "")
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+        if by_word:
+            self._find_ends(path)
+
+    def _find_ends(self, path: str) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        suffix = getattr(self._tok.model, "end_of_word_suffix", None)
+        if not suffix:
+            return
+        self._ends = np.zeros(self._tok.get_vocab_size(), bool)
+        self._ends[[k for w, k in self._tok.get_vocab().items() if w.endswith(suffix)]] = True
+        bare = Tokenizer.from_file(path)
+        bare.normalizer = None
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        letters = [c for c in map(chr, range(0x61, 0x250)) if _PLAIN.fullmatch(c) and c.islower()]
+        probes = [*letters, *(f"so{c}me" for c in letters)]
+        ids = self._whole(probes)
+        self._mark = dict(zip(["", *_MARKS], [b"", *self._whole(_MARKS)]))
+        marked = all(self._whole([w + m for w in probes]) == [x + self._mark[m] for x in ids] for m in _MARKS)
+        if marked and ids == self._whole(probes, bare):
+            self._bare = bare
+
+    def _whole(self, texts: list[str], tok=None) -> list[bytes]:
         code = "H" if self.kind is np.uint16 else "I"
-        return [array(code, e.ids).tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(code, e.ids).tobytes() for e in (tok or self._tok).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each of some distinct words."""
-        plain = list(filter(_PLAIN.fullmatch, words)) if self._ends.any() else []
+        plain = [(w, *m.groups()) for w in words if w.islower() and (m := _PLAIN.fullmatch(w))] if self._bare else []
+        new = list({letters for _, letters, _ in plain}.difference(self._known))
+        raw = b"".join(self._whole([" ".join(new[a : a + _TOGETHER]) for a in range(0, len(new), _TOGETHER)], self._bare))
+        to = ((np.flatnonzero(self._ends[np.frombuffer(raw, self.kind)]) + 1) * self.kind().itemsize).tolist() if new else []
+        marks, runs = self._mark, list({m for _, _, m in plain}.difference(self._mark))
+        if runs:
+            marks = marks | dict(zip(runs, self._whole(runs)))
+            self._mark = marks if len(marks) <= MOST_MARKS else self._mark
         out = {}
-        if plain:
-            together = self._whole([" ".join(plain[a : a + _TOGETHER]) for a in range(0, len(plain), _TOGETHER)])
-            raw = b"".join(together)
-            at = np.flatnonzero(self._ends[np.frombuffer(raw, self.kind)]) + 1
-            last = np.cumsum([1 if w.isalpha() else 2 for w in plain]) - 1  # letters are one piece, a mark is another
-            if len(at) == last[-1] + 1:
-                to = (at[last] * self.kind().itemsize).tolist()
-                out = dict(zip(plain, [raw[a:b] for a, b in zip([0, *to], to)]))
+        if len(to) == len(new):
+            ids = dict(zip(new, [raw[a:b] for a, b in zip([0, *to], to)]))
+            out = {w: (ids.get(letters) or self._known[letters]) + marks[m] for w, letters, m in plain}
         rest = [w for w in words if w not in out] if out else words
         out.update(zip(rest, self._whole(rest)))
         return out
@@ -208,14 +233,15 @@ class Encoder:
         odd = [k for k, t in enumerate(texts) if _SEPARATOR.search(t)]
         # letters of the Latin blocks have one lower case of one letter, so forms that differ in case share an entry
         split = [(t if not self._lowers or "<|" in t or not t.isascii() and _BEYOND_LATIN.search(t) else t.lower()).split() for t in texts]
-        new = list(set(chain.from_iterable(split)).difference(known))
-        extra = self._words(new)
-        if len(known) + len(extra) <= MOST_WORDS:
-            known.update(extra)
-            get = known.__getitem__
-        else:
-            get = lambda w: known.get(w) or extra.get(w, b"")
-        out = [b"".join(map(get, ws)) for ws in split]
+        flat = list(chain.from_iterable(split))
+        got = list(map(known.get, flat))
+        gaps = [k for k, x in enumerate(got) if x is None]
+        extra = self._words(list({flat[k] for k in gaps}))
+        for k in gaps:
+            got[k] = extra[flat[k]]
+        known.update(islice(extra.items(), max(0, MOST_WORDS - len(known))))
+        to = np.cumsum([len(ws) for ws in split]).tolist()
+        out = [b"".join(got[a:b]) for a, b in zip([0, *to], to)]
         for k in odd:
             out[k] = self._whole([texts[k]])[0]
         return out
