@@ -339,3 +339,16 @@ def test_boilerplate_lines(docs, texts):
             assert (r.n_lines, r.n_removed) == (sum(bool(SPACED.search(x)) for x in lines), len(lines) - len(kept)), i
             assert r.text_sha256 == hashlib.sha256("\n".join(kept).encode()).hexdigest(), i
     assert line_dedup.report(docs.limit(0)).count() == 0
+
+
+def test_encoding_by_word_equals_encoding_whole_texts():
+    import random
+
+    from textloom.llm.queries import TOKENIZER
+    from textloom.llm.token_files import Encoder
+
+    by_word, whole, draw = Encoder(TOKENIZER(), True), Encoder(TOKENIZER(), False), random.Random(1)
+    letters = "abszßéüŉªºAZÀİ'<|>.,!?%_-()[]{}\"#*&+/:;=@\\^`~$019́东 \n\t\x1c"
+    texts = ["", "<|endoftext|>. Foo. don't x's. a..b c... straße! straße", *("".join(draw.choices(letters, k=draw.randint(0, 40))) for _ in range(4000))]
+    for k in range(0, len(texts), 500):
+        assert by_word.encode(texts[k : k + 500]) == whole.encode(texts[k : k + 500])
