@@ -323,6 +323,18 @@ def test_disclosing_terms(spark):
     assert pii.report(frame.limit(0)).count() == 0
 
 
+def test_terms_of_frequent_entities_and_small_corpora(spark):
+    """One address in every third row, too few words for ten bits: its own term is found all the same, words seen everywhere are not."""
+    rng = random.Random(4)
+    common = ["the", "and", "said", "to", "with", "call"]
+    some = lambda k: " ".join(rng.choice(common) for _ in range(k))
+    rows = [f"{some(20)} zorblat {k} zed@site.org" if k % 3 == 0 else some(20) for k in range(60)]
+    spans = by_id(pii.report(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))
+    for k, text in enumerate(rows):
+        at = text.find("zorblat")
+        assert [x for x in spans[k].spans.split(",") if x.startswith("term")] == ([f"term:{at}:{at + 7}"] if at >= 0 else []), k
+
+
 def test_boilerplate_lines(docs, texts):
     own = {r.doc_id: (r.text, r.source or "") for r in docs.select("doc_id", "text", "source").collect()}
     sites = defaultdict(set)

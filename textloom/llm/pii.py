@@ -2,8 +2,10 @@
 
 The patterns give the protected entities (an address, a number). Corpus co-occurrence then estimates how strongly a term
 reveals one: over all texts, the share of the term's occurrences that stand within ``WINDOW`` words of the entity on a line, P(e | t),
-and the information log2 P(e | t) / P(e). A term seen near an entity on ``SUPPORT`` different lines or more, with P(e | t) >= ``SHARE``
-and ``BITS`` bits or more, is disclosed: each of its occurrences becomes a span, which ``sanitise`` generalises or removes.
+and the information log2 P(e | t) / P(e) as a part of the most there is to learn of the entity, -log2 P(e): a term that is only ever seen
+near its entity has all of it, however frequent the entity or small the corpus. A term seen near an entity on ``SUPPORT`` different lines
+or more, with P(e | t) >= ``SHARE`` and ``LIFT`` of that information or more, is disclosed: each of its occurrences becomes a span, which
+``sanitise`` generalises or removes.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 from . import kernel
 from .runtime import apply_in_passes, materialize, releasing, set_slices
 
-WINDOW, SUPPORT, SHARE, BITS = 8, 3, 0.5, 10.0
+WINDOW, SUPPORT, SHARE, LIFT = 8, 3, 0.5, 0.5
+#: A floor in whole bits that ``disclosing_terms`` takes by default and the spans do not: it leaves out frequent entities and small corpora.
+BITS = 10.0
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -108,7 +112,10 @@ def _context_pass(batches):
 
 
 def disclosing_terms(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
-    """``(term, entity, near, uses, share, bits)``: terms (by hash) over the thresholds, from counts over all texts."""
+    """``(term, entity, near, uses, share, bits)``: terms (by hash) over the thresholds, from counts over all texts.
+
+    ``LIFT`` always holds; ``bits`` is one more floor (0: none).
+    """
     seen = materialize(docs.select("text").mapInArrow(releasing(_context_pass), "entity long, term long, line long").groupBy("entity", "term", F.when(F.col("entity").isNotNull(), F.col("line")).alias("line")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("entity").isNull(), F.col("line"))).alias("words")), "contexts")
     words = seen.where("entity is null").agg(F.sum("words")).first()[0] or 0
     pairs = seen.where("entity is not null").groupBy("entity", "term").agg(F.sum("n").alias("near"), F.count("*").alias("lines"))
@@ -126,7 +133,8 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, share: float = SHA
         every = every.union(more)
     out = pairs.join(every, "term").withColumn("share", F.col("near") / F.col("uses"))
     out = out.withColumn("bits", F.log2(F.col("share") * F.lit(float(words)) / F.col("mass")))
-    return out.where((F.col("share") >= share) & (F.col("bits") >= bits)).select("term", "entity", "near", "uses", "share", "bits")
+    enough = F.col("bits") >= LIFT * F.log2(F.lit(float(words)) / F.col("mass"))
+    return out.where((F.col("share") >= share) & (F.col("bits") > 0) & (F.col("bits") >= bits) & enough).select("term", "entity", "near", "uses", "share", "bits")
 
 
 def _lookup(table: np.ndarray):
@@ -163,7 +171,7 @@ def _count_uses(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(releasing(run), "term long, uses long").groupBy("term").agg(F.sum("uses").alias("uses"))
 
 
-def annotate(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
+def annotate(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = 0.0) -> DataFrame:
     """Add ``_spans`` (array of (kind, start, end) in code points, base kinds in their order, then disclosing terms) to ``docs(text, ...)``.
 
     Null and empty texts have none. Terms inside a base span get no span of their own. Columns pass through; a row per input row, repeated rows too
