@@ -335,6 +335,17 @@ def test_terms_of_frequent_entities_and_small_corpora(spark):
         assert [x for x in spans[k].spans.split(",") if x.startswith("term")] == ([f"term:{at}:{at + 7}"] if at >= 0 else []), k
 
 
+def test_terms_seen_twice_or_on_copied_lines(spark):
+    """Two of two uses decide, on two lines or on copies of one; one use does not, even between two mentions, nor two of five."""
+    filler = ["the and said to with call " * 5] * 200
+    rows = ["quondam met ann@site.org", "then quondam wrote ann@site.org", *["vellum bob@site.org"] * 2]
+    rows += ["cid@site.org oblong cid@site.org", "gadget dan@site.org", "old gadget dan@site.org", *["gadget"] * 3]
+    spans = by_id(pii.report(spark.createDataFrame(list(enumerate(rows + filler)), "doc_id long, text string")))
+    terms = {rows[k][int(a) : int(b)] for k in range(len(rows)) for kind, a, b in (x.split(":") for x in spans[k].spans.split(",") if x) if kind == "term"}
+    assert terms == {"quondam", "vellum"}
+    assert all(spans[k].spans == "" for k in range(len(rows), len(rows + filler)))
+
+
 def test_boilerplate_lines(docs, texts):
     own = {r.doc_id: (r.text, r.source or "") for r in docs.select("doc_id", "text", "source").collect()}
     sites = defaultdict(set)

@@ -3,9 +3,9 @@
 The patterns give the protected entities (an address, a number). Corpus co-occurrence then estimates how strongly a term
 reveals one: over all texts, the share of the term's occurrences that stand within ``WINDOW`` words of the entity on a line, P(e | t),
 and the information log2 P(e | t) / P(e) as a part of the most there is to learn of the entity, -log2 P(e): a term that is only ever seen
-near its entity has all of it, however frequent the entity or small the corpus. A term seen near an entity on ``SUPPORT`` different lines
-or more, with P(e | t) >= ``SHARE`` and ``LIFT`` of that information or more, is disclosed: each of its occurrences becomes a span, which
-``sanitise`` generalises or removes.
+near its entity has all of it, however frequent the entity or small the corpus. P(e | t) is smoothed, as if ``PRIOR`` more uses of the term
+had stood near the entity as often as any word does, so one use alone never decides. A term with P(e | t) >= ``SHARE`` and ``LIFT`` of
+that information or more is disclosed: each of its occurrences becomes a span, which ``sanitise`` generalises or removes.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from . import kernel
 from .runtime import apply_in_passes, materialize, releasing, set_slices
 
-WINDOW, SUPPORT, SHARE, LIFT = 8, 3, 0.5, 0.5
-#: A floor in whole bits that ``disclosing_terms`` takes by default and the spans do not: it leaves out frequent entities and small corpora.
-BITS = 10.0
+WINDOW, SHARE, LIFT, PRIOR = 8, 0.5, 0.5, 2.0
+#: Floors that ``disclosing_terms`` takes by default and the spans do not: different lines, and whole bits, which leave out frequent
+#: entities and small corpora.
+SUPPORT, BITS = 3, 10.0
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -97,16 +98,19 @@ def _context_pass(batches):
                 at = [(kind, text[a:b], place(a), place(b)) for kind, a, b in spans]
                 for _, _, a, b in at:
                     taken[np.searchsorted(e, a, "right") : np.searchsorted(s, b)] = True
+                beside = {}
                 for kind, value, a, b in at:
                     la, lb = raw.rfind(b"\n", 0, a) + 1, raw.find(b"\n", b)
                     lb = len(raw) if lb < 0 else lb
                     left, right = int(np.searchsorted(e, a, "right")), int(np.searchsorted(s, b))
                     lo, hi = max(left - WINDOW, int(np.searchsorted(s, la))), min(right + WINDOW, int(np.searchsorted(e, lb, "right")))
                     near = np.concatenate((np.arange(lo, left), np.arange(right, max(hi, right))))
-                    near = near[~taken[near]]
-                    ents.append(np.full(len(near), entity(kind, value), np.int64))
-                    terms.append(own[near].view(np.int64))
-                    lines.append(np.full(len(near), xxhash.xxh64_intdigest(raw[la:lb], 7) - (1 << 63), np.int64))
+                    line = xxhash.xxh64_intdigest(raw[la:lb], 7) - (1 << 63)
+                    beside.setdefault(entity(kind, value), {}).update(dict.fromkeys(near[~taken[near]].tolist(), line))
+                for ent, places in beside.items():
+                    ents.append(np.full(len(places), ent, np.int64))
+                    terms.append(own[np.fromiter(places, np.int64, len(places))].view(np.int64))
+                    lines.append(np.fromiter(places.values(), np.int64, len(places)))
         cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ents, terms, lines)]
         yield pa.record_batch([pa.array([*x, y], pa.int64()) for x, y in zip(cols, (None, None, total))], names=["entity", "term", "line"])
 
@@ -114,13 +118,18 @@ def _context_pass(batches):
 def disclosing_terms(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
     """``(term, entity, near, uses, share, bits)``: terms (by hash) over the thresholds, from counts over all texts.
 
-    ``LIFT`` always holds; ``bits`` is one more floor (0: none).
+    The smoothed share and ``LIFT`` always decide; ``support`` (1: none) and ``bits`` (0: none) are floors besides. An occurrence near
+    several mentions of one entity counts once; each copy of a line counts.
     """
     seen = materialize(docs.select("text").mapInArrow(releasing(_context_pass), "entity long, term long, line long").groupBy("entity", "term", F.when(F.col("entity").isNotNull(), F.col("line")).alias("line")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("entity").isNull(), F.col("line"))).alias("words")), "contexts")
     words = seen.where("entity is null").agg(F.sum("words")).first()[0] or 0
     pairs = seen.where("entity is not null").groupBy("entity", "term").agg(F.sum("n").alias("near"), F.count("*").alias("lines"))
     mass = pairs.groupBy("entity").agg(F.sum("near").alias("mass"))
-    pairs = materialize(pairs.where(F.col("lines") >= support).join(mass, "entity"), "pairs")
+    pairs = pairs.where(F.col("lines") >= support).join(mass, "entity").withColumn("p", F.col("mass") / F.lit(float(max(words, 1))))
+    smooth = lambda uses: (F.col("near") + PRIOR * F.col("p")) / (uses + PRIOR)
+    decides = lambda x: (x >= share) & (x > F.col("p")) & (F.log2(x / F.col("p")) >= -LIFT * F.log2("p"))
+    # A term has at least the uses that stand near: what fails with no others fails with any.
+    pairs = materialize(pairs.where((F.col("near") > 1) & decides(smooth(F.col("near")))), "pairs")
     n, read = set_slices(pairs.select("term"))
     uses = []
     for k in range(n):
@@ -132,9 +141,8 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, share: float = SHA
     for more in uses[1:]:
         every = every.union(more)
     out = pairs.join(every, "term").withColumn("share", F.col("near") / F.col("uses"))
-    out = out.withColumn("bits", F.log2(F.col("share") * F.lit(float(words)) / F.col("mass")))
-    enough = F.col("bits") >= LIFT * F.log2(F.lit(float(words)) / F.col("mass"))
-    return out.where((F.col("share") >= share) & (F.col("bits") > 0) & (F.col("bits") >= bits) & enough).select("term", "entity", "near", "uses", "share", "bits")
+    out = out.where(decides(smooth(F.col("uses")))).withColumn("bits", F.log2(F.col("share") / F.col("p")))
+    return out.where(F.col("bits") >= bits).select("term", "entity", "near", "uses", "share", "bits")
 
 
 def _lookup(table: np.ndarray):
@@ -171,11 +179,11 @@ def _count_uses(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(releasing(run), "term long, uses long").groupBy("term").agg(F.sum("uses").alias("uses"))
 
 
-def annotate(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = 0.0) -> DataFrame:
+def annotate(docs: DataFrame, support: int = 1, share: float = SHARE, bits: float = 0.0) -> DataFrame:
     """Add ``_spans`` (array of (kind, start, end) in code points, base kinds in their order, then disclosing terms) to ``docs(text, ...)``.
 
     Null and empty texts have none. Terms inside a base span get no span of their own. Columns pass through; a row per input row, repeated rows too
-    (mentions on equal lines count as one line of support). Empty tables give no rows.
+    (their mentions count each). Empty tables give no rows.
     """
     n, read = set_slices(disclosing_terms(docs, support, share, bits).select("term"))
     docs = docs.select(*docs.columns, F.lit(None).cast("array<struct<kind:string,start:int,end:int>>").alias("_spans"))
