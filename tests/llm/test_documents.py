@@ -60,6 +60,21 @@ def test_cutoffs_are_certified_and_limited(spark):
     assert quality.certified_cutoffs(stats.limit(0), labels).count() == 0
 
 
+def test_a_few_hundred_good_labels_certify_all_rules_together(spark):
+    """320 clean good labels a stratum do, 100 do not; a cutoff that only rejects good texts is not taken, and no stratum loses over 2 %."""
+    rows = []
+    for stratum, good in (("x", 320), ("y", 320), ("rare", 100)):
+        rows += [(stratum, 100, 500, 1, 0, 0, True) for _ in range(good - 20)] + [(stratum, 100, 500, 1, 0, 9, True) for _ in range(20)]
+        rows += [(stratum, 100, 500, 200, 0, 0, False) for _ in range(40)] + [(stratum, 100, 500, 1, 30, 0, False) for _ in range(40)]
+    names = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    stats = spark.createDataFrame([(i, *r[:6], False) for i, r in enumerate(rows)], names)
+    labels = spark.createDataFrame([(i, int(r[6]), 0) for i, r in enumerate(rows)], "doc_id long, quality int, toxic int")
+    got = {r.stratum: r for r in quality.certified_cutoffs(stats, labels).collect()}
+    assert set(got) == {"x", "y"}
+    for r in got.values():
+        assert 2 < r.symbols < 400 and 0 < r.dup_lines < 30 and r.repeats is None and r.long_words is None and r.short_words is None
+
+
 def test_ngram_components(docs, texts):
     sets = {}
     for i, t in texts.items():
