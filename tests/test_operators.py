@@ -116,3 +116,9 @@ def test_entry_without_training_operators(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_common_parent_reads_every_title(spark):
+    group = F.concat(F.array_repeat(F.array(F.lit(3), F.lit(1), F.lit(2)), 10_001), F.array(F.array(F.lit(3), F.lit(4))))
+    got = spark.range(1).select(T.common_parent(group).alias("p"), T.common_parent(F.slice(group, 1, 1)).alias("one")).first()
+    assert (got.p, got.one) == ("3", "3.1.2")

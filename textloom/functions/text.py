@@ -72,7 +72,7 @@ def common_parent(arrays) -> Column:
     a = _c(arrays)
     front = lambda x, y: F.slice(x, 1, F.size(F.filter(F.sequence(F.lit(1), F.least(F.size(x), F.size(y))), lambda i: F.slice(x, 1, i) == F.slice(y, 1, i))))
     both = lambda x, y: F.when((F.size(x) == 0) | (F.size(y) == 0), F.array().cast("array<int>")).otherwise(front(x, y))
-    return F.array_join(F.transform(F.aggregate(F.slice(a, 2, 10_000), F.get(a, F.lit(0)), both), lambda i: i.cast("string")), ".")
+    return F.array_join(F.transform(F.aggregate(F.slice(a, F.lit(2), F.size(a)), F.get(a, F.lit(0)), both), lambda i: i.cast("string")), ".")
 
 
 def compound_title(parent, n) -> Column:
