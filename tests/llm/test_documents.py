@@ -60,6 +60,26 @@ def test_cutoffs_are_certified_and_limited(spark):
     assert quality.certified_cutoffs(stats.limit(0), labels).count() == 0
 
 
+def test_judged_and_kept_documents(spark):
+    """kept, failed_rules and the documents that stay, against the rules worked out by hand; symbols are certified, rare languages are not."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows = [(i, prose(30), "en", 1) for i in range(400)] + [(400 + i, prose(30) + " ####", "en", 0) for i in range(60)]
+    rows += [(500 + i, prose(30) + " ####", "xx", 0) for i in range(5)] + [(600, prose(4), "en", None), (601, None, "en", None), (602, "a b c d e " * 9, "en", None)]
+    rows += [(700, prose(30) + " ####", "en", None), (701, prose(30), "en", None), (702, prose(30) + " ####", None, None)]
+    frame = spark.createDataFrame([(i, t, lang, "s") for i, t, lang, _ in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, _, q in rows if q is not None], "doc_id long, quality int, toxic int")
+    judged = by_id(quality.judge(frame, labels))
+    marked = {i for i, t, lang, _ in rows if t and "#" in t and lang == "en"}
+    assert len(judged) == len(rows) and {i for i, r in judged.items() if r.base_failed} == {600, 601, 602}
+    assert {i for i, r in judged.items() if r.failed_rules} == marked and {i for i in marked if judged[i].failed_rules != ["symbols"]} == set()
+    want = {i for i, *_ in rows} - marked - {600, 601, 602}
+    assert {i for i, r in judged.items() if r.kept} == want
+    stay = quality.keep_good(frame, labels)
+    assert stay.columns == frame.columns and stay.count() == len(want)
+    assert {r.doc_id: (r.text, r.lang, r.source) for r in stay.collect()} == {i: (t, lang, "s") for i, t, lang, _ in rows if i in want}
+
+
 def test_a_few_hundred_good_labels_certify_all_rules_together(spark):
     """320 clean good labels a stratum do, 100 do not; a cutoff that only rejects good texts is not taken, and no stratum loses over 2 %."""
     rows = []
