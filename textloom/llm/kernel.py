@@ -12,13 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .runtime import keep_warm
+
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240613))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _GRAM = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 _BASE = int(_RNG.integers(1, 2**61, dtype=np.uint64)) * 4 + 3
 _INVERSE = pow(_BASE, -1, 2**64)
-#: Bytes worked on at a time, so that the arrays stay in cache; a longer document is taken whole.
+#: Bytes worked on at a time, so that the arrays stay in cache.
 PIECE = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -31,17 +33,21 @@ ALNUM = np.ones(256, dtype=bool)
 for _a, _b in ((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)):
     ALNUM[_a : _b + 1] = False
 
-_powers = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
+_powers: dict[str, np.ndarray] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
+    """Powers of the base and of its inverse, at least ``n``."""
+    up, down = _powers.get("up"), _powers.get("down")
+    if up is None or down is None or len(up) < n:
         size = max(n, PIECE + 1)
         up, down = np.full(size, U(_BASE)), np.full(size, U(_INVERSE))
         up[0] = down[0] = 1
-        _powers = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _powers
+        up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        if n <= 4 * PIECE:  # a table for a single giant word is not kept
+            _powers["up"], _powers["down"] = up, down
+            keep_warm(_powers)
+    return up, down
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -72,11 +78,7 @@ def pieces(off: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def words(data: np.ndarray, off: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes (letters A-Z as a-z), their first and past-the-end bytes, and the offsets of each document's words."""
-    if len(data) == 0:
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), z, z, np.zeros(len(off), np.int64)
+def _words(data: np.ndarray, off: np.ndarray, kind: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own = kind[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[off] = True
@@ -89,9 +91,41 @@ def words(data: np.ndarray, off: np.ndarray, kind: np.ndarray) -> tuple[np.ndarr
     up, down = _power_tables(len(data))
     total = np.empty(len(data) + 1, dtype=np.uint64)
     total[0] = 0
-    np.cumsum(_BYTE[LOWER[data]] * up[: len(data)], out=total[1:])
+    np.cumsum(_BYTE[LOWER[data] if fold else data] * up[: len(data)], out=total[1:])
     h = (total[end] - total[start]) * down[start]
-    return mix(h + (end - start).astype(np.uint64)), start, end, np.searchsorted(start, off)
+    return mix(h + (end - start).astype(np.uint64)), start, end
+
+
+def _gap(data: np.ndarray, kind: np.ndarray, at: int) -> int:
+    """The first byte from ``at`` on that is in no word, or the end."""
+    while at < len(data):
+        found = np.flatnonzero(~kind[data[at : at + 4096]])
+        if len(found):
+            return at + int(found[0])
+        at += 4096
+    return len(data)
+
+
+def words(data: np.ndarray, off: np.ndarray, kind: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes (``fold``: letters A-Z as a-z), their first and past-the-end bytes, and the offsets of each document's words.
+
+    Bytes are worked on a piece at a time, cut between words, so that a very long document costs little besides what is returned.
+    """
+    if len(data) == 0:
+        z = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), z, z, np.zeros(len(off), np.int64)
+    if len(data) <= 2 * PIECE:
+        h, start, end = _words(data, off, kind, fold)
+        return h, start, end, np.searchsorted(start, off)
+    parts, at = [], 0
+    while at < len(data):
+        to = _gap(data, kind, min(len(data), at + PIECE))
+        inner = off[np.searchsorted(off, at) : np.searchsorted(off, to, "right")] - at
+        h, start, end = _words(data[at:to], inner, kind, fold)
+        parts.append((h, start + at, end + at))
+        at = to
+    h, start, end = (np.concatenate(x) for x in zip(*parts))
+    return h, start, end, np.searchsorted(start, off)
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:

@@ -1,12 +1,13 @@
 """Token-id output: one wavelet-matrix file for each shard of documents, in ascending doc_id order.
 
 A shard's ids are stored as bit planes. Plane 0 holds the top bit of every id in order; each further plane holds
-the next bit after a stable partition by the one before (zeros first). With a running count of ones every 512
-bits a file answers ``access(i)``, ``rank(symbol, i)``, ``count(symbol, a, b)`` and ``select(symbol, k)`` in one step
-a plane, from the file alone; planes are compressed one by one and opened when first used.
+the next bit after a stable partition by the one before (zeros first). Beside each plane the file keeps the count of ones before every
+512th bit, and planes are compressed in blocks of 64 KB, so ``access(i)``, ``rank(symbol, i)``, ``count(symbol, a, b)`` and
+``select(symbol, k)`` read and unpack one or two blocks a plane, from the file alone.
 
-Layout, little-endian: magic, version, planes, ids, documents, end id; zeros of each plane; sizes of the
-compressed parts; the parts: doc_ids (int64), which of them are null (bits), lengths (uint32), the planes.
+Layout, little-endian: magic, version, planes, ids, documents, end id; zeros of each plane; sizes of the three document parts; sizes of
+the compressed blocks of each plane; the document parts: doc_ids (int64), which of them are null (bits), lengths (uint32);
+the counts of each plane (uint32); the blocks.
 """
 
 from __future__ import annotations
@@ -17,88 +18,142 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import files
-from .runtime import BROADCAST_ENTRIES, fresh_path, materialize, releasing
+from . import files, kernel
+from .runtime import BROADCAST_BYTES, fresh_path, keep_warm, materialize, releasing
 
 MAGIC = b"TLWM"
 HEAD = struct.Struct("<4sHHQQI")
 BLOCK = 512
-#: Ids of a file, about; bytes of text of a range of documents, about; words remembered by a worker.
+BLOCK_BYTES = 1 << 16
+#: Ids of a file, about; stored bytes of the documents of a range, about.
 SHARD_TOKENS = 8_000_000
-RANGE_CHARS = 48_000_000
-MOST_RANGES = 4096
-MOST_WORDS = 600_000
-_SEPARATOR = re.compile("[\x1c-\x1f]")
-_BEYOND_LATIN = re.compile("[\u0130\u0250-\U0010ffff]")
-#: Latin letters and the marks after them: the letters of many such words lie side by side in one text for the model.
-_PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u024f]+)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)")
+RANGE_BYTES = 128_000_000
+#: Positions that are partitioned at a time, so that they stay in cache.
+_STRIDE = 1 << 17
+#: Words that a worker remembers (slots of a table, 16 bytes each) and their ids; words of more bytes are told apart by a hash of their own.
+MEMO_SLOTS = 1 << 21
+MEMO_IDS = 12_000_000
+LONG_WORD = 256
+_BEYOND_LATIN = re.compile("[İɐ-\U0010ffff]")
+#: Lower-case Latin letters: many words of them lie side by side in one text for the model. Marks after a letter are words of their own.
+_LETTERS = re.compile("[a-zß-öø-ɏ]+")
 _MARKS = [*"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~", "...", ",%%%", "!!"]
-MOST_MARKS = 10_000
+_MARK = np.zeros(256, bool)
+_MARK[[ord(m) for m in _MARKS if len(m) == 1]] = True
 _TOGETHER = 200
 
 
 class WaveletFile:
-    """A shard's ids with rank and select support."""
+    """A shard's ids with rank and select support, from bytes or an open file of random access."""
 
-    def __init__(self, data: bytes):
-        self._data = data
-        magic, _, self.planes, self.n, self.n_docs, self.end_id = HEAD.unpack_from(data)
-        if magic != MAGIC:
+    def __init__(self, data):
+        self._file = pa.BufferReader(data) if isinstance(data, (bytes, memoryview)) else data
+        magic, version, self.planes, self.n, self.n_docs, self.end_id = HEAD.unpack(self._read(0, HEAD.size))
+        if magic != MAGIC or version != 2:
             raise ValueError("not a token file")
+        self._per_plane, self._counts = -(-(-(-self.n // 8)) // BLOCK_BYTES), -(-self.n // BLOCK)
         at = HEAD.size
-        self._zeros = np.frombuffer(data, "<u8", self.planes, at).astype(np.int64)
+        self._zeros = self._array(at, self.planes, "<u8").astype(np.int64)
         at += 8 * self.planes
-        parts = np.frombuffer(data, "<u8", 3 + self.planes, at)
-        at += 8 * len(parts)
-        self._at = at + np.concatenate(([0], np.cumsum(parts))).astype(np.int64)
-        self._bits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        parts = self._array(at, 3, "<u8").astype(np.int64)
+        at += 24
+        sizes = self._array(at, self.planes * self._per_plane, "<u4").astype(np.int64)
+        at += 4 * len(sizes)
+        self._parts = at + np.concatenate(([0], np.cumsum(parts)))
+        self._ranks = int(self._parts[-1])
+        self._blocks = self._ranks + 4 * self.planes * self._counts + np.concatenate(([0], np.cumsum(sizes)))
+        self._before: dict[int, np.ndarray] = {}
+        self._open: dict[int, np.ndarray] = {}
+        #: Blocks unpacked so far.
+        self.unpacked = 0
+
+    def _read(self, at: int, n: int) -> bytes:
+        return self._file.read_at(n, at)
+
+    def _array(self, at: int, n: int, kind: str) -> np.ndarray:
+        return np.frombuffer(self._read(at, n * np.dtype(kind).itemsize), kind)
 
     def _part(self, k: int, size: int) -> bytes:
-        return pa.decompress(self._data[self._at[k] : self._at[k + 1]], size, codec="zstd", asbytes=True) if size else b""
+        a, b = int(self._parts[k]), int(self._parts[k + 1])
+        return pa.decompress(self._read(a, b - a), size, codec="zstd", asbytes=True) if size else b""
 
     @classmethod
-    def encode(cls, ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, end_id: int) -> bytes:
-        planes = max(1, int(ids.max(initial=0)).bit_length())
-        parts = [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.packbits([d is None for d in doc_ids]).tobytes(), lengths.astype("<u4").tobytes()]
-        zeros, a = [], ids
+    def encode(cls, ids: np.ndarray, doc_ids, lengths: np.ndarray, end_id: int) -> bytes:
+        """``doc_ids``: ints, or None."""
+        n, planes = len(ids), max(1, int(ids.max(initial=0)).bit_length())
+        docs = pa.array(doc_ids, pa.int64())
+        own = [np.asarray(docs.fill_null(0)).astype("<i8").tobytes(), np.packbits(np.asarray(docs.is_null())).tobytes(), np.asarray(lengths).astype("<u4").tobytes()]
+        own = [pa.compress(p, codec="zstd", asbytes=True) if p else b"" for p in own]
+        zeros, ranks, blocks = [], [], []
+        a, out, one = ids, np.empty_like(ids), np.empty(n, bool)
         for k in range(planes - 1, -1, -1):
-            one = (a & ids.dtype.type(1 << k)).astype(bool)
-            parts.append(np.packbits(one).tobytes())
-            low = a[~one]
-            zeros.append(len(low))
-            a = np.concatenate((low, a[one]))
-        parts = [pa.compress(p, codec="zstd", asbytes=True) if p else b"" for p in parts]
-        head = HEAD.pack(MAGIC, 1, planes, len(ids), len(doc_ids), end_id)
-        return b"".join([head, np.array(zeros, "<u8").tobytes(), np.array([len(p) for p in parts], "<u8").tobytes(), *parts])
+            np.not_equal(a & ids.dtype.type(1 << k), 0, out=one)
+            packed = np.packbits(one)
+            ones = np.bitwise_count(packed)
+            sums = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK // 8), dtype=np.int64) if n else np.zeros(0, np.int64)
+            ranks.append((np.cumsum(sums) - sums).astype("<u4").tobytes())
+            blocks += [pa.compress(packed[b : b + BLOCK_BYTES].tobytes(), codec="zstd", asbytes=True) for b in range(0, len(packed), BLOCK_BYTES)]
+            low, high = 0, n - int(sums.sum())
+            zeros.append(high)
+            for c in range(0, n, _STRIDE):
+                here, part = one[c : c + _STRIDE], a[c : c + _STRIDE]
+                at = np.flatnonzero(here)
+                out[high : high + len(at)] = part[at]
+                high += len(at)
+                at = np.flatnonzero(~here)
+                out[low : low + len(at)] = part[at]
+                low += len(at)
+            a, out = out, (np.empty_like(ids) if a is ids else a)
+        head = HEAD.pack(MAGIC, 2, planes, n, len(docs), end_id)
+        sizes = [np.array(zeros, "<u8").tobytes(), np.array([len(p) for p in own], "<u8").tobytes(), np.array([len(p) for p in blocks], "<u4").tobytes()]
+        return b"".join([head, *sizes, *own, *ranks, *blocks])
 
     def documents(self) -> tuple[list[int | None], np.ndarray]:
         """The doc_ids and each one's number of ids."""
-        own = np.frombuffer(self._part(0, 8 * self.n_docs), "<i8").tolist()
-        null = np.unpackbits(np.frombuffer(self._part(1, -(-self.n_docs // 8)), np.uint8))[: self.n_docs]
-        return [None if z else d for d, z in zip(own, null)], np.frombuffer(self._part(2, 4 * self.n_docs), "<u4").astype(np.int64)
-
-    def _plane(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        if k not in self._bits:
-            packed = np.frombuffer(self._part(3 + k, -(-self.n // 8)), np.uint8)
-            ones = np.bitwise_count(packed).astype(np.int64)
-            before = np.concatenate(([0], np.add.reduceat(ones, np.arange(0, len(ones), BLOCK // 8)).cumsum())) if len(ones) else np.zeros(1, np.int64)
-            self._bits[k] = packed, before
-        return self._bits[k]
+        own = np.frombuffer(self._part(0, 8 * self.n_docs), "<i8")
+        null = np.unpackbits(np.frombuffer(self._part(1, -(-self.n_docs // 8)), np.uint8))[: self.n_docs].view(bool)
+        return pa.array(own, pa.int64(), mask=null).to_pylist(), np.frombuffer(self._part(2, 4 * self.n_docs), "<u4").astype(np.int64)
+
+    def _unpack(self, k: int, b: int) -> np.ndarray:
+        a, z = (int(x) for x in self._blocks[k * self._per_plane + b : k * self._per_plane + b + 2])
+        self.unpacked += 1
+        return np.frombuffer(pa.decompress(self._read(a, z - a), min(BLOCK_BYTES, -(-self.n // 8) - b * BLOCK_BYTES), codec="zstd", asbytes=True), np.uint8)
+
+    def _block(self, k: int, byte: int) -> np.ndarray:
+        """The block of plane k that holds a byte; two blocks a plane are held at a time."""
+        key = k * self._per_plane + byte // BLOCK_BYTES
+        if key not in self._open:
+            if len(self._open) >= 2 * self.planes:
+                self._open.pop(next(iter(self._open)))
+            self._open[key] = self._unpack(k, byte // BLOCK_BYTES)
+        return self._open[key]
+
+    def _rank_table(self, k: int) -> np.ndarray:
+        """Ones of plane k before each 512th bit, as stored."""
+        if k not in self._before:
+            self._before[k] = self._array(self._ranks + 4 * k * self._counts, self._counts, "<u4")
+        return self._before[k]
+
+    def _byte(self, k: int, i: int) -> int:
+        return int(self._block(k, i // 8)[i // 8 % BLOCK_BYTES])
 
     def _ones(self, k: int, i: int) -> int:
         """Ones of plane k before position i."""
-        packed, before = self._plane(k)
+        if i >= self.n:
+            return self.n - int(self._zeros[k])
         b = i // BLOCK
-        some = packed[b * (BLOCK // 8) : i // 8]
-        n = int(before[b]) + int(np.bitwise_count(some).sum(dtype=np.int64))
-        return n + (int(packed[i // 8]) >> (8 - i % 8)).bit_count() if i % 8 else n
+        n, first, last = int(self._rank_table(k)[b]), b * (BLOCK // 8), i // 8
+        if i % BLOCK:
+            own = self._block(k, first)[first % BLOCK_BYTES :][: last - first]
+            n += int(np.bitwise_count(own).sum(dtype=np.int64))
+        return n + (self._byte(k, i) >> (8 - i % 8)).bit_count() if i % 8 else n
 
     def _down(self, k: int, bit: int, i: int) -> int:
         ones = self._ones(k, i)
@@ -109,8 +164,8 @@ class WaveletFile:
             raise IndexError(i)
         out = 0
         for k in range(self.planes):
-            bit = self._plane(k)[0][i // 8] >> (7 - i % 8) & 1
-            out = out << 1 | int(bit)
+            bit = self._byte(k, i) >> (7 - i % 8) & 1
+            out = out << 1 | bit
             i = self._down(k, bit, i)
         return out
 
@@ -142,34 +197,45 @@ class WaveletFile:
 
     def _find(self, k: int, bit: int, j: int) -> int:
         """Position of the jth (from 0) ``bit`` in plane k."""
-        packed, before = self._plane(k)
-        seen = before if bit else np.minimum(np.arange(len(before)) * BLOCK, self.n) - before
+        before = self._rank_table(k).astype(np.int64)
+        seen = before if bit else np.arange(len(before)) * BLOCK - before
         b = int(np.searchsorted(seen, j, "right")) - 1
-        bits = np.unpackbits(packed[b * (BLOCK // 8) : (b + 1) * (BLOCK // 8)])
+        first = b * (BLOCK // 8)
+        bits = np.unpackbits(self._block(k, first)[first % BLOCK_BYTES :][: BLOCK // 8])
         return b * BLOCK + int(np.flatnonzero(bits == bit)[j - int(seen[b])])
 
     def ids(self) -> np.ndarray:
         """All ids, undone plane by plane from the last."""
         a = np.zeros(self.n, np.uint16 if self.planes <= 16 else np.uint32)
+        out = np.empty_like(a)
         for k in range(self.planes - 1, -1, -1):
-            packed = np.frombuffer(self._part(3 + k, -(-self.n // 8)), np.uint8)
-            one = np.unpackbits(packed, count=self.n).view(bool)
-            z, out = int(self._zeros[k]), np.empty_like(a)
-            out[~one] = a[:z]
-            out[one] = a[z:] | a.dtype.type(1 << (self.planes - 1 - k))
-            a = out
+            low, high = 0, int(self._zeros[k])
+            bit = a.dtype.type(1 << (self.planes - 1 - k))
+            for b in range(self._per_plane):
+                from_bit = 8 * BLOCK_BYTES * b
+                one = np.unpackbits(self._unpack(k, b), count=min(8 * BLOCK_BYTES, self.n - from_bit)).view(bool)
+                for c in range(0, len(one), _STRIDE):
+                    here, to = one[c : c + _STRIDE], out[from_bit + c : from_bit + c + _STRIDE]
+                    at = np.flatnonzero(here)
+                    to[at] = a[high : high + len(at)] | bit
+                    high += len(at)
+                    at = np.flatnonzero(~here)
+                    to[at] = a[low : low + len(at)]
+                    low += len(at)
+            a, out = out, a
         return a
 
 
 class Encoder:
     """Ids of texts by a tokenizers file.
 
-    ``by_word``: for tokenizers whose pre-tokenizer drops white space and whose normaliser works within words, so
-    that a text's ids are those of its words in turn. Words are then encoded once and remembered, up to
-    ``MOST_WORDS``; later new ones are encoded each time. Texts with the separators U+001C-1F, at which Python splits and
-    the tokenizer does not, are encoded whole. If the model marks the ends of words (``end_of_word_suffix``) and every Latin letter,
-    with marks after it, gives the same ids so, new lower-case words of Latin letters go to the model many to a text and are
-    told apart by those ends, the marks' ids follow; else they are encoded one by one. ``lowers``: the tokenizer lower-cases (read off its file), so words are remembered in lower case.
+    ``by_word``: for tokenizers whose pre-tokenizer drops white space and whose normaliser works within words, so that a text's ids are
+    those of its words in turn (words: between the white space of ASCII). Words are found and told apart by the kernel's 64-bit hashes; those new
+    to a piece of text are looked up in a table of fixed size, and encoded if they are new to that too. If the tokenizer lower-cases (read off its
+    file), A-Z count as a-z; texts with one of its special tokens, whatever the case, are encoded whole. If the model marks the ends of
+    words (``end_of_word_suffix``) and every Latin letter, with marks after it, gives the same ids so, marks at the end of a word count as a word
+    of their own, and new lower-case words of Latin letters go to the model many to a text and are told apart by those ends; else words are
+    encoded one by one.
     """
 
     def __init__(self, path: str, by_word: bool):
@@ -178,13 +244,20 @@ class Encoder:
 
         self._tok = Tokenizer.from_file(path)
         self.kind = np.uint16 if self._tok.get_vocab_size() <= 1 << 16 else np.uint32
-        self._by_word, self._known = by_word, {}
-        self._bare, self._ends, self._mark = None, np.zeros(0, bool), {}
+        self._by_word = by_word
+        self._bare, self._ends = None, np.zeros(0, bool)
         self._lowers = '"Lowercase"' in (self._tok.normalizer.__getstate__().decode() if self._tok.normalizer else "")
-
+        special = [t.content for t in self._tok.get_added_tokens_decoder().values() if t.content]
+        self._special = re.compile(b"|".join(re.escape(t.lower().encode()) for t in special)) if special else None
         if by_word:
+            self._shift = np.uint64(64 - (MEMO_SLOTS.bit_length() - 1))
+            self._forget()
             self._find_ends(path)
 
+    def _forget(self) -> None:
+        self._memo = np.zeros(MEMO_SLOTS, [("h", np.uint64), ("at", np.uint32), ("n", np.uint32)])
+        self._ids, self._used = np.zeros(1 << 16, self.kind), 0
+
     def _find_ends(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -196,11 +269,10 @@ class Encoder:
         bare = Tokenizer.from_file(path)
         bare.normalizer = None
         bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        letters = [c for c in map(chr, range(0x61, 0x250)) if _PLAIN.fullmatch(c) and c.islower()]
+        letters = [c for c in map(chr, range(0x61, 0x250)) if _LETTERS.fullmatch(c) and c.islower()]
         probes = [*letters, *(f"so{c}me" for c in letters)]
         ids = self._whole(probes)
-        self._mark = dict(zip(["", *_MARKS], [b"", *self._whole(_MARKS)]))
-        marked = all(self._whole([w + m for w in probes]) == [x + self._mark[m] for x in ids] for m in _MARKS)
+        marked = all(self._whole([w + m for w in probes]) == [x + own for x in ids] for m, own in zip(_MARKS, self._whole(_MARKS)))
         if marked and ids == self._whole(probes, bare):
             self._bare = bare
 
@@ -208,65 +280,138 @@ class Encoder:
         code = "H" if self.kind is np.uint16 else "I"
         return [array(code, e.ids).tobytes() for e in (tok or self._tok).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each of some distinct words."""
-        plain = [(w, *m.groups()) for w in words if w.islower() and (m := _PLAIN.fullmatch(w))] if self._bare else []
-        new = list({letters for _, letters, _ in plain}.difference(self._known))
-        raw = b"".join(self._whole([" ".join(new[a : a + _TOGETHER]) for a in range(0, len(new), _TOGETHER)], self._bare))
-        to = ((np.flatnonzero(self._ends[np.frombuffer(raw, self.kind)]) + 1) * self.kind().itemsize).tolist() if new else []
-        marks, runs = self._mark, list({m for _, _, m in plain}.difference(self._mark))
-        if runs:
-            marks = marks | dict(zip(runs, self._whole(runs)))
-            self._mark = marks if len(marks) <= MOST_MARKS else self._mark
-        out = {}
-        if len(to) == len(new):
-            ids = dict(zip(new, [raw[a:b] for a, b in zip([0, *to], to)]))
-            out = {w: (ids.get(letters) or self._known[letters]) + marks[m] for w, letters, m in plain}
-        rest = [w for w in words if w not in out] if out else words
-        out.update(zip(rest, self._whole(rest)))
-        return out
+    def _store(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Keep the ids of some words, side by side; where each word's begin."""
+        if self._used + len(ids) > len(self._ids):
+            grown = np.zeros(max(self._used + len(ids), 2 * len(self._ids)), self.kind)
+            grown[: self._used] = self._ids[: self._used]
+            self._ids = grown
+        self._ids[self._used : self._used + len(ids)] = ids
+        at = self._used + np.cumsum(size) - size
+        self._used += len(ids)
+        return at
+
+    def _encode_each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each of some words are kept, and how many they are."""
+        at, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        rest = np.ones(len(words), bool)
+        if self._bare:
+            plain = np.array([k for k, w in enumerate(words) if _LETTERS.fullmatch(w) and w.islower()], np.int64)
+            texts = [" ".join([words[k] for k in plain[a : a + _TOGETHER].tolist()]) for a in range(0, len(plain), _TOGETHER)]
+            ids = np.frombuffer(b"".join(self._whole(texts, self._bare)), self.kind)
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) == len(plain):
+                size[plain] = own = np.diff(ends, prepend=0)
+                at[plain], rest[plain] = self._store(ids, own), False
+        rest = np.flatnonzero(rest)
+        ids = self._whole([words[k] for k in rest.tolist()])
+        size[rest] = own = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind().itemsize
+        at[rest] = self._store(np.frombuffer(b"".join(ids), self.kind), own)
+        return at, size
+
+    def _marks(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Where marks begin that follow a Latin letter and end a word."""
+        mark = np.concatenate(([False], _MARK[data], [False]))
+        first, last = np.flatnonzero(mark[1:] & ~mark[:-1]), np.flatnonzero(mark[:-1] & ~mark[1:])
+        first, last = first[:-1] if len(first) > len(last) else first, last
+        at_end = np.zeros(len(data) + 1, bool)
+        at_end[off] = True
+        edge = at_end[last] | ~kernel.NOT_SPACE[data[np.minimum(last, len(data) - 1)]]
+        one, two = data[np.maximum(first - 1, 0)], data[np.maximum(first - 2, 0)]
+        # two bytes, U+00C0 to U+027F; the signs of times and division are no letters, and the lower case of a dotted capital i ends in a mark
+        latin = (one >= 0x80) & (two >= 0xC3) & (two <= 0xC9) & ~((two == 0xC3) & ((one == 0x97) | (one == 0xB7))) & ~((two == 0xC4) & (one == 0xB0))
+        letter = ((one | 32) >= 97) & ((one | 32) <= 122) & (one < 0x80) | latin
+        return first[edge & letter & (first > 0)]
+
+    def _piece(self, data: np.ndarray, off: np.ndarray, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        if self._used > MEMO_IDS:
+            self._forget()
+        cuts = np.sort(np.concatenate((off, self._marks(data, off))), kind="stable") if self._bare and len(data) else off
+        h, start, stop, _ = kernel.words(data, cuts, kernel.NOT_SPACE, self._lowers)
+        w = np.searchsorted(start, off)
+        raw = data.tobytes()
+        folded = raw.lower() if self._lowers else raw  # of bytes: A-Z alone
+        for k in np.flatnonzero(stop - start > LONG_WORD):
+            h[k] = xxhash.xxh3_64_intdigest(folded[start[k] : stop[k]])
+        coded = pa.array(h).dictionary_encode()
+        own, of = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        first = np.empty(len(own), np.int64)
+        first[of] = np.arange(len(of))
+        slot = (own >> self._shift).astype(np.intp)
+        row = self._memo[slot]
+        known = (row["h"] == own) & (row["n"] > 0)
+        at, size = row["at"].astype(np.int64), row["n"].astype(np.int64)
+        new = np.flatnonzero(~known)
+        spelt = [folded[a:b].decode() for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist())]
+        if self._lowers:  # letters of the Latin blocks have one lower case of one letter
+            spelt = [x if x.isascii() or _BEYOND_LATIN.search(x) else x.lower() for x in spelt]
+        at[new], size[new] = self._encode_each(spelt)
+        fresh = np.zeros(len(new), self._memo.dtype)
+        fresh["h"], fresh["at"], fresh["n"] = own[new], at[new], size[new]
+        self._memo[slot[new]] = fresh
+        at, size = at[of], size[of]
+        if self._special and self._special.search(seen := raw.lower()):
+            odd = sorted({int(np.searchsorted(off, m.start(), "right")) - 1 for m in self._special.finditer(seen)})
+            for k in odd:
+                ids = np.frombuffer(self._whole([raw[off[k] : off[k + 1]].decode()])[0], self.kind)
+                size[w[k] : w[k + 1]] = 0
+                at[w[k]], size[w[k]] = self._store(ids, np.array([len(ids)]))[0], len(ids)
+        if end:
+            tail = self._store(np.array(end, self.kind), np.array([len(end)]))[0]
+            at, size = np.insert(at, w[1:], tail), np.insert(size, w[1:], len(end))
+            w = w + np.arange(len(w))
+        to = np.concatenate(([0], np.cumsum(size)))
+        ids = self._ids[np.repeat(at - to[:-1], size) + np.arange(to[-1])]
+        return ids, to[w]
+
+    def encode_column(self, column: pa.Array, end: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The ids of some texts at a time, each with ``end`` after it: number of the first text, ids, and the offsets of each text's."""
+        if not self._by_word:
+            for a in range(0, len(column), 256):
+                tail = np.array(end, self.kind).tobytes()
+                own = [x + tail for x in self._whole(column.slice(a, 256).fill_null("").to_pylist())]
+                yield a, np.frombuffer(b"".join(own), self.kind), np.concatenate(([0], np.cumsum([len(x) for x in own]))) // self.kind().itemsize
+            return
+        data, off = kernel.text_bytes(column)
+        for i, j in kernel.pieces(off):
+            yield i, *self._piece(data[off[i] : off[j]], off[i : j + 1] - off[i], end)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self._by_word:
-            return self._whole(texts)
-        known = self._known
-        odd = [k for k, t in enumerate(texts) if _SEPARATOR.search(t)]
-        # letters of the Latin blocks have one lower case of one letter, so forms that differ in case share an entry
-        split = [(t if not self._lowers or "<|" in t or not t.isascii() and _BEYOND_LATIN.search(t) else t.lower()).split() for t in texts]
-        flat = list(chain.from_iterable(split))
-        got = list(map(known.get, flat))
-        gaps = [k for k, x in enumerate(got) if x is None]
-        extra = self._words(list({flat[k] for k in gaps}))
-        for k in gaps:
-            got[k] = extra[flat[k]]
-        known.update(islice(extra.items(), max(0, MOST_WORDS - len(known))))
-        to = np.cumsum([len(ws) for ws in split]).tolist()
-        out = [b"".join(got[a:b]) for a, b in zip([0, *to], to)]
-        for k in odd:
-            out[k] = self._whole([texts[k]])[0]
-        return out
+        return [ids[a:b].tobytes() for _, ids, to in self.encode_column(pa.array(texts, pa.string()), []) for a, b in zip(to[:-1], to[1:])]
 
 
 _encoders: dict[tuple, Encoder] = {}
 
 
 def encoder(path: str, by_word: bool) -> Encoder:
-    """A worker's own encoder, kept from task to task."""
+    """A worker's own encoder, kept from task to task and dropped when the worker stands idle."""
     if (path, by_word) not in _encoders:
         _encoders[path, by_word] = Encoder(path, by_word)
+    keep_warm(_encoders)
     return _encoders[path, by_word]
 
 
-def _encode_pass(path: str, by_word: bool, end_id: int):
+def _encode_pass(path: str, by_word: bool, end_id: int, sent):
+    """Encodes, and gives each row its range: by doc_id among the cuts; rows of a null id, or of one that spans several ranges, by a hash of their ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, by_word)
-        end = np.array([end_id], enc.kind).tobytes()
+        cuts, n_null = sent.value
         for batch in batches:
-            for a in range(0, len(batch), 500):
-                part = batch.slice(a, 500)
-                texts = part.column("text").fill_null("").to_pylist()
-                ids = [x + end for x in enc.encode(texts)]
-                yield pa.record_batch([part.column("range"), part.column("doc_id"), pa.array(ids, pa.large_binary()).cast(pa.binary())], names=["range", "doc_id", "ids"])
+            doc = batch.column("doc_id")
+            null, own = np.asarray(doc.is_null()), np.asarray(doc.fill_null(0))
+            low, high = np.searchsorted(cuts, own, "left"), np.searchsorted(cuts, own, "right")
+            low, high = np.where(null, 0, low + n_null), np.where(null, max(n_null, 1) - 1, high + n_null)
+            spread = (high > low + 1) | null
+            high = np.where(spread, high, low)
+            for i, ids, to in enc.encode_column(batch.column("text"), [end_id]):
+                m = len(to) - 1
+                at, tie = low[i : i + m].copy(), np.zeros(m, np.uint64)
+                for k in np.flatnonzero(spread[i : i + m]):
+                    tie[k] = xxhash.xxh3_64_intdigest(ids[to[k] : to[k + 1]].tobytes()) >> 1
+                    at[k] += int(tie[k]) * int(high[i + k] - at[k] + 1) >> 63
+                raw = pa.Array.from_buffers(pa.large_binary(), m, [None, pa.py_buffer((to * ids.itemsize).astype(np.int64)), pa.py_buffer(ids)])
+                yield pa.record_batch([pa.array(at, pa.int32()), doc.slice(i, m), pa.array(tie.view(np.int64)), raw.cast(pa.binary())], names=["range", "doc_id", "tie", "ids"])
 
     return run
 
@@ -275,11 +420,11 @@ def _write_pass(folder: str, end_id: int, wide: bool, shard_tokens: int):
     kind = np.uint32 if wide else np.uint16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, seq, docs, held, n = None, 0, [], [], 0
+        at, seq, docs, held, n, attempt = None, 0, [], [], 0, files.attempt()
 
         def flush():
             lengths = np.array([len(x) // kind().itemsize for x in held], np.int64)
-            uri = f"{folder}/part-{at:06d}-{seq:06d}.twm"
+            uri = f"{folder}/part-{at:06d}-{seq:06d}-{attempt}.twm"
             files.write_file(uri, WaveletFile.encode(np.frombuffer(b"".join(held), kind), docs, lengths, end_id))
             return pa.record_batch([[uri], pa.array([at], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([n], pa.int64())], names=["path", "range", "seq", "n_docs", "n_tokens"])
 
@@ -300,50 +445,62 @@ def _write_pass(folder: str, end_id: int, wide: bool, shard_tokens: int):
     return run
 
 
+def _cuts(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Where ranges of doc_ids of about ``RANGE_BYTES`` end, and how many further ranges the null ids fill. Only the id column is read: the
+    bytes are the planner's, from the sizes of the files."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    rows, nulls = ids.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2
+    n = max(1, min(rows // 256, max(least, -(-stored // RANGE_BYTES))))
+    n_null = -(-n * nulls // rows) if nulls else 0
+    n -= n_null
+    cuts = ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n) if n > 1 else []
+    return np.array(sorted(map(int, cuts)), np.int64), n_null
+
+
 def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, by_word: bool = False, wide: bool = False, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode ``docs(doc_id integer, text)`` and write shard files under ``folder`` (shared storage).
 
     Returns the manifest ``(path, range, seq, n_docs, n_tokens)``; ``range`` and ``seq`` give the shards' order. Ranges of
-    doc_ids come from quantiles of the id column alone (the texts are read once); equal ids stay together, rows of equal ids in
-    the order of their ids' bytes, null ids first. Null texts are empty and hold the end id only. Extra columns are
+    doc_ids come from quantiles of the id column alone (the texts are read once). Null ids come first. Rows of equal ids lie in the order of their ids'
+    bytes, or of a hash of them where an id has so many rows that they fill several ranges. Null texts are empty and hold the end id only. Extra columns are
     not read. An empty table gives no file. ``wide``: 32-bit ids, for vocabularies beyond 65,536.
     """
     files.make_folder(folder)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = int(min(MOST_RANGES, max(1, -(-total // RANGE_CHARS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2 if total > 1e6 else 1)))
-    cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n)}) if n > 1 else []
-    where = F.coalesce(F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    rows = docs.select(where.cast("int").alias("range"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.mapInArrow(releasing(_encode_pass(path, by_word, end_id)), "range int, doc_id long, ids binary")
-    rows = rows.repartition(n, "range").sortWithinPartitions("range", "doc_id", "ids")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cuts, n_null = _cuts(docs)
+    sent = docs.sparkSession.sparkContext.broadcast((cuts, n_null))  # eight bytes for each RANGE_BYTES of documents
+    rows = docs.mapInArrow(releasing(_encode_pass(path, by_word, end_id, sent)), "range int, doc_id long, tie long, ids binary")
+    rows = rows.repartitionById(len(cuts) + 1 + n_null, "range").sortWithinPartitions("range", "doc_id", "tie", "ids").select("range", "doc_id", "ids")
     return materialize(rows.mapInArrow(releasing(_write_pass(folder, end_id, wide, shard_tokens)), "path string, range int, seq int, n_docs long, n_tokens long"), "manifest")
 
 
 def read_digests(manifest: DataFrame) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` of every document, read from the files."""
+    """``(doc_id, start, n_tokens, ids_crc32)`` of every document, read from the files; a task reads the files of a range."""
 
     def run(batches):
         for batch in batches:
             for uri, r, s in zip(*(batch.column(c).to_pylist() for c in ("path", "range", "seq"))):
-                f = WaveletFile(files.read_file(uri))
-                docs, lengths = f.documents()
-                ids = f.ids()
+                with files.open_file(uri) as opened:
+                    f = WaveletFile(opened)
+                    docs, lengths = f.documents()
+                    ids = f.ids()
                 to = np.cumsum(lengths)
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip((to - lengths).tolist(), to.tolist())]
+                crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip((to - lengths).tolist(), to.tolist())]
                 yield pa.record_batch(
                     [pa.array([r] * len(docs), pa.int32()), pa.array([s] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(to - lengths), pa.array(lengths), pa.array(crc, pa.int64())],
                     names=["range", "seq", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    files_apart = manifest.select("path", "range", "seq").repartition(max(1, manifest.count()), "path")
-    docs = files_apart.mapInArrow(releasing(run), "range int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    ranges = manifest.groupBy("range").agg(F.sum("n_tokens").alias("n"))  # MOST_RANGES rows at most
+    ranges = manifest.groupBy("range").agg(F.sum("n_tokens").alias("n"))  # a row for each RANGE_BYTES of documents
+    count = (ranges.agg(F.max("range")).first()[0] or 0) + 1
+    docs = manifest.select("path", "range", "seq").repartitionById(count, "range").mapInArrow(releasing(run), "range int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     ranges = ranges.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("base"))
     shards = manifest.select("range", "seq", (F.sum("n_tokens").over(Window.partitionBy("range").orderBy("seq")) - F.col("n_tokens")).alias("before"))
     shards = shards.join(ranges, "range").select("range", "seq", (F.col("base") + F.col("before")).alias("base"))
     # the planner takes what is read from the files for as small as their names: it must not be the side that is sent
-    small = manifest.count() <= BROADCAST_ENTRIES // 40
+    small = 64 * manifest.count() <= BROADCAST_BYTES
     shards = F.broadcast(shards) if small else shards.hint("shuffle_merge")
     return docs.join(shards, ["range", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
