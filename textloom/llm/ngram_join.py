@@ -10,11 +10,12 @@
 3. Links are found by walking prefix trees with a probe set: sets that begin alike share a path and the
    overlap counted along it, and a subtree is left when what remains of either side can't reach the overlap needed. First each set is
    tried against one pivot (smallest set id under a posted shingle), twice; then, for posted shingles whose
-   sets still lie in different components, every such pair of sets meets in some tree, in bounded blocks.
-   Pairs already connected are skipped: they cannot change the components.
+   sets still lie in different components, every such pair of sets meets in some tree, in bounded blocks that are walked with many
+   probes at once. Pairs already connected are skipped: they cannot change the components.
 
-Equal sets are one vertex throughout, so copies cost one row each. Shingles are told apart by 56 bits of
-hash: two documents of a thousand shingles see a false common one with a chance of about 1e-11.
+Equal sets are one vertex throughout, so copies cost one row each. Shingles are told apart by 54 to 64 bits of hash (48, and those that
+number the ranges, which follow the stored size): two documents of a thousand shingles see a false common one with a chance of 1e-10 at most.
+A shingle that many documents of a block have goes to its range once for the block.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,22 +34,24 @@ from . import kernel
 from .components import components
 from .runtime import materialize, releasing, without_ids
 
-#: Shingles packed together by a task, and sets of one side in a tree.
-BLOCK_SHINGLES = 2_000_000
+#: Shingles packed together by a task, and shingles counted together, about; sets of one side in a tree.
+BLOCK_SHINGLES = 500_000
+RANGE_SHINGLES = 1_000_000
 TREE_SETS = 1000
-
-_RANGED = "r int, blk long, meta boolean, nd int, a binary, b binary, c binary"
+#: Probes that walk a tree together: so many that a bit for each of the tree's tokens and probe takes so many bytes.
+WALK_BYTES = 8_000_000
+#: Documents of a block at most: their places take 16 bits beside 48 bits of a shingle's hash. A shingle of so many documents of a block, or more, goes
+#: to its range once for the block, so that a shingle of a third of all documents does not crowd a range; places from ``BLOCK_DOCS`` on stand for those.
+BLOCK_DOCS = 60_000
+OFTEN = 128
+#: Shingles that a stored byte of documents gives, about, and the bits that a range takes at most.
+SHINGLES_A_BYTE = 0.3
+MOST_BITS = 16
+
+_RANGED = "r int, blk long, meta boolean, nd int, a binary, b binary"
 _SETS = "doc_id long, sig binary, n int, toks binary"
 
 
-def _z(a: np.ndarray) -> bytes:
-    return pa.compress(a.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unz(b: bytes, n: int, kind) -> np.ndarray:
-    return np.frombuffer(pa.decompress(b, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind)
-
-
 def pack(tokens: np.ndarray) -> bytes:
     """Rising longs as differences, byte plane by byte plane: mostly zero planes, which any codec squeezes."""
     d = np.diff(tokens, prepend=np.int64(0)).astype("<i8")
@@ -58,99 +62,143 @@ def unpack(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<i8").ravel())
 
 
+def _binary(flat: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Slices of an array, between the cuts, as binary values."""
+    return pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer((cut * flat.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+
+
+def _flat(column: pa.ChunkedArray | pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All binary values of a column as one array of ``kind``, and where each begins."""
+    column = pa.concat_arrays([c.cast(pa.large_binary()) for c in column.chunks]) if column.num_chunks else pa.array([], pa.large_binary())
+    if column.buffers()[2] is None:
+        return np.zeros(0, kind), np.zeros(len(column) + 1, np.int64)
+    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]].view(kind), (off - off[0]) // np.dtype(kind).itemsize
+
+
 def _hash_pass(n_words: int, bits: int):
     def flush(blk, ids, sets):
         sizes = np.array([len(s) for s in sets], np.int64)
-        h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        doc = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+        h = np.concatenate(sets)
+        sets.clear()
+        some, first = np.flatnonzero(sizes), (np.cumsum(sizes) - sizes)[sizes > 0]
+        sig = np.zeros((len(ids), 2), np.uint64)
+        if len(h):
+            m = kernel.mix(h)
+            sig[some, 0] = np.add.reduceat(m, first)
+            sig[some, 1] = np.bitwise_xor.reduceat(kernel.mix(m + np.uint64(1)), first)
+        place = np.repeat(np.arange(len(ids), dtype=np.uint64), sizes)
+        coded = pa.array(h).dictionary_encode()
+        of = coded.indices.to_numpy()
+        count = np.bincount(of)
+        often = np.flatnonzero(count >= OFTEN)
+        hot_docs, hot_cut = np.zeros(0, np.uint16), np.zeros(1, np.int32)
+        if len(often):
+            number = np.full(len(count), -1, np.int64)
+            number[often] = np.arange(len(often))
+            which = number[of]
+            at = np.flatnonzero(which >= 0)
+            at = at[np.argsort(which[at], kind="stable")]
+            hot_docs, hot_cut = place[at].astype(np.uint16), np.concatenate(([0], np.cumsum(count[often]))).astype(np.int32)
+            rest = which < 0
+            h = np.concatenate((h[rest], coded.dictionary.to_numpy()[often]))
+            place = np.concatenate((place[rest], np.arange(BLOCK_DOCS, BLOCK_DOCS + len(often), dtype=np.uint64)))
+        # a word: 48 bits of the hash, and the document's place
+        word = (h << np.uint64(bits)) & ~np.uint64(0xFFFF) | place
         r = (h >> np.uint64(64 - bits)).astype(np.uint16)
         order = np.argsort(r, kind="stable")
         cut = np.searchsorted(r[order], np.arange(2**bits + 1))
-        h, doc = h[order], doc[order]
-        low = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6])
-        m = kernel.mix(h)
-        sig = np.zeros((len(sets), 2), np.uint64)
-        np.add.at(sig[:, 0], doc, m)
-        np.bitwise_xor.at(sig[:, 1], doc, kernel.mix(m + np.uint64(1)))
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, named := pa.schema([("id", pa.int64())])) as stream:
-            stream.write_batch(pa.record_batch([pa.array(ids, pa.int64())], schema=named))
-        rows = [(int(kernel.mix(np.array([blk], np.uint64))[0] >> np.uint64(64 - bits)), blk, True, len(sets), _z(sizes.astype(np.int32)), sig.tobytes(), sink.getvalue().to_pybytes())]
-        for k in np.flatnonzero(np.diff(cut)):
-            a, b = cut[k], cut[k + 1]
-            rows.append((int(k), blk, False, len(sets), _z(np.bincount(doc[a:b], minlength=len(sets)).astype(np.int32)), low[a:b].tobytes(), b""))
-        kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["r", "blk", "meta", "nd", "a", "b", "c"])
+        word = word[order]
+        own = np.flatnonzero(np.diff(cut))
+        here = int(kernel.mix(np.array([blk], np.uint64))[0] >> np.uint64(64 - bits))
+        meta = _stream(pa.table({"id": pa.array([ids], pa.list_(pa.int64())), "n": pa.array([sizes.astype(np.int32)]), "docs": pa.array([hot_docs]), "cut": pa.array([hot_cut])}))
+        names = _names(_RANGED)
+        yield pa.record_batch([pa.array([here], pa.int32()), pa.array([blk]), pa.array([True]), pa.array([len(ids)], pa.int32()), pa.array([sig.tobytes()], pa.binary()), pa.array([meta], pa.binary())], names=names)
+        for a in range(0, len(own), 256):
+            k = own[a : a + 256]
+            at = np.append(cut[k], cut[k[-1] + 1])
+            n = len(k)
+            yield pa.record_batch([pa.array(k, pa.int32()), pa.array(np.full(n, blk)), pa.array(np.zeros(n, bool)), pa.array(np.full(n, len(ids)), pa.int32()), _binary(word[at[0] : at[-1]], at - at[0]), pa.array([b""] * n, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blk, ids, sets, held = TaskContext.get().partitionId() << 32, [], [], 0
+        most = max(BLOCK_SHINGLES, 32 << bits)  # some shingles for each range, however many there are
         for batch in batches:
             own = batch.column("doc_id").to_pylist()
             for i, s in enumerate(kernel.shingle_sets(*kernel.text_bytes(batch.column("text")), n_words)):
                 ids.append(own[i])
                 sets.append(s)
                 held += len(s)
-                if held >= BLOCK_SHINGLES or len(ids) >= 200_000:
-                    yield flush(blk, ids, sets)
+                if held >= most or len(ids) >= BLOCK_DOCS:
+                    yield from flush(blk, ids, sets)
                     blk, ids, sets, held = blk + 1, [], [], 0
         if ids:
-            yield flush(blk, ids, sets)
+            yield from flush(blk, ids, sets)
 
     return run
 
 
+def _stream(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split(" ")[0] for c in schema.split(", ")]
+
+
 def _count_range(table: pa.Table) -> pa.Table:
-    """Number the shingles of a range that two or more documents have; rarer ones first within a class of counts."""
-    kinds = table.schema
-    rows = table.to_pylist()
-    out = [r for r in rows if r["meta"]]
-    rows = [r for r in rows if not r["meta"]]
-    hs = []
-    for x in rows:
-        raw = np.frombuffer(x["b"], np.uint8).reshape(-1, 6)
-        h = np.zeros((len(raw), 8), np.uint8)
-        h[:, :6] = raw
-        hs.append(h.view("<u8").ravel())
-    if hs:
-        h = np.concatenate(hs)
-        order = np.argsort(h)
-        s = h[order]
-        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        df = np.diff(np.append(first, len(s)))
-        level = np.minimum(np.log2(df).astype(np.int64), 62)
+    """Give the shingles of a range that two or more documents have their places in the global order: (class of counts, range, number)."""
+    meta = table.filter(table["meta"])
+    rows = table.filter(pc.invert(table["meta"]))
+    word, off = _flat(rows["a"], np.uint64)
+    token = np.full(len(word), -1, np.int64)
+    r = int(table["r"][0].as_py())
+    slices, told = max(0, (len(word) // (4 * RANGE_SHINGLES)).bit_length()), 0
+    for part in range(1 << slices):  # a crowded range goes slice by slice of its hashes
+        at = np.arange(len(word)) if not slices else np.flatnonzero(word >> np.uint64(64 - slices) == part)
+        key = word[at] >> np.uint64(16)
+        order = np.argsort(key)
+        key = key[order]
+        if not len(key):
+            continue
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        runs = np.diff(np.append(first, len(key)))
+        df = np.add.reduceat(np.where(word[at[order]] & np.uint64(0xFFFF) < BLOCK_DOCS, 1, OFTEN), first)
+        shared = df > 1
         number = np.full(len(df), -1, np.int64)
-        rank = np.argsort(level, kind="stable")
-        rank = rank[level[rank] > 0]
-        number[rank] = np.arange(len(rank))
-        bounds = np.searchsorted(level[rank], np.arange(64)).astype(np.int64).tobytes()
-        of = np.empty(len(h), np.int64)
-        of[order] = np.repeat(number, df)
-        at = 0
-        for x, own in zip(rows, hs):
-            mine, at = of[at : at + len(own)], at + len(own)
-            docs = np.repeat(np.arange(x["nd"]), _unz(x["a"], x["nd"], np.int32))
-            had = mine >= 0
-            if had.any():
-                out.append(x | {"a": _z(np.bincount(docs[had], minlength=x["nd"]).astype(np.int32)), "b": mine[had].astype(np.uint32).tobytes(), "c": bounds})
-    return pa.Table.from_pylist(out, schema=kinds)
+        level = np.log2(df[shared]).astype(np.int64)
+        number[shared] = level << 48 | np.int64(r) << 32 | np.arange(told, told + len(level))
+        told += len(level)
+        token[at[order]] = np.repeat(number, runs)
+    kept = token >= 0
+    cut = np.concatenate(([0], np.cumsum(kept)))[off]
+    some = np.flatnonzero(np.diff(cut))
+    at = np.append(cut[some], cut[-1])
+    out = rows.take(pa.array(some)).select(["r", "blk", "meta", "nd"])
+    docs = (word[kept] & np.uint64(0xFFFF)).astype(np.uint16)
+    out = out.append_column("a", _binary(docs, at)).append_column("b", _binary(token[kept], at))
+    return pa.concat_tables([meta, out.cast(meta.schema)])
 
 
 def _gather_block(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        meta = next(r for r in rows if r["meta"])
-        nd = meta["nd"]
-        sizes = _unz(meta["a"], nd, np.int32).astype(np.int64)
-        ids = pa.ipc.open_stream(meta["c"]).read_all().column("id").combine_chunks()
-        docs, toks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x in rows:
-            if x["meta"]:
-                continue
-            number = np.frombuffer(x["b"], np.uint32).astype(np.int64)
-            level = np.searchsorted(np.frombuffer(x["c"], np.int64), number, "right") - 1
-            docs.append(np.repeat(np.arange(nd), _unz(x["a"], nd, np.int32)))
-            toks.append((level << 48) | (np.int64(x["r"]) << 32) | number)
-        docs, toks = np.concatenate(docs), np.concatenate(toks)
+        head = table.filter(table["meta"]).to_pylist()[0]
+        rows = table.filter(pc.invert(table["meta"]))
+        nd = head["nd"]
+        kept = pa.ipc.open_stream(head["b"]).read_all()
+        own = {c: kept[c].combine_chunks().values for c in kept.column_names}
+        sizes = own["n"].to_numpy().astype(np.int64)
+        docs, toks = _flat(rows["a"], np.uint16)[0].astype(np.int64), _flat(rows["b"], np.int64)[0]
+        if len(own["docs"]):
+            hot, each = docs >= BLOCK_DOCS, own["cut"].to_numpy().astype(np.int64)
+            k, often = docs[hot] - BLOCK_DOCS, toks[hot]
+            size = each[k + 1] - each[k]
+            to = np.cumsum(size)
+            more = own["docs"].to_numpy()[np.repeat(each[k] - to + size, size) + np.arange(size.sum())]
+            docs, toks = np.concatenate((docs[~hot], more.astype(np.int64))), np.concatenate((toks[~hot], np.repeat(often, size)))
         live = num * sizes <= den * np.bincount(docs, minlength=nd)
         live &= sizes > 0
         keep = live[docs]
@@ -160,7 +208,8 @@ def _gather_block(num: int, den: int):
         docs, toks = docs[order], toks[order]
         cut = np.searchsorted(docs, np.arange(nd + 1))
         packed = [pack(toks[cut[i] : cut[i + 1]]) if live[i] else None for i in range(nd)]
-        return pa.table({"doc_id": ids, "sig": pa.array([meta["b"][16 * i : 16 * i + 16] for i in range(nd)], pa.binary()), "n": pa.array(sizes.astype(np.int32)), "toks": pa.array(packed, pa.binary())})
+        sigs = _binary(np.frombuffer(head["a"], np.uint8), np.arange(nd + 1) * 16)
+        return pa.table({"doc_id": own["id"], "sig": sigs, "n": own["n"], "toks": pa.array(packed, pa.binary())})
 
     return run
 
@@ -168,9 +217,10 @@ def _gather_block(num: int, den: int):
 def ordered_sets(docs: DataFrame, n_words: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """``(doc_id, sig, n, toks)``, a row per document: the set's signature and size, and its shared shingles in the
     global order, or null where too few are shared for any link to a different text or a copy."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(12, max(6, math.ceil(math.log2(2 * parts))))
-    ranged = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(_hash_pass(n_words, bits)), _RANGED)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    stored = min(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 50)
+    bits = min(MOST_BITS, max(6, math.ceil(math.log2(max(1, SHINGLES_A_BYTE * stored / RANGE_SHINGLES)))))
+    ranged = docs.mapInArrow(releasing(_hash_pass(n_words, bits)), _RANGED)
     numbered = ranged.groupBy("r").applyInArrow(_count_range, _RANGED)
     return numbered.groupBy("blk").applyInArrow(_gather_block(*threshold), _SETS)
 
@@ -183,7 +233,7 @@ class PrefixTree:
     """
 
     def __init__(self, sets: list[np.ndarray], sizes: list[int]):
-        self.sizes = sizes
+        self.sizes, self.known = sizes, np.unique(np.concatenate([np.zeros(0, np.int64), *sets]))
         order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
         self.root = self._node(np.zeros(0, np.int64))
         path: list[tuple[int, dict]] = [(0, self.root)]  # depth at which a node's run ends
@@ -214,19 +264,59 @@ class PrefixTree:
 
     @staticmethod
     def _node(run):
-        return {"run": run, "kids": [], "rows": [], "least": 1 << 60, "most": 0, "rest": 0}
+        return {"run": run, "kids": [], "rows": [], "least": 1 << 60, "most": 0, "rest": 0, "comp": -1}
 
     def _close(self, sizes):
         todo, out = [self.root], []
         while todo:
             out.append(node := todo.pop())
             todo += node["kids"]
+        self._order = out
         for node in reversed(out):
             own = [sizes[i] for i in node["rows"]]
             node["least"] = min([*own, *(k["least"] for k in node["kids"])], default=0)
             node["most"] = max([*own, *(k["most"] for k in node["kids"])], default=0)
             node["rest"] = len(node["run"]) + max((k["rest"] for k in node["kids"]), default=0)
 
+    def walk_all(self, probes: list[np.ndarray], sizes: list[int], num: int, den: int, links: Links, first: int = 0) -> None:
+        """Walk with many probes at once: a node is visited with those that still may overlap enough. Links between different components go
+        to ``links``, where probe i is number ``first + i``; pairs within one component are passed over."""
+        known = self.known
+        has = np.zeros((len(probes), len(known) + 1), bool)
+        for i, p in enumerate(probes):
+            at = np.searchsorted(known, p)
+            at = at[at < len(known)] if len(p) else at
+            has[i, at[known[at] == p[: len(at)]]] = True
+        left = np.cumsum(has[:, ::-1], axis=1, dtype=np.int32)[:, ::-1]  # tokens of the tree that a probe has from each on
+        size = np.array(sizes, np.int64)
+        todo = [(self.root, np.arange(len(probes)), np.zeros(len(probes), np.int64))]
+        while todo:
+            node, who, have = todo.pop()
+            own = size[who]
+            stay = (den * node["most"] >= num * own) & (num * node["least"] <= den * own)
+            run = np.searchsorted(known, node["run"])
+            if len(run):
+                need = -(-num * (own + np.maximum(node["least"], -(-num * own // den))) // (num + den))
+                stay &= have + np.minimum(node["rest"], left[who, run[0]]) >= need
+            if node["comp"] >= 0:
+                stay &= links.apart(first + who, node["comp"])
+            if not stay.any():
+                continue
+            who, have = who[stay], have[stay]
+            if len(run):
+                have = have + np.count_nonzero(has[np.ix_(who, run)], axis=1)
+            for i in node["rows"]:
+                fits = who[(num + den) * have >= num * (size[who] + self.sizes[i])]
+                for k in fits[links.apart(first + fits, links.built[i])].tolist():
+                    links.join(first + k, i)
+            todo += [(k, who, have) for k in node["kids"]]
+
+    def mark(self, comp: np.ndarray) -> None:
+        """Note in each node the component of all rows below it, or -1 if there are several."""
+        for node in reversed(self._order):
+            seen = {int(comp[i]) for i in node["rows"]} | {k["comp"] for k in node["kids"]}
+            node["comp"] = seen.pop() if len(seen) == 1 else -1
+
     def walk(self, probe: np.ndarray, size: int, num: int, den: int, skip=None) -> Iterator[int]:
         """Rows whose Jaccard similarity with the probe (its shared tokens, its full size) is num/den at least.
 
@@ -281,30 +371,41 @@ def _try_pivots(num: int, den: int):
     return run
 
 
+class Links:
+    """Components met in a group, and the links found between them: ``label`` numbers each component's merged one."""
+
+    def __init__(self, built: list[dict], asked: list[dict]):
+        self._built, self._asked, number = built, asked, {}
+        self.built, self.asked = (np.array([number.setdefault(r["comp"], len(number)) for r in side], np.int64) for side in (built, asked))
+        self.label = np.arange(len(number))
+        self.found: list[tuple[bytes, bytes]] = []
+
+    def apart(self, probes: np.ndarray, comp: int) -> np.ndarray:
+        return self.label[self.asked[probes]] != self.label[comp]
+
+    def join(self, probe: int, row: int) -> None:
+        a, b = self.label[self.asked[probe]], self.label[self.built[row]]
+        if a != b:
+            self.label[self.label == a] = b
+            self.found.append((self._asked[probe]["sig"], self._built[row]["sig"]))
+
+
 def _join_blocks(num: int, den: int):
     """Each group: two blocks of sets under one posted shingle (or one block twice). Links between components not yet joined."""
 
     def run(batches):
         for rows in _groups(batches, ["key", "i", "j"]):
-            parent: dict[bytes, bytes] = {}
-
-            def root(c):
-                while (p := parent.get(c, c)) != c:
-                    parent[c] = c = parent.get(p, p)
-                return c
-
             built = [r for r in rows if r["side"] == 0]
+            asked = built if rows[0]["i"] == rows[0]["j"] else [r for r in rows if r["side"] == 1]
+            links = Links(built, asked)
             tree = PrefixTree([unpack(r["toks"]) for r in built], [r["n"] for r in built])
-            alone = rows[0]["i"] == rows[0]["j"]
-            found = []
-            for r in built if alone else [r for r in rows if r["side"] == 1]:
-                mine = lambda i, c=r["comp"]: root(built[i]["comp"]) == root(c)
-                for i in tree.walk(unpack(r["toks"]), r["n"], num, den, mine):
-                    if not mine(i):
-                        parent[root(built[i]["comp"])] = root(r["comp"])
-                        found.append((r["sig"], built[i]["sig"]))
-            if found:
-                yield _links(found)
+            tree.mark(links.built)
+            some = max(1, min(256, WALK_BYTES // (1 + len(tree.known))))
+            for a in range(0, len(asked), some):
+                part = asked[a : a + some]
+                tree.walk_all([unpack(r["toks"]) for r in part], [r["n"] for r in part], num, den, links, a)
+            if links.found:
+                yield _links(links.found)
 
     return run
 
@@ -375,6 +476,10 @@ def _exhaust(mixed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     is cut into blocks. A block of either side meets every block of the small side, so that the sets of the large
     component, which are connected already, are never compared with each other.
     """
+    # shingles under which the same sets meet ask for the same comparisons: one of them is enough
+    print_ = [F.bit_xor(F.xxhash64("sig", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    alike = mixed.groupBy("key").agg(*print_, F.count("*").alias("k")).groupBy("x0", "x1", "k").agg(F.min("key").alias("key"))
+    mixed = materialize(mixed.join(alike.select("key"), "key", "left_semi"), "meeting")
     sizes = mixed.groupBy("key", "comp").count()
     top = sizes.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.max("count").alias("n_top"), F.sum("count").alias("n_all"))
     rows = mixed.join(top, "key").withColumn("large", F.col("comp") == F.col("top"))
