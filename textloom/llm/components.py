@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import discard, materialize
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, now = now, materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
         was, seen = seen, _print(now)
         if was == seen:
             return now

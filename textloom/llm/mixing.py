@@ -16,21 +16,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import look_up, materialize
+from .runtime import BROADCAST_BYTES, ROW_BYTES, discard, materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 #: Documents rounded in one task, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
+
+
+def _size(text: Column) -> Column:
+    bare = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, SPACE))).cast("long")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
     """``(doc_id, source, size)``: words of every whole text; null: 0."""
-    bare = F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r"))
-    n = F.when(bare == "", 0).otherwise(F.size(F.split(bare, SPACE))).cast("long")
-    return docs.select("doc_id", "source", n.alias("size"))
+    return docs.select("doc_id", "source", _size(F.col("text")).alias("size"))
 
 
 def targets(by_source: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -57,10 +60,11 @@ def _rate(lam: Column, x: Column, most: int) -> Column:
     return F.when(lam.isNull(), F.lit(float(most))).otherwise(F.lit(float(most)) / (1 + F.exp(F.least(F.lit(700.0), -lam * x))))
 
 
-def tilts(histogram: DataFrame, goals: DataFrame, most: int = MOST, rounds: int = 60) -> DataFrame:
+def tilts(histogram: DataFrame, goals: DataFrame, most: int = MOST, rounds: int = 500) -> DataFrame:
     """``histogram(source, size, n)``, ``goals(source, total, target, mean)`` -> ``goals`` with ``lam``; null: the full rate.
 
-    Newton steps from the tilt that equal sizes would need, inside a bracket that first doubles outwards; a source stops within half a token or 1e-9 of its target.
+    Newton steps from the tilt that equal sizes would need, inside a bracket that first doubles outwards; a source stops within half a token or 1e-9
+    of its target, or where its bracket is as narrow as numbers get. Raises if a source has not stopped after ``rounds`` (brackets halve, so none should).
     """
     same = F.col("h.source").eqNullSafe(F.col("g.source"))
     done = F.col("target") >= F.col("total") * float(most) * (1 - 1e-12)
@@ -82,6 +86,7 @@ def tilts(histogram: DataFrame, goals: DataFrame, most: int = MOST, rounds: int
         over = F.col("have") > F.col("target")
         lo, hi = F.when(over, F.col("lo")).otherwise(F.col("lam")), F.when(over, F.col("lam")).otherwise(F.col("hi"))
         near = F.abs(F.col("have") - F.col("target")) <= F.greatest(F.lit(0.5), 1e-9 * F.col("target"))
+        near = near | F.coalesce(F.col("hi") - F.col("lo") <= 1e-15 * F.greatest(F.lit(1.0), F.abs("lam")), F.lit(False))
         new = new.withColumn("stop", F.col("ok") | F.coalesce(near, F.lit(True)))
         new = new.withColumn("lo", F.when(F.col("stop"), F.col("lo")).otherwise(lo)).withColumn("hi", F.when(F.col("stop"), F.col("hi")).otherwise(hi))
         newton = F.col("lam") + (F.col("target") - F.col("have")) / F.greatest(F.col("slope"), F.lit(1e-300))
@@ -93,10 +98,11 @@ def tilts(histogram: DataFrame, goals: DataFrame, most: int = MOST, rounds: int
             .otherwise((F.col("lo") + F.col("hi")) / 2)
         )
         lam = F.when(F.col("stop"), F.col("lam")).otherwise(bounded)
-        state = materialize(new.select("source", "total", "target", "mean", lam.alias("lam"), "lo", "hi", F.col("stop").alias("ok")), "tilts")
+        before, state = state, materialize(new.select("source", "total", "target", "mean", lam.alias("lam"), "lo", "hi", F.col("stop").alias("ok")), "tilts")
+        discard(before)
         if state.where("not ok").isEmpty():
-            break
-    return state.select("source", "total", "target", "mean", "lam")
+            return state.select("source", "total", "target", "mean", "lam")
+    raise RuntimeError(f"tilts did not settle in {rounds} rounds")
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -148,9 +154,16 @@ def _round(most: int):
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The documents as often as the mix takes them, columns as they come.
 
-    Rows that share a doc_id all take the most copies that one of them got; rows without one stay once.
+    Rows of one doc_id (or none), source and size share the copies that they got together: each has the whole part of an even share, and a hash of its text
+    says which have one more, so that with many such rows their sum is met nearly.
     """
-    picked = mix(docs, weights, share, most).where("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    found = look_up(docs, materialize(picked.where("_copies <> 1"), "copies"))
-    times = F.expr("CASE WHEN coalesce(_copies, 1) > 0 THEN sequence(1L, coalesce(_copies, 1L)) ELSE array() END")
-    return found.withColumn("_copies", F.explode(times)).select(*docs.columns)
+    doc = F.col("doc_id").cast("long")
+    key = [F.xxhash64(doc, "source", doc.isNull(), F.col("source").isNull(), size) for size in ("size", _size(F.col("text")))]
+    picked = mix(docs, weights, share, most).groupBy(key[0].alias("key")).agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).where("copies <> n")
+    picked = materialize(picked.select(F.col("key").alias("__mix_key"), F.col("n").alias("__mix_n"), F.col("copies").alias("__mix_copies")), "copies")
+    picked = F.broadcast(picked) if picked.count() <= BROADCAST_BYTES // ROW_BYTES else picked.hint("shuffle_merge")
+    found = docs.join(picked, key[1] == F.col("__mix_key"), "left")
+    one_more = F.pmod(F.xxhash64("text", F.lit("share")), F.col("__mix_n")) < F.col("__mix_copies") % F.col("__mix_n")
+    times = F.coalesce(F.floor(F.col("__mix_copies") / F.col("__mix_n")) + F.when(one_more, 1).otherwise(0), F.lit(1)).cast("long")
+    times = F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>"))
+    return found.withColumn("__mix_copies", F.explode(times)).select(*[docs[c] for c in docs.columns])

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .components import components
-from .runtime import materialize, releasing, without_ids
+from .runtime import discard, materialize, releasing, without_ids
 
 #: Shingles packed together by a task, and shingles counted together, about; sets of one side in a tree.
 BLOCK_SHINGLES = 500_000
@@ -444,10 +444,13 @@ def similar_components(docs: DataFrame, n_words: int = 5, threshold: tuple[int,
         probes = sets.select(F.col("sig").alias("pivot"), F.col("n").alias("p_n"), F.col("toks").alias("p_toks"))
         return held.join(probes, "pivot").sortWithinPartitions("pivot").mapInArrow(releasing(_try_pivots(num, den)), "u binary, v binary")
 
+    passing: list[DataFrame] = []
+
     def labelled(roots: DataFrame) -> DataFrame:
         """Postings under shingles whose sets lie in several components."""
         own = posted.join(roots.withColumnRenamed("u", "sig"), "sig", "left").select("key", "sig", F.coalesce("v", "sig").alias("comp"))
-        own = materialize(own, "labelled")
+        discard(*passing)
+        passing[:] = [own := materialize(own, "labelled")]
         ends = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("sig", F.struct("comp", "sig")).alias("p_lo"), F.max_by("sig", F.struct("comp", "sig")).alias("p_hi")).where("lo <> hi")
         return own.join(ends, "key")
 
@@ -455,12 +458,14 @@ def similar_components(docs: DataFrame, n_words: int = 5, threshold: tuple[int,
     roots = components(links)
     mixed = labelled(roots)
     more = verified(mixed.select("sig", F.when(F.col("comp") != F.col("lo"), F.col("p_lo")).otherwise(F.col("p_hi")).alias("pivot")))
-    links = materialize(links.union(more), "links")
+    first, links = links, materialize(links.union(more), "links")
     roots = components(links)
     mixed = materialize(labelled(roots).select("key", "sig", "comp"), "mixed")
     if not mixed.isEmpty():
-        links = materialize(links.union(_exhaust(mixed, sets, num, den)), "links")
+        last, links = links, materialize(links.union(_exhaust(mixed, sets, num, den)), "links")
+        discard(last)
         roots = components(links)
+    discard(posted, first, links, mixed, *passing)
     named = sets.select("sig", "low").join(roots.withColumnRenamed("u", "sig"), "sig", "left").select("sig", F.coalesce("v", "sig").alias("root"), "low")
     ids = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = named.select("sig", "root").join(ids, "root").select("sig", "component_id")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import materialize, without_ids
+from .runtime import materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rule -> (statistic, +1 rejects above the cutoff, -1 below it; grid).
@@ -52,8 +52,11 @@ def _repeated(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(_bind(pairs, covered))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """``(doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)`` of every whole text; null: no words."""
+def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """``(doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)`` of every whole text; null: no words.
+
+    ``carry``: the row's own columns too, in the struct ``row``.
+    """
     text = F.coalesce("text", F.lit(""))
     bare = F.trim(text, F.lit(" \t\n\x0b\f\r"))
     words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
@@ -66,7 +69,9 @@ def statistics(docs: DataFrame) -> DataFrame:
     def of_words(h: Column) -> Column:
         return F.struct(F.size(h).cast("long").alias("n_words"), _bind(windows(h), _repeated).alias("n_repeat_words"))
 
+    own = [F.struct(*docs.columns).alias("row")] if carry else []
     stats = docs.select(
+        *own,
         F.col("doc_id"),
         F.coalesce("lang", F.lit("")).alias("stratum"),
         _bind(F.transform(words, lambda w: F.xxhash64(w)), of_words).alias("w"),
@@ -74,7 +79,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         _bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
-    stats = stats.select("doc_id", "stratum", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
+    stats = stats.select(*["row"] * carry, "doc_id", "stratum", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
     return stats.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
@@ -130,13 +135,13 @@ def certified_cutoffs(stats: DataFrame, labels: DataFrame, max_false_rejection:
     return rows.where(sure).groupBy("stratum").agg(*[tightest(r, sign).alias(r) for r, (_, sign, _) in RULES.items()])
 
 
-def judge(docs: DataFrame, labels: DataFrame, max_false_rejection: float = MAX_FALSE_REJECTION, alpha: float = ALPHA) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, max_false_rejection: float = MAX_FALSE_REJECTION, alpha: float = ALPHA, carry: bool = False) -> DataFrame:
     """``docs(doc_id, text, lang, ...)`` -> the statistics of every row, ``base_failed``, ``failed_rules`` and ``kept``.
 
     A row per input row, repeated rows too. Null text: no words, so rejected. Null language: a stratum of its own ('').
-    A null doc_id is judged by its stratum's cutoffs like any other. Extra columns are not read. Empty tables give no rows.
+    A null doc_id is judged by its stratum's cutoffs like any other. ``carry`` adds the struct ``row`` of the row's own columns. Extra columns are not read. Empty tables give no rows.
     """
-    stats = materialize(statistics(docs), "statistics")
+    stats = materialize(statistics(docs, carry), "statistics")
     cutoffs = materialize(certified_cutoffs(stats, labels, max_false_rejection, alpha), "cutoffs")
     failed = [F.when((F.expr(x) - F.col(r)) * sign > 0, F.lit(r)) for r, (x, sign, _) in RULES.items()]
     judged = stats.join(cutoffs, "stratum", "left").withColumn("failed_rules", F.array_compact(F.array(*failed)))
@@ -145,6 +150,5 @@ def judge(docs: DataFrame, labels: DataFrame, max_false_rejection: float = MAX_F
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_false_rejection: float = MAX_FALSE_REJECTION, alpha: float = ALPHA) -> DataFrame:
-    """The documents that are kept, columns as they come. Rows without a doc_id are kept if they have a text."""
-    judged = materialize(judge(docs, labels, max_false_rejection, alpha), "judged")
-    return without_ids(docs.where("doc_id is not null or text is not null"), judged.where("not kept").select("doc_id"))
+    """The documents that are kept, columns as they come. Each row goes by its own verdict, whether or not it has an id or shares it."""
+    return judge(docs, labels, max_false_rejection, alpha, carry=True).where("kept").select("row.*")
