@@ -41,7 +41,7 @@ STAGES = [
     ("token_output", token_output),
 ]
 
-#: Tokenization and the binomial search have no SQL form. Tests hold the operators of the stages against brute force, not yet run() as a whole.
+#: Tokenization and the binomial search have no SQL form. Tests hold each stage and the chain against brute force.
 ORACLE_SQL = None
 
 
