@@ -76,8 +76,10 @@ def test_packers(spark):
     assert aware.count() == 2
     small = chunking.pack_elements(elements(spark, [(words(5), "text", 1, "6.6 A"), (words(5), "text", 2, "6.7 B")]), "section_aware", 100, 10, 30, 200, **size)
     assert small.count() == 1
-    named = chunking.pack_elements(elements(spark, [("6.6.1 One\nx", "text", 1, "6.6.1 One"), ("6.6.2 Two\ny", "text", 1, "6.6.2 Two")]), "hybrid", 100, 0, 50, 200, **size).first()
+    named = chunking.pack_elements(elements(spark, [("6.6.1 One\n", "text", 1, "6.6.1 One"), ("x\n6.6.2 Two\ny", "text", 1, "6.6.2 Two")]), "hybrid", 100, 0, 50, 200, **size).first()
     assert named.section_title == "6.6 (Multiple subsections)"
+    latest = chunking.pack_elements(elements(spark, [("6.6.1 One x", "text", 1, "6.6.1 One"), ("7.1 Two y", "list_item", 1, "7.1 Two"), (" ", "text", 9, None), (None, "text", 9, "z")]), "hybrid", 100, 0, 50, 200, **size).collect()
+    assert [(r.section_title, r.chunk_type, r.page_numbers) for r in latest] == [("7.1 Two", "text", [1])]
     with pytest.raises(ValueError):
         chunking.create_chunker("other")
 

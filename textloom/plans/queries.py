@@ -518,8 +518,13 @@ def q_elements(s, d):
     return e.withColumn("level", T.level_by_length("text")).withColumn("section_title", carried)
 
 
-@query(r"""WITH RECURSIVE src AS (SELECT doc_id, text, length(text) // 4 > 200 AS long, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS sent FROM documents WHERE text IS NOT NULL),
-parts AS (SELECT doc_id, CASE WHEN long THEN sent ELSE [text] END AS p FROM src WHERE long),
+_PARAS = "CASE WHEN doc_id % 2 = 0 THEN replace(text, '. ', '.' || chr(10) || chr(10)) ELSE text END"
+
+
+@query(rf"""WITH RECURSIVE doc AS (SELECT doc_id, {_PARAS} AS text FROM documents WHERE text IS NOT NULL), src AS (SELECT *, length(text) // 4 > 200 AS long FROM doc),
+para AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM src WHERE long),
+bits AS (SELECT doc_id, i, CASE WHEN length(p) // 4 > 200 THEN string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) ELSE [p] END AS b FROM para),
+parts AS (SELECT doc_id, flatten(list(b ORDER BY i)) AS p FROM bits GROUP BY doc_id),
 st AS (SELECT doc_id, 1 AS i, CAST([] AS VARCHAR[]) AS done, p[1] AS cur, length(p[1]) // 4 AS n FROM parts
   UNION ALL SELECT st.doc_id, i + 1, CASE WHEN n + length(p[i + 1]) // 4 <= 200 THEN done ELSE list_append(done, cur) END,
     CASE WHEN n + length(p[i + 1]) // 4 <= 200 THEN cur || chr(10) || chr(10) || p[i + 1] WHEN cur = '' THEN p[i + 1] ELSE right(cur, 80) || chr(10) || chr(10) || p[i + 1] END,
@@ -527,27 +532,73 @@ st AS (SELECT doc_id, 1 AS i, CAST([] AS VARCHAR[]) AS done, p[1] AS cur, length
 fin AS (SELECT doc_id, list_append(done, cur) AS c FROM st JOIN parts USING (doc_id) WHERE i = len(p) UNION ALL SELECT doc_id, [text] FROM src WHERE NOT long)
 SELECT doc_id, CAST(unnest(range(len(c))) AS BIGINT) AS chunk_index, CAST(len(c) AS BIGINT) AS total_chunks, md5(unnest(c)) AS text_md5 FROM fin""")
 def q_pack_truncate(s, d):
-    return chunking.split_long(_docs(s, d), 200, 20).select("doc_id", "chunk_index", "total_chunks", F.md5("text").alias("text_md5"))
+    """Every second text has a paragraph for each sentence, so that both ways of cutting are met."""
+    text = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit(". "), F.lit(".\n\n"))).otherwise(F.col("text"))
+    return chunking.split_long(_docs(s, d).select("doc_id", text.alias("text")), 200, 20).select("doc_id", "chunk_index", "total_chunks", F.md5("text").alias("text_md5"))
+
+
+_ELEMENTS = rf"""hb AS (SELECT page_id, regexp_replace(html, '(?s)<(script|style)\b.*?</(script|style)>', '', 'g') AS h FROM pages),
+he AS (SELECT page_id, unnest(regexp_extract_all(h, '{tables.ELEMENT}', 1)) AS tag, unnest(regexp_extract_all(h, '{tables.ELEMENT}', 2)) AS body, unnest(range(len(regexp_extract_all(h, '{tables.ELEMENT}', 1)))) AS elem_idx FROM hb),
+ht AS (SELECT page_id, elem_idx, tag, trim(regexp_replace(regexp_replace(body, '<[^>]*>', '', 'g'), '[ \t\n\r]+', ' ', 'g')) AS text FROM he),
+el AS (SELECT page_id AS doc_id, row_number() OVER (PARTITION BY page_id ORDER BY elem_idx) AS i, text, length(text) // 4 AS n, CASE WHEN length(text) % 5 = 0 THEN 'table' ELSE 'text' END AS type, [1 + elem_idx // 3] AS pages,
+  CASE WHEN elem_idx < 2 THEN NULL WHEN (elem_idx // 4) % 4 = 3 THEN 'Overview' ELSE '6.' || (1 + (elem_idx // 4) % 3) || CASE WHEN page_id % 2 = 0 THEN '.1.' || elem_idx % 3 ELSE '' END || ' Part' END AS title FROM ht WHERE text <> '')"""
+
+
+def _packed_sql(by_section: bool, hybrid: bool) -> str:
+    """The packing rule as a recursion over elements: ``s`` and ``m`` are the first elements that the open chunk holds and is credited with."""
+    num = lambda t: f"string_split(regexp_extract({t}, '^[0-9.]+'), '.')"
+    major = f"CASE WHEN st.sec IS NULL OR title IS NULL THEN false WHEN {num('st.sec')} = [''] OR {num('title')} = [''] THEN st.sec <> title ELSE len({num('st.sec')}) <> len({num('title')}) OR {num('st.sec')}[1:3] <> {num('title')}[1:3] END"
+    break_ = f"(open AND tok >= 40 AND {major})" if by_section else "false"
+    full = "(tok2 + n > 240 OR tok2 + n > 120 AND tok2 >= 40)" if by_section else "tok2 + n > 120"
+    body = "array_to_string(list(text ORDER BY i), chr(10) || chr(10))"
+    heads = r"regexp_extract_all(array_to_string(list(text ORDER BY i), ' '), '(?m)^\s*(\d+(?:\.\d+)*)\s+[A-Z][^\n]*', 1)"
+    name = "max_by(title, i) FILTER (WHERE i >= m AND title IS NOT NULL)"
+    if hybrid:
+        # front: as many leading parts as all of the headings' numbers share
+        front = f"list_reduce(list_transform({heads}, lambda x: string_split(x, '.')), lambda a, b: list_filter(a, lambda x, k: a[:k] = b[:k] AND len(b) >= k))"
+        name = f"CASE WHEN len({heads}) > 1 AND len({front}) > 0 THEN array_to_string({front}, '.') || ' (Multiple subsections)' ELSE {name} END"
+        name = f"CASE WHEN any_value(big) THEN max_by(title, i) FILTER (WHERE i >= m AND title IS NOT NULL) ELSE {name} END"
+    return rf"""WITH RECURSIVE {_ELEMENTS}, doc AS (SELECT doc_id, list(n ORDER BY i) AS ns, list(text ORDER BY i) AS ts, count(*) AS last FROM el GROUP BY doc_id),
+st AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS s, CAST(1 AS BIGINT) AS m, CAST(0 AS BIGINT) AS tok, CAST(NULL AS VARCHAR) AS sec, CAST([] AS STRUCT(a BIGINT, b BIGINT, m BIGINT, big BOOLEAN)[]) AS done FROM doc
+  UNION ALL SELECT z.doc_id, z.i, CASE WHEN big THEN z.i + 1 WHEN full_ THEN s3 ELSE s2 END, CASE WHEN big THEN z.i + 1 WHEN full_ OR brk THEN z.i ELSE z.m END,
+    CASE WHEN big THEN 0 WHEN full_ THEN length(array_to_string(ts[s3:z.i - 1], ' ')) // 4 + n ELSE tok2 + n END, CASE WHEN big THEN title ELSE coalesce(title, sec) END,
+    list_concat(z.done, list_concat(CASE WHEN (big OR brk OR full_) AND z.s < z.i THEN [{{a: z.s, b: z.i - 1, m: z.m, big: false}}] ELSE [] END, CASE WHEN big THEN [{{a: z.i, b: z.i, m: z.i, big: true}}] ELSE [] END))
+  FROM (SELECT y.*, NOT big AND {full} AND s2 < y.i AS full_, CASE WHEN tok2 <= 20 THEN y.i ELSE coalesce(list_min(list_filter(range(s2, y.i), lambda k: list_sum(ns[k:y.i - 1]) <= 20)), y.i) END AS s3
+    FROM (SELECT x.*, NOT big AND {break_.replace('open', 'x.s < x.i').replace('st.sec', 'x.sec')} AS brk, CASE WHEN NOT big AND {break_.replace('open', 'x.s < x.i').replace('st.sec', 'x.sec')} THEN 0 ELSE tok END AS tok2, CASE WHEN NOT big AND {break_.replace('open', 'x.s < x.i').replace('st.sec', 'x.sec')} THEN x.i ELSE x.s END AS s2
+      FROM (SELECT st.doc_id, el.i, st.s, st.m, st.tok, st.sec, st.done, el.n, el.title, doc.ns, doc.ts, el.type = 'table' AND el.n > 120 AS big FROM st JOIN el ON el.doc_id = st.doc_id AND el.i = st.i + 1 JOIN doc ON doc.doc_id = st.doc_id) x) y) z),
+fin AS (SELECT st.doc_id, list_concat(done, CASE WHEN s <= last THEN [{{a: s, b: last, m: m, big: false}}] ELSE [] END) AS c FROM st JOIN doc ON doc.doc_id = st.doc_id AND st.i = last),
+ch AS (SELECT doc_id, unnest(range(len(c))) AS chunk_index, unnest(c) AS k FROM fin), own AS (SELECT ch.doc_id, chunk_index, k.m AS m, k.big AS big, el.* EXCLUDE (doc_id) FROM ch JOIN el ON el.doc_id = ch.doc_id AND el.i BETWEEN k.a AND k.b)
+SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, md5({body}) AS text_md5, CAST(length({body}) // 4 AS BIGINT) AS n_tokens, array_to_string(list_sort(list_distinct(flatten(list(pages) FILTER (WHERE i >= m)))), ',') AS page_numbers,
+  CASE WHEN any_value(big) THEN 'table' ELSE 'text' END AS chunk_type, {name} AS section_title FROM own GROUP BY doc_id, chunk_index, m"""
 
 
 def _elements(s, d):
-    e = q_elements(s, d)
-    return e.select(F.col("page_id").alias("doc_id"), "elem_idx", "text", "type", F.array((F.col("page_id") % 9 + 1).cast("int")).alias("page_numbers"), "section_title", F.col("section_title").alias("section_path"))
+    """Elements of the pages with made-up tables, pages and numbered titles, so that every rule of the packers is met."""
+    e, k = tables.html_elements(table(s, d, "pages")), F.col("elem_idx")
+    part = F.concat(F.lit("6."), 1 + F.expr("elem_idx div 4") % 3, F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(".1."), k % 3)).otherwise(""), F.lit(" Part"))
+    title = F.when(k < 2, F.lit(None)).when(F.expr("elem_idx div 4") % 4 == 3, "Overview").otherwise(part)
+    kind = F.when(F.length("text") % 5 == 0, "table").otherwise("text")
+    return e.select(F.col("page_id").alias("doc_id"), "elem_idx", "text", kind.alias("type"), F.array(F.expr("int(1 + elem_idx div 3)")).alias("page_numbers"), title.alias("section_title"), title.alias("section_path"))
+
+
+def _packed(s, d, strategy, **sizes):
+    out = chunking.create_chunker(strategy, size=120, overlap=20, **sizes)(_elements(s, d))
+    return out.select("doc_id", "chunk_index", F.md5("text").alias("text_md5"), "n_tokens", F.array_join("page_numbers", ",").alias("page_numbers"), "chunk_type", "section_title")
 
 
-@query()
+@query(_packed_sql(False, False))
 def q_pack_semantic(s, d):
-    return chunking.create_chunker("semantic", size=120, overlap=20)(_elements(s, d))
+    return _packed(s, d, "semantic")
 
 
-@query()
+@query(_packed_sql(True, False))
 def q_pack_section_aware(s, d):
-    return chunking.create_chunker("section_aware", size=120, overlap=20, minimum=40, maximum=240)(_elements(s, d))
+    return _packed(s, d, "section_aware", minimum=40, maximum=240)
 
 
-@query()
+@query(_packed_sql(True, True))
 def q_pack_hybrid(s, d):
-    return chunking.create_chunker("hybrid", size=120, overlap=20, minimum=40, maximum=240)(_elements(s, d))
+    return _packed(s, d, "hybrid", minimum=40, maximum=240)
 
 
 # --- quality and evaluation

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Fixed value: the tags that make an element.
+ELEMENT = r"(?s)<(h[1-3]|p|li|figcaption)\b[^>]*>(.*?)</(?:h[1-3]|p|li|figcaption)>"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
