@@ -19,6 +19,17 @@ FOOTER_CODE = r"JESD84-B\d+\s+\d+"
 EXCLUDED_TITLES = (r"^Figure\s+\d+", r"^Table\s+\d+", r"^Figures?$", r"^Tables?$", r"^Contents?$", r"^Page\s+\d+", r"^Reserved", r"^JEDEC", r"^\w{1,3}$")
 HEADING_PATTERNS = (r"^\d+\.\d+\.?\d*\s+\w+", r"^[A-Z]\.\d+\.?\d*\s+\w+", r"^Chapter\s+\d+", r"^Appendix\s+[A-Z]", r"^Section\s+\d+")
 NOT_SUBTITLES = (r"JEDEC Standard No\.", r"Page \d+", r"^\d+\s*$", r"Copyright", r"All rights reserved", r"^Table \d+", r"^Figure \d+", r"^\d+\.\d+")
+FIGURE = r"(?i)Figure\s+[\dA-Z]+-[\d]+"
+TABLE = r"(?i)Table\s+[\dA-Z]+-[\d]+"
+APPENDIX = r"(?i)Appendix\s+[A-Z]\.?[\d\.]*"
+SECTION_LINE = r"(?m)^\s*(\d+\.[\d\.]+)\s+([A-Z][^\n]{0,200})"
+SUBSECTION_LINE = r"(?m)^(\d+(?:\.\d+)+)[ \t]+([^\n]{5,200}?)[ \t]*$"
+QUOTED_SUBTITLE = r'(?m)^[^\n]{0,100}?"([^"]{2,50})"'
+CODE_SUBTITLE = r"(?m)^[^\n]{0,100}?\b([A-Z]{2,}[0-9]{2,})\b"
+CONTINUED = r"(?i)\(cont['‘’]?d\)"
+REGISTER_LINE = r"^\d+(\.\d+)+\s+[A-Z_]+(\s+\[[\d:]+\])?$"
+HEAD_TAIL_MARK = "\n\n[... content truncated ...]\n\n"
+HEAD_MARK = "\n\n[... content truncated ...]"
 NO_ANSWER = ("i cannot answer", "not found in the context", "insufficient information", "context doesn't contain", "unable to determine")
 
 
@@ -104,7 +115,56 @@ def heading_level(text) -> Column:
     for k, p in reversed(list(enumerate(HEADING_PATTERNS, 1))):
         by_pattern = F.when(t.rlike(p), F.lit(k).cast("long")).otherwise(by_pattern)
     plain = F.when(~t.rlike(r"\p{L}") | (F.size(F.split(t, r"\s+")) > 15), None).when(t.rlike(r"^\d+\s"), 1).otherwise(2)
-    return F.when(~excluded & (F.length(t) <= 120), F.coalesce(by_pattern, plain.cast("long")))
+    return F.when(~excluded & (F.length(t) >= 3) & (F.length(t) <= 120), F.coalesce(by_pattern, plain.cast("long")))
+
+
+def heading_class(text) -> Column:
+    """figure, table or appendix by the captions in a text, else section if it opens with a section's number, else other."""
+    t = _c(text)
+    return F.when(t.rlike(FIGURE), "figure").when(t.rlike(TABLE), "table").when(t.rlike(APPENDIX), "appendix").when(t.rlike(SECTION_LINE), "section").otherwise("other")
+
+
+def title_flaws(title) -> Column:
+    """short, all capitals, and shaped like a register's name."""
+    t = _c(title)
+    return F.struct((F.length(t) < 10).alias("short"), ((F.upper(t) == t) & (F.lower(t) != t)).alias("capitals"), t.rlike(r"^[A-Z0-9_]+$").alias("register"))
+
+
+def feasibility(pct) -> Column:
+    """Whether chunking by section numbers covers enough of the pages."""
+    p = _c(pct)
+    return F.when(p >= 95, "HIGH").when(p >= 80, "MEDIUM").otherwise("LOW")
+
+
+def proceed(pct) -> Column:
+    p = _c(pct)
+    return F.when(p >= 95, "PROCEED").when(p >= 85, "CONSIDER").otherwise("STAY")
+
+
+def default_pages(pages) -> Column:
+    """Page numbers, page 1 where none is known."""
+    p = _c(pages)
+    return F.when(F.coalesce(F.size(p), F.lit(0)) > 0, p).otherwise(F.array(F.lit(1)))
+
+
+def joined_path(titles, sep: str = " > ") -> Column:
+    t = _c(titles)
+    return F.when(F.size(t) > 0, F.array_join(t, sep))
+
+
+def path_with_subtitle(path, sub) -> Column:
+    return F.when(F.coalesce(_c(sub), F.lit("")) != "", F.concat(_c(path), F.lit(" - "), _c(sub))).otherwise(_c(path))
+
+
+def iso_time(ts) -> Column:
+    """A timestamp as its ISO text, to the microsecond only where it has any."""
+    t = _c(ts)
+    whole = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_trunc("second", t) == t, whole).otherwise(F.concat(whole, F.date_format(t, ".SSSSSS")))
+
+
+def from_iso_time(text) -> Column:
+    return F.to_timestamp(_c(text))
 
 
 def level_by_length(text) -> Column:
@@ -115,8 +175,8 @@ def level_by_length(text) -> Column:
 def subtitle(text, number) -> Column:
     """Quoted text or a code of capitals and digits near a line's start, else a short capitalised line, of the first 500 characters."""
     t = F.substring(_c(text), 1, 500)
-    quoted = F.nullif(F.trim(F.regexp_extract(t, r'(?m)^[^\n]{0,100}?"([^"]{2,50})"', 1)), F.lit(""))
-    code = F.nullif(F.regexp_extract(t, r"(?m)^[^\n]{0,100}?\b([A-Z]{2,}[0-9]{2,})\b", 1), F.lit(""))
+    quoted = F.nullif(F.trim(F.regexp_extract(t, QUOTED_SUBTITLE, 1)), F.lit(""))
+    code = F.nullif(F.regexp_extract(t, CODE_SUBTITLE, 1), F.lit(""))
 
     def title(x: Column) -> Column:
         ok = (F.length(x) >= 5) & (F.length(x) <= 50) & x.rlike(r"^\p{Lu}") & ~F.startswith(x, _c(number)) & (~x.endswith(".") | (F.regexp_count(x, F.lit(" ")) <= 5))
@@ -138,8 +198,8 @@ def clean_content(text, number, header: str = HEADER_LINE, footer: str = FOOTER_
 
     def stays(line: Column) -> Column:
         x = F.trim(line)
-        continued = x.rlike(r"(?i)\(cont['‘’]?d\)") & (F.length(x) < 80) & ~x.endswith(".")
-        gone = x.rlike(header) | x.rlike(r"(?i)^Page \d+$") | x.rlike(rf"^{footer}$") | continued | x.rlike(r"^\d+(\.\d+)+\s+[A-Z_]+(\s+\[[\d:]+\])?$")
+        continued = x.rlike(CONTINUED) & (F.length(x) < 80) & ~x.endswith(".")
+        gone = x.rlike(header) | x.rlike(r"(?i)^Page \d+$") | x.rlike(rf"^{footer}$") | continued | x.rlike(REGISTER_LINE)
         return ~gone & ~F.rlike(x, F.concat(F.lit("^"), own, F.lit(r"\.?\s*$")))
 
     out = F.array_join(F.filter(F.split(F.coalesce(_c(text), F.lit("")), "\n"), stays), "\n")
@@ -183,12 +243,12 @@ def confidence(top_score, answer) -> Column:
     return F.when(s.isNull(), 0.0).when(lost, F.greatest(F.lit(0.3), s * 0.5)).when(~cited, F.greatest(F.lit(0.4), s * 0.6)).otherwise(F.least(F.lit(1.0), s * 1.1))
 
 
-def head_and_tail(text, most: int = 2000, marker: str = "\n\n[... content truncated ...]\n\n") -> Column:
+def head_and_tail(text, most: int = 2000, marker: str = HEAD_TAIL_MARK) -> Column:
     t, half = _c(text), most // 2
     return F.when(F.length(t) > most, F.concat(F.substring(t, 1, half), F.lit(marker), F.right(t, F.lit(half)))).otherwise(t)
 
 
-def head(text, most: int = 2500, marker: str = "\n\n[... content truncated ...]") -> Column:
+def head(text, most: int = 2500, marker: str = HEAD_MARK) -> Column:
     t = _c(text)
     return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit(marker))).otherwise(t)
 

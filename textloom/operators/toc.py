@@ -56,7 +56,7 @@ def page_ranges(found: DataFrame, last_page: DataFrame, long_pages: int = 10) ->
 
 def subsections(parents: DataFrame, pages: DataFrame) -> DataFrame:
     """Numbered lines one level below a parent, on its pages: lines are taken once per page and joined by parent and page."""
-    pattern = r"(?m)^(\d+(?:\.\d+)+)[ \t]+([^\n]{5,200}?)[ \t]*$"
+    pattern = T.SUBSECTION_LINE
     zipped = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "number"), (2, "title"))])
     lines = pages.select("spec_id", "page_no", F.posexplode(zipped).alias("pos", "e"))
     title = F.trim(F.regexp_replace(F.regexp_replace("e.title", r"\s*\.{2,}\s*\d+\s*$", ""), r"\s{2,}", " "))
@@ -69,12 +69,59 @@ def subsections(parents: DataFrame, pages: DataFrame) -> DataFrame:
     return found.select("spec_id", "parent", "section_number", "section_title", "page_number", T.level("section_number").alias("level"))
 
 
-def section_paths(found: DataFrame) -> DataFrame:
-    """``(spec_id, section_number, section_path)``: titles of the prefixes that have one, then the section's own, joined by arrows."""
-    titles = found.select("spec_id", F.rtrim(F.col("section_number"), F.lit(".")).alias("prefix"), "section_title").groupBy("spec_id", "prefix").agg(F.min("section_title").alias("title"))
-    own = found.select("spec_id", "section_number", F.posexplode(F.concat(T.parent_prefixes("section_number"), F.array("section_number"))).alias("pos", "prefix"))
-    joined = own.join(titles, ["spec_id", "prefix"]).groupBy("spec_id", "section_number").agg(F.array_sort(F.collect_list(F.struct("pos", "title"))).alias("t"))
-    return joined.select("spec_id", "section_number", F.array_join(F.transform("t", lambda x: x["title"]), " → ").alias("section_path"))
+def section_paths(found: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
+    """``(spec_id, section_number, section_path)``: number and title of every prefix and of the section itself, joined by arrows.
+
+    Titles come from ``lookup`` (default: ``found``), by numbers without a final dot; of several the first by ``ord`` or, without that column, the
+    smallest. A prefix without a title, or one that only says it is inferred, shows its number alone. Repeated sections give a row each of their own title.
+    """
+    bare = lambda c: F.rtrim(F.col(c), F.lit("."))
+    lookup = found if lookup is None else lookup
+    first = F.min_by("section_title", "ord") if "ord" in lookup.columns else F.min("section_title")
+    titles = lookup.groupBy("spec_id", bare("section_number").alias("prefix")).agg(first.alias("title"))
+    own = found.select("spec_id", "section_number", "section_title").distinct()
+    prefixes = F.concat(T.parent_prefixes(bare("section_number")), F.array(bare("section_number")))
+    own = own.select("spec_id", "section_number", "section_title", F.posexplode(prefixes).alias("pos", "prefix"))
+    title = F.when(F.col("prefix") == bare("section_number"), F.col("section_title")).otherwise(F.col("title"))
+    part = F.when(F.coalesce(title, F.lit("")).isin("", "[Inferred]"), F.col("prefix")).otherwise(F.concat("prefix", F.lit(" "), title))
+    joined = own.join(titles, ["spec_id", "prefix"], "left").groupBy("spec_id", "section_number", "section_title").agg(F.array_sort(F.collect_list(F.struct("pos", part.alias("part")))).alias("t"))
+    return joined.select("spec_id", "section_number", F.array_join(F.transform("t", lambda x: x["part"]), " → ").alias("section_path"), "section_title")
+
+
+def headed_pages(pages: DataFrame) -> DataFrame:
+    """``(spec_id, page_no)`` of the pages with a numbered heading."""
+    return pages.where(F.col("text").rlike(T.SECTION_LINE)).select("spec_id", F.col("page_no").cast("long").alias("page_no")).distinct()
+
+
+def headed_coverage(pages: DataFrame) -> DataFrame:
+    """``(spec_id, total, headed, pct, feasibility, proceed)``: how many of a document's pages have a numbered heading."""
+    rows = pages.groupBy("spec_id", "page_no").agg(F.max(F.coalesce(F.col("text").rlike(T.SECTION_LINE), F.lit(False))).alias("headed"))
+    out = rows.groupBy("spec_id").agg(F.count("*").alias("total"), F.count_if("headed").alias("headed"))
+    pct = F.round(100.0 * F.col("headed") / F.col("total"), 6)
+    return out.select("spec_id", "total", "headed", pct.alias("pct"), T.feasibility(pct).alias("feasibility"), T.proceed(pct).alias("proceed"))
+
+
+def unheaded_pages(pages: DataFrame) -> DataFrame:
+    """Pages with text but no numbered heading."""
+    with_text = pages.where(F.coalesce("text", F.lit("")) != "").select("spec_id", F.col("page_no").cast("long").alias("page_no"))
+    return with_text.subtract(headed_pages(pages))
+
+
+def stored_chunks(chunks: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Chunks of ``chunk_document`` (columns ``chunk_index`` and ``total_chunks`` if split) -> ``(chunk_id, doc_id, text, page_numbers, page_end, section_title,
+    section_path, chunk_type, token_count)`` as the store keeps them.
+
+    The path runs over ``entries`` (default: the chunks) and ends in the subtitle, if there is one; a chunk cites its start page (0 if unknown). Ids are hashes of
+    document, section, start page and index, so ingesting again gives the same ones.
+    """
+    paths = section_paths(chunks.select("spec_id", "section_number", "section_title"), entries)
+    index = F.col("chunk_index") if "chunk_index" in chunks.columns else F.lit(0)
+    out = chunks.join(paths, ["spec_id", "section_number", "section_title"], "left")
+    return out.select(
+        T.stable_id("spec_id", "section_number", "page_start", index).alias("chunk_id"), F.col("spec_id").alias("doc_id"), F.coalesce("content", F.lit("")).alias("text"),
+        F.array(F.coalesce("page_start", F.lit(0))).alias("page_numbers"), "page_end", "section_title", T.path_with_subtitle("section_path", "subtitle").alias("section_path"),
+        F.lit("text").alias("chunk_type"), T.token_estimate(F.coalesce("content", F.lit(""))).alias("token_count"),
+    )
 
 
 def covered_pages(ranges: DataFrame) -> DataFrame:

@@ -377,19 +377,28 @@ def q_range_content(s, d):
     return found.select("spec_id", "section_number", F.md5("content").alias("content_md5"))
 
 
-@query(rf"""WITH {_RNG}, ln AS (SELECT spec_id, page_no, unnest(regexp_extract_all(text, '(?m)^(\d+(?:\.\d+)+)[ \t]+([^\n]{{5,200}}?)[ \t]*$', 1)) AS section_number, unnest(regexp_extract_all(text, '(?m)^(\d+(?:\.\d+)+)[ \t]+([^\n]{{5,200}}?)[ \t]*$', 2)) AS section_title FROM page),
-par AS (SELECT spec_id, section_number AS parent, page_start, page_end FROM rng WHERE level <= 3)
-SELECT DISTINCT l.spec_id, parent, l.section_number, l.section_title, l.page_no AS page_number, CAST(len(string_split(l.section_number, '.')) AS BIGINT) AS level FROM ln l JOIN par p ON p.spec_id = l.spec_id AND p.parent = regexp_replace(l.section_number, '\.\d+$', '') AND l.page_no BETWEEN page_start AND page_end""")
+_SUB = "section_number || '.1 Sub ' || substr(md5(text), 1, 6) || chr(10) || section_number || ' ' || section_title || chr(10) || section_number || '.2 Xy . ... 7' || chr(10) || section_number || '.3 Long  title ..... 12 '"
+
+
+@query(rf"""WITH {_RNG}, sub AS (SELECT spec_id, page_number AS page_no, {_SUB} AS text FROM spec),
+ln AS (SELECT spec_id, page_no, unnest(regexp_extract_all(text, '{T.SUBSECTION_LINE}', 1)) AS section_number, unnest(regexp_extract_all(text, '{T.SUBSECTION_LINE}', 2)) AS raw, unnest(range(len(regexp_extract_all(text, '{T.SUBSECTION_LINE}', 1)))) AS pos FROM sub),
+ti AS (SELECT * EXCLUDE (raw), trim(regexp_replace(regexp_replace(raw, '\s*\.{{2,}}\s*\d+\s*$', ''), '\s{{2,}}', ' ', 'g')) AS section_title FROM ln),
+par AS (SELECT spec_id, section_number AS parent, page_start, page_end FROM rng WHERE level <= 3 AND NOT inferred AND page_start <= page_end)
+SELECT l.spec_id, parent, l.section_number, l.section_title, l.page_no AS page_number, CAST(len(string_split(l.section_number, '.')) AS BIGINT) AS level FROM ti l JOIN par p ON p.spec_id = l.spec_id AND p.parent = regexp_replace(l.section_number, '\.\d+$', '') AND l.page_no BETWEEN page_start AND page_end
+WHERE length(section_title) >= 3 QUALIFY row_number() OVER (PARTITION BY l.spec_id, l.section_number ORDER BY l.page_no, pos) = 1""")
 def q_bounded_subsections(s, d):
-    """Parents here include the inferred ones, which own the level-3 headings of the derived book."""
-    return toc.subsections(_ranges(s, d).withColumn("inferred", F.lit(False)), derived.pages(s, d))
+    """Lines of the fourth level belong to entries of the book; those of the third to inferred ones, which are not asked for any."""
+    n = F.col("section_number")
+    text = F.concat(n, F.lit(".1 Sub "), F.substring(F.md5("text"), 1, 6), F.lit("\n"), n, F.lit(" "), "section_title", F.lit("\n"), n, F.lit(".2 Xy . ... 7\n"), n, F.lit(".3 Long  title ..... 12 "))
+    return toc.subsections(_ranges(s, d), derived.spec(s, d).select("spec_id", F.col("page_number").alias("page_no"), text.alias("text")))
 
 
-@query(f"""WITH {SPEC}, {FOUND}, px AS (SELECT spec_id, section_number, unnest(range(1, len(string_split(section_number, '.')) + 1)) AS i FROM found),
+@query(f"""WITH {SPEC}, {FOUND}, deep AS (SELECT * FROM found WHERE level > 1), px AS (SELECT spec_id, section_number, unnest(range(1, len(string_split(section_number, '.')) + 1)) AS i FROM deep),
 pt AS (SELECT spec_id, section_number, i, array_to_string(string_split(section_number, '.')[1:i], '.') AS prefix FROM px)
-SELECT pt.spec_id, pt.section_number, string_agg(f.section_title, ' → ' ORDER BY i) AS section_path FROM pt JOIN found f ON f.spec_id = pt.spec_id AND f.section_number = pt.prefix GROUP BY ALL""")
+SELECT pt.spec_id, pt.section_number, string_agg(prefix || coalesce(' ' || f.section_title, ''), ' → ' ORDER BY i) AS section_path FROM pt LEFT JOIN deep f ON f.spec_id = pt.spec_id AND f.section_number = pt.prefix GROUP BY ALL""")
 def q_section_path(s, d):
-    return toc.section_paths(toc.with_parents(derived.entries(s, d)))
+    """The first level has no entry, so its number stands alone."""
+    return toc.section_paths(toc.with_parents(derived.entries(s, d)).where("level > 1")).drop("section_title")
 
 
 @query(f"""WITH {SPEC}, {FOUND}, pa AS (SELECT *, regexp_replace(section_number, '\\.[^.]*$', '') AS parent FROM found WHERE contains(section_number, '.'))
@@ -457,15 +466,21 @@ def q_out_of_order(s, d):
     return toc.out_of_order(toc.with_parents(derived.entries(s, d)))
 
 
-@query(f"WITH {SPEC}, g AS (SELECT spec_id, regexp_replace(section_number, '\\.[^.]*$', '') AS parent, CAST(split_part(section_number, '.', 3) AS BIGINT) AS last FROM spec WHERE doc_id % 7 <> 3), p AS (SELECT *, lag(last) OVER (PARTITION BY spec_id, parent ORDER BY last) AS previous FROM g) SELECT spec_id, parent, previous, last FROM p WHERE last <> previous + 1")
+@query(f"WITH {SPEC}, g AS (SELECT spec_id, regexp_replace(section_number, '\\.[^.]*$', '') AS parent, CAST(split_part(section_number, '.', 3) AS BIGINT) + CASE WHEN n_chars > 2000 THEN 5 ELSE 0 END AS last FROM spec), p AS (SELECT *, lag(last) OVER (PARTITION BY spec_id, parent ORDER BY last) AS previous FROM g) SELECT spec_id, parent, previous, last FROM p WHERE last <> previous + 1")
 def q_sibling_gaps(s, d):
-    return toc.sibling_gaps(derived.spec(s, d).where("doc_id % 7 <> 3"))
+    """Long sections are renumbered, which leaves gaps and doubles."""
+    last = F.split("section_number", r"\.")[2].cast("long") + F.when(F.col("n_chars") > 2000, 5).otherwise(0)
+    return toc.sibling_gaps(derived.spec(s, d).select("spec_id", F.concat(F.regexp_replace("section_number", r"[^.]*$", ""), last).alias("section_number")))
 
 
-@query(f"""WITH {SPEC}, {FOUND}, k AS (SELECT *, list_transform(string_split(section_number, '.'), lambda x: CAST(x AS INTEGER)) AS key FROM found), p AS (SELECT spec_id, lag(key) OVER (PARTITION BY spec_id ORDER BY page_number, ord) > key AS bad, length(section_title) < 10 AS short FROM k),
-i AS (SELECT spec_id, least(count(*) FILTER (WHERE short), 5) + least(count(*) FILTER (WHERE bad), 5) AS issues FROM p GROUP BY spec_id) SELECT spec_id, issues, greatest(0, 100 - 2 * issues) AS score FROM i""")
+@query(f"""WITH {SPEC}, {FOUND}, e AS (SELECT spec_id, section_number, CASE WHEN page_number % 9 = 0 THEN 'Sect' ELSE section_title END AS title, page_number, list_transform(string_split(section_number, '.'), lambda x: CAST(x AS INTEGER)) AS key FROM orig),
+o AS (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY key) AS ord FROM e), p AS (SELECT spec_id, lag(key) OVER (PARTITION BY spec_id ORDER BY page_number, ord) > key AS bad, length(title) < 10 AS short FROM o),
+i AS (SELECT spec_id, least(count(*) FILTER (WHERE short), 5) + least(count(*) FILTER (WHERE bad), 5) + least((SELECT count(*) FROM miss WHERE miss.spec_id = p.spec_id), 5) AS issues FROM p GROUP BY spec_id) SELECT spec_id, issues, greatest(0, 100 - 2 * issues) AS score FROM i""")
 def q_toc_quality(s, d):
-    return toc.toc_quality(toc.with_parents(derived.entries(s, d)))
+    """The book without its inferred parents, which are all missing; some titles are short."""
+    title = F.when(F.col("page_number") % 9 == 0, "Sect").otherwise(F.col("section_title"))
+    ord_ = F.row_number().over(Window.partitionBy("spec_id").orderBy(T.section_key("section_number")))
+    return toc.toc_quality(derived.entries(s, d).withColumn("section_title", title).withColumn("ord", ord_))
 
 
 @query(f"WITH {SPEC}, {FOUND} SELECT spec_id, section_number, page_number FROM found UNION ALL SELECT spec_id, section_number || '.1', page_number FROM spec WHERE doc_id % 50 = 0")
@@ -474,29 +489,63 @@ def q_union_toc(s, d):
     return toc.with_parents(derived.entries(s, d)).select("spec_id", "section_number", "page_number").unionByName(extra)
 
 
-@query(f"WITH {SPEC}, t AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Figure ' || doc_id WHEN 1 THEN 'Table ' || doc_id WHEN 2 THEN 'Appendix B' WHEN 3 THEN 'Chapter ' || doc_id WHEN 4 THEN section_number || ' ' || section_title ELSE section_title END AS t FROM spec) SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 4 WHEN 3 THEN 3 WHEN 4 THEN 2 ELSE 2 END::BIGINT AS level, CASE WHEN regexp_matches(t, '^Figure') THEN 'figure' WHEN regexp_matches(t, '^Table') THEN 'table' WHEN regexp_matches(t, '^Appendix') THEN 'appendix' ELSE 'section' END AS kind FROM t")
+@query(f"""WITH {SPEC}, t AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'Figure 6-' || doc_id WHEN 1 THEN 'table 6-' || doc_id WHEN 2 THEN 'Appendix B.1' WHEN 3 THEN 'Chapter ' || doc_id WHEN 4 THEN section_number || ' ' || section_title WHEN 5 THEN 'B.2 Overview' WHEN 6 THEN '7 Of' WHEN 7 THEN 'ab' ELSE section_title END AS t FROM spec)
+SELECT doc_id, CAST(CASE doc_id % 9 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 4 WHEN 3 THEN 3 WHEN 4 THEN 1 WHEN 5 THEN 2 WHEN 6 THEN 1 WHEN 7 THEN NULL ELSE 2 END AS BIGINT) AS level,
+  CASE doc_id % 9 WHEN 0 THEN 'figure' WHEN 1 THEN 'table' WHEN 2 THEN 'appendix' WHEN 4 THEN 'section' ELSE 'other' END AS kind FROM t""")
 def q_heading_classes(s, d):
-    k = F.col("doc_id") % 6
-    t = F.when(k == 0, F.concat(F.lit("Figure "), "doc_id")).when(k == 1, F.concat(F.lit("Table "), "doc_id")).when(k == 2, F.lit("Appendix B")).when(k == 3, F.concat(F.lit("Chapter "), "doc_id")).when(k == 4, F.concat("section_number", F.lit(" "), "section_title")).otherwise(F.col("section_title"))
-    rows = derived.spec(s, d).select("doc_id", t.alias("t"))
-    kind = F.when(F.col("t").startswith("Figure"), "figure").when(F.col("t").startswith("Table"), "table").when(F.col("t").startswith("Appendix"), "appendix").otherwise("section")
-    level = F.when(F.col("t").rlike(r"^\d+\.\d+\.\d+ "), F.lit(2)).otherwise(T.heading_level("t"))
-    return rows.select("doc_id", level.cast("long").alias("level"), kind.alias("kind"))
+    k = F.col("doc_id") % 9
+    made = ((0, F.concat(F.lit("Figure 6-"), "doc_id")), (1, F.concat(F.lit("table 6-"), "doc_id")), (2, F.lit("Appendix B.1")), (3, F.concat(F.lit("Chapter "), "doc_id")), (4, F.concat("section_number", F.lit(" "), "section_title")), (5, F.lit("B.2 Overview")), (6, F.lit("7 Of")), (7, F.lit("ab")))
+    t = F.col("section_title")
+    for n, own in made:
+        t = F.when(k == n, own).otherwise(t)
+    return derived.spec(s, d).select("doc_id", T.heading_level(t).cast("long").alias("level"), T.heading_class(t).alias("kind"))
+
+
+@query(f"WITH {SPEC}, {FOUND}, t AS (SELECT spec_id, section_number, CASE WHEN level = 1 THEN upper(left(section_title, 7)) WHEN level = 2 THEN 'CSD_' || page_number ELSE section_title END AS t FROM found) SELECT spec_id, count(*) FILTER (WHERE length(t) < 10) AS short, count(*) FILTER (WHERE upper(t) = t AND lower(t) <> t) AS capitals, count(*) FILTER (WHERE regexp_full_match(t, '[A-Z0-9_]+')) AS register FROM t GROUP BY spec_id")
+def q_title_flaws(s, d):
+    t = F.when(F.col("level") == 1, F.upper(F.substring("section_title", 1, 7))).when(F.col("level") == 2, F.concat(F.lit("CSD_"), "page_number")).otherwise(F.col("section_title"))
+    flaws = toc.with_parents(derived.entries(s, d)).select("spec_id", T.title_flaws(t).alias("f"))
+    return flaws.groupBy("spec_id").agg(*[F.count_if(f"f.{c}").alias(c) for c in ("short", "capitals", "register")])
+
+
+@query(f"""WITH {SPEC}, {PAGES}, h AS (SELECT spec_id, page_no, regexp_matches(text, '(?m)^\\s*(\\d+\\.[\\d\\.]+)\\s+([A-Z][^\\n]{{0,200}})') AS headed FROM page), c AS (SELECT spec_id, count(*) AS total, count(*) FILTER (WHERE headed) AS headed, round(100.0::DOUBLE * count(*) FILTER (WHERE headed) / count(*), 6) AS pct FROM h GROUP BY spec_id)
+SELECT *, CASE WHEN pct >= 95 THEN 'HIGH' WHEN pct >= 80 THEN 'MEDIUM' ELSE 'LOW' END AS feasibility, CASE WHEN pct >= 95 THEN 'PROCEED' WHEN pct >= 85 THEN 'CONSIDER' ELSE 'STAY' END AS proceed FROM c""")
+def q_headed_coverage(s, d):
+    return toc.headed_coverage(derived.pages(s, d))
 
 
-@query(f"WITH {SPEC} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Recovered ' || substr(md5(text), 1, 6) END AS title FROM spec")
+@query(f"WITH {SPEC}, {PAGES} SELECT spec_id, page_no FROM page WHERE text <> '' AND NOT regexp_matches(text, '(?m)^\\s*(\\d+\\.[\\d\\.]+)\\s+([A-Z][^\\n]{{0,200}})')")
+def q_unheaded_pages(s, d):
+    return toc.unheaded_pages(derived.pages(s, d))
+
+
+@query(f"""WITH {SPEC} SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'Recovered ' || substr(md5(text), 1, 6) WHEN 5 THEN 'CSDX' WHEN 7 THEN 'Title of it' END AS title FROM spec""")
 def q_recovered_title(s, d):
-    own = F.concat(F.lit("x\n"), "section_number", F.lit("  "), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Recovered "), F.substring(F.md5("text"), 1, 6), F.lit(".\nbody"))).otherwise(F.lit("lower case\n")))
+    """A title in its place; then what each rule rejects: lower case, a page, colons, too short; capitals may be short; too long; a continuation loses its mark."""
+    after = (F.concat(F.lit("Recovered "), F.substring(F.md5("text"), 1, 6), F.lit(".\nbody")), F.lit("lower case\n"), F.lit("Page 12 of it\n"), F.lit("Row: a: b\n"), F.lit("Abcd\n"), F.lit("CSDX\n"), F.concat(F.lit("L"), F.repeat(F.lit("x"), 80), F.lit("\n")), F.lit("Title of it (cont'd)\n"))
+    own = F.concat(F.lit("x\n"), "section_number", F.lit("  "), F.element_at(F.array(*after), (F.col("doc_id") % 8 + 1).cast("int")))
     return derived.spec(s, d).select("doc_id", T.recovered_title(own, "section_number").alias("title"))
 
 
-@query(f"WITH {SPEC}, p AS (SELECT doc_id, section_number AS b, lag(section_number) OVER (PARTITION BY spec_id ORDER BY doc_id) AS a FROM spec) SELECT doc_id, a <> b AS major FROM p WHERE a IS NOT NULL")
+_MIXED = "CASE doc_id % 5 WHEN 0 THEN 'Introduction' WHEN 1 THEN section_number || '.' || (1 + doc_id % 3) || ' ' || lang WHEN 2 THEN 'B.' || (doc_id // 10) || ' ' || lang WHEN 3 THEN section_number || '.1.1 ' || lang ELSE section_number || '.1.2 ' || lang END"
+
+
+@query(rf"""WITH {SPEC}, t AS (SELECT spec_id, doc_id, {_MIXED} AS b FROM spec), p AS (SELECT doc_id, b, lag(b) OVER (PARTITION BY spec_id ORDER BY doc_id) AS a FROM t),
+n AS (SELECT *, list_filter(string_split(regexp_extract(a, '^(?:[A-Z]\.)?([0-9.]*)', 1), '.'), lambda x: x <> '') AS x, list_filter(string_split(regexp_extract(b, '^(?:[A-Z]\.)?([0-9.]*)', 1), '.'), lambda x: x <> '') AS y FROM p WHERE a IS NOT NULL)
+SELECT doc_id, CASE WHEN len(x) = 0 OR len(y) = 0 THEN a <> b WHEN len(x) <> len(y) THEN true ELSE x[1:3] <> y[1:3] END AS major FROM n""")
 def q_section_change(s, d):
-    own = F.concat("section_number", F.lit(" "), "section_title")
+    n, lang = F.col("section_number"), F.col("lang")
+    own = F.when(F.col("doc_id") % 5 == 0, "Introduction").when(F.col("doc_id") % 5 == 1, F.concat(n, F.lit("."), 1 + F.col("doc_id") % 3, F.lit(" "), lang)).when(F.col("doc_id") % 5 == 2, F.concat(F.lit("B."), F.expr("doc_id div 10"), F.lit(" "), lang))
+    own = own.when(F.col("doc_id") % 5 == 3, F.concat(n, F.lit(".1.1 "), lang)).otherwise(F.concat(n, F.lit(".1.2 "), lang))
     rows = derived.spec(s, d).select("doc_id", own.alias("b"), F.lag(own).over(Window.partitionBy("spec_id").orderBy("doc_id")).alias("a"))
     return rows.where("a is not null").select("doc_id", T.major_change("a", "b").alias("major"))
 
 
+@query("SELECT doc_id, md5(CASE WHEN length(text) > 2000 THEN left(text, 1000) || chr(10) || chr(10) || '[... content truncated ...]' || chr(10) || chr(10) || right(text, 1000) ELSE text END) AS for_correction, md5(CASE WHEN length(text) > 2500 THEN left(text, 2500) || chr(10) || chr(10) || '[... content truncated ...]' ELSE text END) AS for_validation FROM documents")
+def q_truncations(s, d):
+    return _docs(s, d).select("doc_id", F.md5(T.head_and_tail("text")).alias("for_correction"), F.md5(T.head("text")).alias("for_validation"))
+
+
 @query(f"""WITH {SPEC}, g AS (SELECT spec_id, doc_id // 20 AS g, count(*) AS n, count(DISTINCT split_part(section_number, '.', 1)) AS d1, count(DISTINCT split_part(section_number, '.', 2)) AS d2, count(DISTINCT split_part(section_number, '.', 3)) AS d3, min(section_number) AS m FROM spec GROUP BY ALL)
 SELECT spec_id, g AS block, CASE WHEN d1 > 1 THEN '' WHEN d2 > 1 THEN split_part(m, '.', 1) WHEN d3 > 1 THEN split_part(m, '.', 1) || '.' || split_part(m, '.', 2) ELSE m END || CASE WHEN n > 1 THEN ' (Multiple subsections)' ELSE '' END AS title FROM g""")
 def q_common_parent(s, d):
@@ -636,13 +685,13 @@ def q_eval_rollup(s, d):
 # --- store
 
 
-@query("""WITH old AS (SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 10 < 6), new AS (SELECT doc_id, 'new' AS source, n_chars + turn AS n_chars FROM documents JOIN conversations ON conv_id = doc_id WHERE doc_id % 10 > 3 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY turn DESC) = 1)
-SELECT * FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT * FROM new""")
+@query("""WITH new AS (SELECT doc_id, 'new' AS source, n_chars + turn AS n_chars FROM documents JOIN conversations ON conv_id = doc_id QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY turn DESC) = 1)
+SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT * FROM new""")
 def q_upsert_latest(s, d):
+    """Each turn of the conversation of a document's number is a new version of the document."""
     docs = _docs(s, d).select("doc_id", "source", "n_chars")
-    new = docs.where("doc_id % 10 > 3").join(table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn"), "doc_id")
-    new = new.select("doc_id", F.lit("new").alias("source"), (F.col("n_chars") + F.col("turn")).alias("n_chars"), F.col("turn").alias("seq"))
-    return store.upsert(docs.where("doc_id % 10 < 6"), new, "doc_id")
+    new = docs.join(table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn"), "doc_id")
+    return store.upsert(docs, new.select("doc_id", F.lit("new").alias("source"), (F.col("n_chars") + F.col("turn")).alias("n_chars"), F.col("turn").alias("seq")), "doc_id")
 
 
 @query("SELECT doc_id, source, coalesce(toxic, 0) <> 1 AS is_active FROM documents LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id)")
