@@ -165,11 +165,15 @@ def toc_quality(found: DataFrame) -> DataFrame:
 
 
 def chunk_document(pages: DataFrame, page_offset: int = 0) -> DataFrame:
-    """Pages of documents to sections with content: entries, parents, ranges, subsections, texts, subtitles and recovered titles."""
+    """Pages of documents to sections with content: entries, parents, ranges, subsections, texts, subtitles and recovered titles.
+
+    ``pages(spec_id, page_no, text)``; entry pages are ``page_offset`` below the page numbers. A document without a table of contents gives no rows; a section
+    whose pages have no text has none either.
+    """
     found = with_parents(first_of_each(entries(toc_pages(pages))))
-    last = pages.groupBy("spec_id").agg(F.max("page_no").cast("long").alias("last_page"))
+    last = pages.groupBy("spec_id").agg((F.max("page_no") - page_offset).cast("long").alias("last_page"))
     ranges = page_ranges(found, last)
-    subs = subsections(ranges, pages)
+    subs = subsections(ranges, pages.withColumn("page_no", F.col("page_no") - page_offset))
     subs = subs.select("spec_id", "section_number", "section_title", "level", F.lit(False).alias("inferred"), F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"))
     every = ranges.select(subs.columns).unionByName(subs)
     from ..sources.tables import range_content

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, retrieval, store, toc
+from ..operators import answers, chunking, retrieval, sections, store, toc
+from ..session import shared_folder
 from ..sources import tables
 from ..sources.tables import table
 from . import derived
@@ -154,10 +156,23 @@ sc AS (SELECT query_id, tf.doc_id, round(sum(times * idf * tf * 2.5::DOUBLE / (t
 kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)"""
 
 
+_INDEXES: dict[tuple, retrieval.Bm25Index] = {}
+
+
+def _index(s, d) -> retrieval.Bm25Index:
+    """The index over the documents of a folder: built once in a session, in the shared folder."""
+    key = s.sparkContext.applicationId, d
+    if key not in _INDEXES:
+        _INDEXES[key] = retrieval.Bm25Index.build(_docs(s, d).select("doc_id", "text"), f"{shared_folder(s)}/textloom/bm25-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
+def _asked(s, d):
+    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 def _bm25(s, d):
-    docs = _docs(s, d)
-    posted = retrieval.postings(docs)
-    return retrieval.bm25(posted, retrieval.bm25_stats(posted, docs), table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return retrieval.bm25(_index(s, d), _asked(s, d))
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM kr WHERE rank <= 10")
@@ -167,7 +182,7 @@ def q_bm25_batch(s, d):
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM kr WHERE query_id = 0 AND rank <= 20")
 def q_bm25_topk(s, d):
-    return retrieval.ranked(_bm25(s, d).where("query_id = 0"), 20)
+    return retrieval.ranked(retrieval.bm25(_index(s, d), _asked(s, d).where("query_id = 0")), 20)
 
 
 @query(f"WITH {_BM25}, f AS (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc JOIN documents USING (doc_id) WHERE score > 0 AND source = 'src3') SELECT query_id, doc_id, score, rank FROM f WHERE rank <= 5")
@@ -177,8 +192,7 @@ def q_bm25_doc_filter(s, d):
 
 @query(f"WITH {_POST} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, round(m, 6) AS mean_idf FROM st, me")
 def q_bm25_stats(s, d):
-    docs = _docs(s, d)
-    return retrieval.bm25_stats(retrieval.postings(docs), docs).select("n_docs", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
+    return _index(s, d).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
 
 
 _RRF = f"""{_VEC}, {_BM25}, l AS (SELECT query_id // 100 AS query_id, vec_id AS doc_id, rank AS v, NULL AS k FROM vr WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, NULL, rank FROM kr WHERE rank <= 20 AND query_id IN (SELECT vec_id // 100 FROM embeddings WHERE vec_id % 100 = 0)),
@@ -189,7 +203,7 @@ rrf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 def _legs(s, d, k=20):
     v = _vector(s, d, k).select(F.expr("query_id div 100").alias("query_id"), F.col("vec_id").alias("doc_id"), "rank")
     asked = table(s, d, "embeddings").where("vec_id % 100 = 0").select(F.expr("vec_id div 100").alias("query_id"))
-    return v, retrieval.ranked(_bm25(s, d).join(asked, "query_id", "left_semi"), k).select("query_id", "doc_id", "rank")
+    return v, retrieval.ranked(retrieval.bm25(_index(s, d), _asked(s, d).join(asked, "query_id", "left_semi")), k).select("query_id", "doc_id", "rank")
 
 
 @query(f"WITH {_RRF} SELECT query_id, doc_id, score, rank FROM rrf WHERE rank <= 10")
@@ -557,9 +571,9 @@ def q_common_parent(s, d):
 
 
 @query(r"""WITH b AS (SELECT page_id, regexp_replace(html, '(?s)<(script|style)\b.*?</(script|style)>', '', 'g') AS h FROM pages),
-e AS (SELECT page_id, unnest(regexp_extract_all(h, '(?s)<(h[1-3]|p|li|figcaption)\b[^>]*>(.*?)</(?:h[1-3]|p|li|figcaption)>', 1)) AS tag, unnest(regexp_extract_all(h, '(?s)<(h[1-3]|p|li|figcaption)\b[^>]*>(.*?)</(?:h[1-3]|p|li|figcaption)>', 2)) AS body, unnest(range(len(regexp_extract_all(h, '(?s)<(h[1-3]|p|li|figcaption)\b[^>]*>(.*?)</(?:h[1-3]|p|li|figcaption)>', 1)))) AS elem_idx FROM b),
+e AS (SELECT page_id, unnest(regexp_extract_all(h, 'ELEMENT_TAGS', 1)) AS tag, unnest(regexp_extract_all(h, 'ELEMENT_TAGS', 2)) AS body, unnest(range(len(regexp_extract_all(h, 'ELEMENT_TAGS', 1)))) AS elem_idx FROM b),
 t AS (SELECT page_id, elem_idx, CASE WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'li' THEN 'list_item' WHEN tag = 'figcaption' THEN 'figure_caption' ELSE 'text' END AS type, trim(regexp_replace(regexp_replace(body, '<[^>]*>', '', 'g'), '[ \t\n\r]+', ' ', 'g')) AS text FROM e)
-SELECT page_id, elem_idx, type, text, CAST(CASE WHEN length(text) < 30 THEN 1 WHEN length(text) < 60 THEN 2 ELSE 3 END AS BIGINT) AS level, last_value(CASE WHEN type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY elem_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section_title FROM t WHERE text <> ''""")
+SELECT page_id, elem_idx, type, text, CAST(CASE WHEN length(text) < 30 THEN 1 WHEN length(text) < 60 THEN 2 ELSE 3 END AS BIGINT) AS level, last_value(CASE WHEN type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY elem_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section_title FROM t WHERE text <> ''""".replace("ELEMENT_TAGS", tables.ELEMENT))
 def q_elements(s, d):
     e = tables.html_elements(table(s, d, "pages"))
     w = Window.partitionBy("page_id").orderBy("elem_idx").rowsBetween(Window.unboundedPreceding, -1)
@@ -650,6 +664,18 @@ def q_pack_hybrid(s, d):
     return _packed(s, d, "hybrid", minimum=40, maximum=240)
 
 
+@query(rf"""WITH RECURSIVE {_ELEMENTS}, hd AS (SELECT doc_id, i, text, i % 4 = 1 AS heading, CASE WHEN length(text) < 30 THEN 1 WHEN length(text) < 60 THEN 2 ELSE 3 END AS level FROM el),
+st AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS path, CAST([] AS VARCHAR[]) AS before, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS was FROM (SELECT DISTINCT doc_id FROM hd)
+  UNION ALL SELECT hd.doc_id, hd.i, CASE WHEN NOT heading THEN path WHEN level = 1 THEN [text] WHEN len(path) >= level - 1 THEN list_append(path[1:level - 1], text) ELSE list_append(path, text) END, path, CASE WHEN heading THEN text ELSE title END, title
+    FROM st JOIN hd ON hd.doc_id = st.doc_id AND hd.i = st.i + 1)
+SELECT doc_id, i, was AS section_title, nullif(array_to_string(before, ' > '), '') AS section_path FROM st WHERE i > 0""")
+def q_heading_stack(s, d):
+    """Every fourth element is made a heading."""
+    e = _elements(s, d).select("doc_id", "elem_idx", "text")
+    e = e.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("elem_idx")).cast("long"))
+    return tables.with_sections(e.withColumn("type", F.when(F.col("i") % 4 == 1, "heading").otherwise("text"))).select("doc_id", "i", "section_title", "section_path")
+
+
 # --- quality and evaluation
 
 
@@ -682,6 +708,123 @@ def q_eval_rollup(s, d):
     return rows.withColumn("points", points).rollup("category").agg(F.count("*").alias("questions"), total.alias("points"), F.round(100.0 * total / (25 * F.count("*")), 6).alias("pct"), F.grouping("category").cast("long").alias("overall"))
 
 
+# --- questions to answers
+
+_ASK = rf"""{_BM25}, qt AS (SELECT item_id AS query_id, text, {_CLASS} AS query_type FROM benchmark), pl AS (SELECT * FROM qt JOIN (VALUES {_ROUTES}) r(query_type, strategy, top_k, min_score) USING (query_type)),
+dw AS (SELECT doc_id, CAST(concat('0x', substr(md5(t), 1, 7)) AS BIGINT) % 64 AS k, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, unnest({_TOK}) AS t FROM documents) GROUP BY ALL), dz AS (SELECT doc_id, sqrt(sum(n * n)) AS z FROM dw GROUP BY doc_id),
+qw AS (SELECT item_id AS query_id, CAST(concat('0x', substr(md5(t), 1, 7)) AS BIGINT) % 64 AS k, CAST(count(*) AS DOUBLE) AS n FROM (SELECT item_id, unnest({_TOK}) AS t FROM benchmark) GROUP BY ALL), qz AS (SELECT query_id, sqrt(sum(n * n)) AS z FROM qw GROUP BY query_id),
+vs AS (SELECT query_id, doc_id, sum(qw.n * dw.n) AS dot FROM qw JOIN dw USING (k) GROUP BY ALL), vc AS (SELECT query_id, doc_id, round(dot / (qz.z * dz.z), 6) AS score FROM vs JOIN qz USING (query_id) JOIN dz USING (doc_id)),
+vk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM vc),
+vh AS (SELECT vk.*, strategy, top_k FROM vk JOIN pl USING (query_id) WHERE rank <= CASE WHEN strategy = 'hybrid' THEN 2 * top_k ELSE top_k END AND (min_score IS NULL OR score >= min_score)),
+fl AS (SELECT query_id, doc_id, max(v) AS v, max(w) AS w FROM (SELECT query_id, doc_id, rank AS v, NULL AS w FROM vh WHERE strategy = 'hybrid' UNION ALL SELECT query_id, doc_id, NULL, rank FROM kr JOIN pl USING (query_id) WHERE strategy = 'hybrid' AND rank <= 2 * top_k) GROUP BY ALL),
+fs AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + v), 0) + coalesce(1.0::DOUBLE / (60 + w), 0), 9) AS score FROM fl), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v NULLS LAST, w NULLS LAST) AS rank FROM fs),
+hh AS (SELECT query_id, doc_id, score, rank FROM vh WHERE strategy <> 'hybrid' UNION ALL SELECT query_id, doc_id, score, rank FROM fr JOIN pl USING (query_id) WHERE rank <= top_k),
+h1 AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS rank, coalesce(d.text, '') AS text, concat_ws(' > ', source, lang) AS section_path FROM hh JOIN documents d USING (doc_id)),
+h2 AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS m, count(*) OVER (PARTITION BY query_id, coalesce(nullif(section_path, ''), 'unknown')) AS c FROM h1),
+h3 AS (SELECT *, round(score * (1 + CAST(0.15 AS DOUBLE) * (c - 1)) + CAST(1e-9 AS DOUBLE), 6) AS boosted FROM h2),
+hit AS (SELECT query_id, doc_id, CASE WHEN m > 1 THEN boosted ELSE score END AS score, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, rank) AS rank, text, section_path, m FROM h3)"""
+_SAID = rf"""{_ASK}, an AS (SELECT query_id, string_agg(trim(substr(text, 1, 160)) || ' [' || rank || ']', ' ' ORDER BY rank) AS answer FROM hit WHERE rank <= 3 GROUP BY query_id), tp AS (SELECT query_id, score AS top, m FROM hit WHERE rank = 1),
+sd AS (SELECT pl.query_id, query_type, strategy, coalesce(answer, 'I cannot answer this based on the provided context') AS answer, top, coalesce(m, 0) AS m FROM pl LEFT JOIN an USING (query_id) LEFT JOIN tp USING (query_id)),
+ct AS (SELECT query_id, list_distinct(list_filter(list_transform(regexp_extract_all(answer, '\[(\d+)\]', 1), lambda x: CAST(x AS BIGINT)), lambda x: x BETWEEN 1 AND m)) AS cited FROM sd),
+cf AS (SELECT query_id, CASE WHEN top IS NULL THEN 0 WHEN contains(lower(answer), 'i cannot answer') OR contains(lower(answer), 'not found in the context') OR contains(lower(answer), 'insufficient information') OR contains(lower(answer), 'context doesn''t contain') OR contains(lower(answer), 'unable to determine') THEN greatest(0.3::DOUBLE, top * 0.5::DOUBLE)
+  WHEN NOT regexp_matches(answer, '\[\d+\]') THEN greatest(0.4::DOUBLE, top * 0.6::DOUBLE) ELSE least(1.0::DOUBLE, top * 1.1::DOUBLE) END AS confidence FROM sd)"""
+
+
+def _questions(s, d):
+    """Planned questions, hits by hashed vectors and by words, and the chunks: documents, asked by the benchmark's items."""
+    docs = _docs(s, d)
+    planned = answers.plan(_asked(s, d))
+    base = docs.select("doc_id", retrieval.hashed_vector("text").alias("embedding"))
+    vector = retrieval.vector_topk(base, planned.select("query_id", retrieval.hashed_vector("text").alias("embedding")), 30, "doc_id")
+    keyword = retrieval.ranked(retrieval.bm25(_index(s, d), planned), 30)
+    chunks = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.concat_ws(" > ", "source", "lang").alias("section_path"), F.array(F.col("doc_id") % 97).alias("pages"), "source")
+    return planned, vector, keyword, chunks
+
+
+@query(f"WITH {_ASK} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM hit")
+def q_retrieve(s, d):
+    return answers.retrieve(*_questions(s, d)).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_SAID}, cx AS (SELECT *, length('[' || rank || '] ' || section_path || ' (Page ' || (doc_id % 97) || ', Relevance: ' || printf('%.1f%%', score * 100) || ')') AS head FROM hit WHERE rank <= 5),
+rm AS (SELECT *, 4000 - coalesce(sum(head + length(text) + 2) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM cx),
+ln AS (SELECT query_id, sum(head + 2 + CASE WHEN length(text) > room THEN room + 3 ELSE length(text) END) + 6 * (count(*) - 1) AS chars FROM rm WHERE room > 0 GROUP BY query_id)
+SELECT query_id, query_type, strategy, md5(answer) AS answer_md5, m AS num_chunks, CAST(len(cited) AS BIGINT) AS num_citations, array_to_string(list_sort(cited), ',') AS cited, round(confidence, 6) AS confidence, round(coalesce(top, 0), 6) AS top_score, CAST(coalesce(chars, 26) AS BIGINT) AS context_chars
+FROM sd JOIN ct USING (query_id) JOIN cf USING (query_id) LEFT JOIN ln USING (query_id)""")
+def q_answer_batch(s, d):
+    planned, *rest = _questions(s, d)
+    out = answers.answer(planned, answers.retrieve(planned, *rest))
+    return out.select(
+        "query_id", "query_type", "strategy", F.md5("answer").alias("answer_md5"), "num_chunks", "num_citations", F.array_join(F.array_sort(F.transform("citations", lambda c: c["number"])), ",").alias("cited"),
+        F.round("confidence", 6).alias("confidence"), F.round("top_score", 6).alias("top_score"), F.length("context").cast("long").alias("context_chars"),
+    )
+
+
+@query(f"""WITH {_SAID}, ci AS (SELECT query_id, count(*) AS n FROM hit JOIN ct USING (query_id) WHERE list_contains(cited, rank) GROUP BY query_id)
+SELECT query_id, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS bucket, coalesce(n, 0) AS sources, starts_with(answer, 'I cannot') AS refused FROM sd JOIN cf USING (query_id) LEFT JOIN ci USING (query_id)""")
+def q_answer_format(s, d):
+    planned, *rest = _questions(s, d)
+    out = answers.answer(planned, answers.retrieve(planned, *rest))
+    shown = answers.formatted(out).withColumn("bucket", F.lower(F.regexp_extract("shown", r"\*\*Confidence:\*\* \S+ (High|Medium|Low) Confidence \(", 1)))
+    shown = shown.withColumn("sources", F.regexp_count(F.substring_index("shown", "## 📚 Sources", -1), F.lit(r"(?m)^📄 Page \S+ · Relevance: [0-9.]+%$")).cast("long"))
+    return shown.select("query_id", "bucket", "sources", F.startswith("shown", F.lit("I cannot")).alias("refused"))
+
+
+@query(f"""WITH {_ASK}, sm AS (SELECT vk.query_id, rank, score, coalesce(text, '') AS text, source FROM vk JOIN documents USING (doc_id) WHERE rank <= 10 AND score >= 0.3),
+ag AS (SELECT query_id, max(score) AS confidence, max_by(text, -rank) AS text, max_by(coalesce(source, 'N/A'), -rank) AS title, least(count(*), 5) AS n, md5(string_agg(substr(text, 1, 300) || '...', '' ORDER BY rank) FILTER (WHERE rank <= 5)) AS cited_md5 FROM sm GROUP BY query_id)
+SELECT query_id, CASE WHEN ag.query_id IS NULL THEN 'I couldn''t find any relevant information.' ELSE '**Relevant Information:**' || chr(10) || chr(10) || substr(ag.text, 1, 800) || '...' END AS opening, coalesce(title, '') AS title, coalesce(confidence, 0) AS confidence, coalesce(n, 0) AS n, coalesce(cited_md5, md5('')) AS cited_md5 FROM pl LEFT JOIN ag USING (query_id)""")
+def q_simple_mode(s, d):
+    planned, vector, _, chunks = _questions(s, d)
+    hits = vector.where("rank <= 10 AND score >= 0.3D").join(chunks.select("doc_id", "text", "pages", "source", F.col("source").alias("section_title")), "doc_id")
+    out = answers.simple(planned, hits)
+    opening = F.split("answer", r"\n\n\*This is a simple")[0]
+    return out.select(
+        "query_id", F.when(F.col("answer") == answers.NO_RESULT, F.substring_index("answer", " Please", 1)).otherwise(opening).alias("opening"), F.regexp_extract("answer", r"\*\*Top Match:\*\* (.*) \(Confidence: [0-9.]+%\)", 1).alias("title"), "confidence",
+        F.size("citations").cast("long").alias("n"), F.md5(F.array_join(F.transform("citations", lambda c: c["text"]), "")).alias("cited_md5"),
+    )
+
+
+_CHUNK_TITLES = "ch AS (SELECT doc_id, lang, text, CASE doc_id % 3 WHEN 0 THEN 'Figure 1' WHEN 1 THEN source || ' ' || lang END AS title, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')[1] AS l FROM documents), cl AS (SELECT *, nullif(trim(substr(trim(l), 1, 60)), '') AS line FROM ch)"
+
+
+def _chunk_titles(s, d):
+    title = F.when(F.col("doc_id") % 3 == 0, "Figure 1").when(F.col("doc_id") % 3 == 1, F.concat("source", F.lit(" "), "lang"))
+    return _docs(s, d).select(F.col("doc_id").alias("chunk_id"), "lang", "text", title.alias("section_title"), F.lit(None).cast("string").alias("section_path"))
+
+
+@query(f"WITH {_CHUNK_TITLES} SELECT lang, count(*) AS total, count(*) FILTER (WHERE doc_id % 3 <> 1 OR title IS NULL) AS corrected, count(*) FILTER (WHERE doc_id % 3 = 1 AND title IS NOT NULL) AS skipped, CAST(0 AS BIGINT) AS failed FROM cl GROUP BY lang")
+def q_correction_batch(s, d):
+    return sections.correction_stats(sections.correct(_chunk_titles(s, d)), "lang")
+
+
+@query(rf"""WITH {_CHUNK_TITLES}, co AS (SELECT doc_id AS chunk_id, text, line, coalesce(line, title) AS title, CASE WHEN line IS NULL THEN 0.0::DOUBLE ELSE 0.8::DOUBLE END AS sure FROM cl),
+tk AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(coalesce(title, '')), '\s+'), lambda x: x <> '')) AS tw, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS bw FROM co),
+sh AS (SELECT *, coalesce(CAST(len(list_filter(tw, lambda x: list_contains(bw, x))) AS DOUBLE) / nullif(len(tw), 0), 0) AS share FROM tk), nr AS (SELECT *, round(share, 6) < 0.7 OR share < 0.5 AS review FROM sh)
+SELECT chunk_id, CASE WHEN review AND share < 0.5 AND line IS NOT NULL THEN line ELSE title END AS section_title, sure AS correction_confidence, share >= 0.5 AS is_match, round(share, 6) AS relevance_score, review AS needs_review, review AND share < 0.5 AND line IS NOT NULL AS auto_fixed, review AND NOT (share < 0.5 AND line IS NOT NULL) AS needs_manual_review FROM nr""")
+def q_quality_assurance(s, d):
+    return sections.assure(_chunk_titles(s, d)).select("chunk_id", "section_title", "correction_confidence", "is_match", "relevance_score", "needs_review", "auto_fixed", "needs_manual_review")
+
+
+_QUOTE = "replace(section_number, '.', '\\.')"
+
+
+@query(rf"""WITH {_RNG}, ct AS (SELECT r.spec_id, r.section_number, r.section_title, r.level, r.inferred, r.page_start, r.page_end, string_agg(p.text, chr(10) || chr(10) ORDER BY p.page_no) AS raw FROM rng r JOIN page p ON p.spec_id = r.spec_id AND p.page_no BETWEEN r.page_start AND r.page_end GROUP BY ALL),
+sb AS (SELECT *, coalesce(nullif(trim(regexp_extract(substr(raw, 1, 500), '{T.QUOTED_SUBTITLE}', 1)), ''), nullif(regexp_extract(substr(raw, 1, 500), '{T.CODE_SUBTITLE}', 1), ''), list_filter(list_transform(string_split(substr(raw, 1, 500), chr(10))[1:10], lambda x: trim(x)), lambda x: length(x) >= 5 AND length(x) <= 50 AND regexp_matches(x, '^\p{{Lu}}') AND NOT starts_with(x, section_number) AND (NOT ends_with(x, '.') OR len(regexp_extract_all(x, ' ')) <= 5) AND NOT regexp_matches(x, '(?i)JEDEC Standard No\.|Page \d+|^\d+\s*$|Copyright|All rights reserved|^Table \d+|^Figure \d+|^\d+\.\d+'))[1]) AS subtitle FROM ct),
+tl AS (SELECT * EXCLUDE (section_title), CASE WHEN inferred THEN coalesce(nullif(regexp_extract(substr(raw, 1, 2000), '(?m)' || {_QUOTE} || '\s+([A-Z][^
+]{{2,80}}?)(?:
+|$|\.\.\.)', 1), ''), section_title) ELSE section_title END AS section_title FROM sb),
+px AS (SELECT spec_id, section_number, unnest(range(1, len(string_split(section_number, '.')) + 1)) AS i FROM tl), pt AS (SELECT *, array_to_string(string_split(section_number, '.')[1:i], '.') AS prefix FROM px),
+pa AS (SELECT pt.spec_id, pt.section_number, string_agg(prefix || coalesce(' ' || tl.section_title, ''), ' → ' ORDER BY i) AS path FROM pt LEFT JOIN tl ON tl.spec_id = pt.spec_id AND tl.section_number = pt.prefix GROUP BY ALL)
+SELECT spec_id AS doc_id, sha256(concat_ws(':', spec_id, section_number, page_start, 0)) AS chunk_id, section_title, path || CASE WHEN coalesce(subtitle, '') <> '' THEN ' - ' || subtitle ELSE '' END AS section_path, CAST(page_start AS VARCHAR) AS pages, page_end, 'text' AS chunk_type FROM tl JOIN pa USING (spec_id, section_number)""")
+def q_toc_chunks(s, d):
+    """The whole way from pages to stored chunks: the book's table of contents comes first, its pages follow behind it."""
+    front = 25
+    body = derived.pages(s, d).withColumn("page_no", F.col("page_no") + front)
+    pages = derived.toc(s, d).select("spec_id", F.col("page_no").cast("long").alias("page_no"), "text").unionByName(body)
+    out = toc.stored_chunks(toc.chunk_document(pages, front))
+    return out.select("doc_id", "chunk_id", "section_title", "section_path", F.array_join("page_numbers", ",").alias("pages"), "page_end", "chunk_type")
+
+
 # --- store
 
 
@@ -736,6 +879,34 @@ def q_sample(s, d):
     return _docs(s, d).select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("k")).orderBy("k", "doc_id").limit(20)
 
 
+@query("SELECT doc_id, rpad(coalesce(lang, ''), 15, ' ') || ' ' || rpad(coalesce(source, ''), 10, ' ') || ' ' || rpad(substr(md5(text), 1, 28), 30, ' ') || ' ' || rpad(CAST(n_chars AS VARCHAR), 8, ' ') || ' ' || rpad('', 8, ' ') || ' ' || rpad('2024-01-01 00:00:00', 20, ' ') AS line FROM documents WHERE text IS NOT NULL")
+def q_document_table(s, d):
+    docs = _docs(s, d).where("text is not null")
+    return store.document_table(docs.select("doc_id", F.col("lang").alias("protocol"), F.col("source").alias("version"), F.md5("text").alias("title"), F.col("n_chars").alias("total_pages"), F.lit(None).alias("total_chunks"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("uploaded_at")))
+
+
+@query("SELECT e.event_id, e.user_id AS chunk_id, d.source, d.n_chars FROM events e JOIN documents d ON d.doc_id = e.user_id")
+def q_ordered_lookup(s, d):
+    """Lists of ids to their chunks, each with its place in the list; ids that are not there drop out."""
+    ids = table(s, d, "events").select(F.col("user_id").alias("chunk_id"), "event_id")
+    return store.by_ids(_docs(s, d).select(F.col("doc_id").alias("chunk_id"), "source", "n_chars"), ids)
+
+
+@query("SELECT doc_id, source, lang FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")
+def q_first_n(s, d):
+    return store.first_n(_docs(s, d).withColumn("least", -F.col("n_chars")), 20, "least", "doc_id").select("doc_id", "source", "lang")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, [1 + event_id % 3, 2][1:CAST(event_id % 3 AS INTEGER)] = [] AS unpaged, '{\"k\":' || (event_id % 5) || '}' AS json FROM events WHERE ts IS NOT NULL")
+def q_encodings(s, d):
+    e = table(s, d, "events").where("ts is not null")
+    pages = F.slice(F.array((1 + F.col("event_id") % 3).cast("int"), F.lit(2)), 1, (F.col("event_id") % 3).cast("int"))
+    paged = T.default_pages(pages)
+    iso = T.iso_time(F.date_trunc("second", "ts"))
+    back = F.date_format(T.from_iso_time(iso), "yyyy-MM-dd'T'HH:mm:ss")
+    return e.select("event_id", F.when(back == iso, iso).alias("iso"), ((F.size(pages) == 0) & (paged == F.array(F.lit(1)))).alias("unpaged"), F.to_json(F.struct((F.col("event_id") % 5).alias("k"))).alias("json"))
+
+
 def entry_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cited context of vector hits: top-k, documents, context within its budget."""
     return q_context_assembly(spark, sf_dir)

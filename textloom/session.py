@@ -1,7 +1,12 @@
-"""A session with the settings that the plans count on."""
+"""A session with the settings that the plans count on, and the folder that all executors share."""
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +16,15 @@ def get_session(app: str = "textloom", **conf: str) -> SparkSession:
     for key, value in {**base, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """What ``spark.checkpoint.dir`` names; a folder of its own only in a local session that names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
+        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 # Fixed value: the tags that make an element.
-ELEMENT = r"(?s)<(h[1-3]|p|li|figcaption)\b[^>]*>(.*?)</(?:h[1-3]|p|li|figcaption)>"
+ELEMENT = r"(?s)<(h[1-3]|p|li|figcaption|table)\b[^>]*>(.*?)</(?:h[1-3]|p|li|figcaption|table)>"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,10 +49,49 @@ def range_content(pages: DataFrame, ranges: DataFrame, offset: int = 0) -> DataF
 
 
 def html_elements(pages: DataFrame) -> DataFrame:
-    """``(page_id, elem_idx, type, text)`` from the h1-h3, p, li and figcaption tags of ``pages(page_id, html)``, in order; blank ones are left out."""
-    pattern = r"(?s)<(h[1-3]|p|li|figcaption)\b[^>]*>(.*?)</(?:h[1-3]|p|li|figcaption)>"
+    """``(page_id, elem_idx, type, text)`` from the h1-h3, p, li, figcaption and table tags of ``pages(page_id, html)``, in order; blank ones are left out. Null pages have none."""
+    pattern = ELEMENT
     bare = F.regexp_replace("html", r"(?s)<(script|style)\b.*?</(script|style)>", "")
     rows = pages.select("page_id", F.posexplode(F.arrays_zip(F.regexp_extract_all(bare, F.lit(pattern), F.lit(1)).alias("tag"), F.regexp_extract_all(bare, F.lit(pattern), F.lit(2)).alias("body"))).alias("pos", "e"))
     text = F.trim(F.regexp_replace(F.regexp_replace("e.body", "<[^>]*>", ""), r"[ \t\n\r]+", " "))
-    kind = F.when(F.col("e.tag").startswith("h"), "heading").when(F.col("e.tag") == "li", "list_item").when(F.col("e.tag") == "figcaption", "figure_caption").otherwise("text")
+    kind = F.when(F.col("e.tag").startswith("h"), "heading").when(F.col("e.tag") == "li", "list_item").when(F.col("e.tag") == "figcaption", "figure_caption").when(F.col("e.tag") == "table", "table").otherwise("text")
     return rows.select("page_id", F.col("pos").cast("long").alias("elem_idx"), kind.alias("type"), text.alias("text")).where("text <> ''")
+
+
+def with_sections(elements: DataFrame, validated: bool = False) -> DataFrame:
+    """``elements(doc_id, elem_idx, type, text, ...)`` with ``section_title`` and ``section_path``: the latest heading before an element, and the headings above
+    each other, joined by ' > '; a heading still has those before it. Nulls before the first one.
+
+    A heading's level comes from its length; ``validated``: from its number, and headings that are none (captions, page numbers, too long) change nothing. A document
+    streams through one task; equal ``elem_idx`` go by text.
+    """
+    level = T.heading_level("text") if validated else T.level_by_length("text")
+    rows = elements.withColumn("_level", F.when(F.col("type") == "heading", level).cast("int"))
+    out = rows.withColumns({"section_title": F.lit(None).cast("string"), "section_path": F.lit(None).cast("string")})
+    names = out.columns
+
+    def after(path: list[str], n: int, text: str) -> list[str]:
+        if validated:
+            return [*path[: min(n, 4) - 1], text]
+        return [text] if n == 1 else [*path[: n - 1], text] if len(path) >= n - 1 else [*path, text]
+
+    def run(batches):
+        doc, path, title, fresh = None, [], None, True
+        for batch in batches:
+            titles, paths = [], []
+            for d, n, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_level", "text"))):
+                if fresh or d != doc:
+                    doc, path, title, fresh = d, [], None, False
+                titles.append(title)
+                paths.append(" > ".join(path) if path else None)
+                if n is not None:
+                    path, title = after(path, n, text), text
+            columns = [*(batch.column(k) for k in range(batch.num_columns - 2)), pa.array(titles, pa.string()), pa.array(paths, pa.string())]
+            yield pa.record_batch(columns, names=names)
+
+    return out.repartition("doc_id").sortWithinPartitions("doc_id", "elem_idx", "text").mapInArrow(run, out.schema).drop("_level")
+
+
+def inspect_pages(pages: DataFrame, first: int, last: int, chars: int = 2000) -> DataFrame:
+    """The openings of a range of pages, to look at."""
+    return pages.where(F.col("page_no").between(first, last)).select("*", F.substring("text", 1, chars).alias("shown")).drop("text")
