@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import chunking, retrieval, store
+from textloom.operators import answers, chunking, retrieval, sections, store, toc
+from textloom.sources import tables
 from textloom.streaming import ingest
 
 
@@ -124,3 +125,137 @@ def test_common_parent_reads_every_title(spark):
     group = F.concat(F.array_repeat(F.array(F.lit(3), F.lit(1), F.lit(2)), 10_001), F.array(F.array(F.lit(3), F.lit(4))))
     got = spark.range(1).select(T.common_parent(group).alias("p"), T.common_parent(F.slice(group, 1, 1)).alias("one")).first()
     assert (got.p, got.one) == ("3", "3.1.2")
+
+
+def test_registry_and_ingest(spark, tmp_path):
+    registry, chunks = store.Registry(spark, str(tmp_path / "r")), store.ChunkStore(spark, str(tmp_path / "c"))
+    assert registry.documents().count() == 0 and registry.get("a").count() == 0
+    rows = spark.createDataFrame([("a", "one"), ("a", "two")], "doc_id string, text string")
+    for doc in ("a", "b"):
+        store.ingest(registry, chunks, {"doc_id": doc, "title": doc, "protocol": "p"}, rows.withColumn("doc_id", F.lit(doc)))
+    assert registry.get("a").first().total_chunks == 2 and chunks.read().count() == 4
+    with pytest.raises(ValueError):
+        store.ingest(registry, chunks, {"doc_id": "c"}, rows.limit(0))
+    bad = {"doc_id": "c", "total_pages": "many"}
+    with pytest.raises(Exception):
+        store.ingest(registry, chunks, bad, rows.withColumn("doc_id", F.lit("c")))
+    assert chunks.read("c").count() == 0 and registry.get("c").count() == 0  # what was written before the failure is gone
+    registry.soft_delete("a", chunks)
+    assert [r.doc_id for r in registry.documents().collect()] == ["b"] and not registry.get("a").first().is_active and chunks.read().count() == 2
+    assert store.filtered(chunks.read(), registry.read(), protocol="p", active_only=True).count() == 2 and store.filtered(chunks.read(), doc_id="a").count() == 0
+    chunks.vacuum()
+    assert chunks.read("b").count() == 2 and chunks.info().first().n == 2
+
+
+def test_upsert_ties_and_nulls(spark):
+    old = spark.createDataFrame([(1, "a"), (None, "b")], "k long, v string")
+    new = spark.createDataFrame([(1, "x", 1), (1, "y", 1), (None, "z", None)], "k long, v string, seq long")
+    assert sorted(map(tuple, store.upsert(old, new, "k").collect()), key=str) == sorted([(1, "y"), (None, "z")], key=str)
+    assert store.upsert(old, new.limit(0), "k").count() == 2 and store.upsert(old.limit(0), new, "k").count() == 2
+
+
+def test_answers_by_a_caller(spark):
+    """A caller's answer cites hits; its failure says so at confidence 0; without hits nothing can be answered."""
+    planned = answers.plan(spark.createDataFrame([(1, "how to reset"), (2, "boom"), (3, "nothing")], "query_id long, text string"), top_k=2, min_score=0.1, strategy="vector")
+    chunks = spark.createDataFrame([(10, "first text", "A", [3, 4], "s"), (11, "second text", "A", [], "s"), (12, "third", "B", None, None)], "doc_id long, text string, section_path string, pages array<long>, source string")
+    hits = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.8, 2), (1, 12, 0.7, 3), (2, 12, 0.5, 1), (3, 12, 0.05, 1)], "query_id long, doc_id long, score double, rank long")
+    found = answers.retrieve(planned, hits, hits.limit(0), chunks)
+
+    def generate(row):
+        if row["query"] == "boom":
+            raise OSError("no model")
+        return f"See [2] and [1], not [7]. {row['instructions'][:4]}" if row["context"].startswith("[1]") else "I cannot answer this"
+
+    got = {r.query_id: r for r in answers.answer(planned, found, generate).collect()}
+    assert got[1].answer.endswith("Prov") and [(c.number, c.doc_id) for c in got[1].citations] == [(2, 11), (1, 10)] and got[1].confidence == 1.0
+    assert got[1].top_score == pytest.approx(0.9 * 1.15) and got[1].num_chunks == 2 and got[1].query_type == "procedural"
+    assert got[2].error == "OSError: no model" and got[2].confidence == 0 and got[2].answer.startswith(answers.FAILED) and got[2].citations == []
+    assert got[3].confidence == 0 and got[3].num_chunks == 0 and got[3].context == answers.NO_CONTEXT
+    shown = {r.query_id: r.shown for r in answers.formatted(answers.answer(planned, found, generate)).collect()}
+    assert "**[2]** A  \n📄 Page N/A · Relevance: 92.0%" in shown[1] and "🟢 High Confidence (100.0%)" in shown[1] and "Sources" not in shown[3]
+    assert answers.formatted(answers.answer(planned, found), "plain").where("query_id = 3").first().shown == answers.CANNOT
+    checked = {r.query_id: r for r in answers.checked(answers.answer(planned, found)).collect()}
+    assert checked[1].is_valid and checked[1].supported == 1.0 and not checked[3].is_valid
+    simple = {r.query_id: r for r in answers.simple(planned, hits.where("score > 0.1").join(chunks.withColumn("section_title", F.col("section_path")), "doc_id")).collect()}
+    assert simple[3].answer == answers.NO_RESULT and simple[1].citations[0].page == "3, 4" and simple[1].confidence == 0.9
+    audit = store.audit_rows(answers.answer(planned, found, generate), "m", 30.0)
+    assert audit.count() == 3 and {r.query_id: len(r.citations) for r in store.citations_of(audit).collect()} == {"1": 2, "2": 0, "3": 0}
+    stats = store.pipeline_stats(audit).first()
+    assert stats.total_queries == 3 and stats.by_model == {"m": 3} and store.pipeline_stats(audit.limit(0)).first().total_queries == 0
+
+
+def test_correction_and_validation_by_a_caller(spark):
+    rows = spark.createDataFrame([(1, "good text", "Some title", "p"), (2, "body", "Figure 2", "p"), (3, None, None, None), (4, "raise", "Ab", "p")], "chunk_id long, text string, section_title string, section_path string")
+
+    def corrector(row):
+        if row["text"] == "raise":
+            raise ValueError("down")
+        return {"section_title": "Fixed", "confidence": 0.9} if row["text"] else {}
+
+    done = sections.correct(rows, corrector)
+    got = {r.chunk_id: (r.section_title, r.section_path, r.correction_confidence, r.correction_error) for r in done.collect()}
+    assert got == {1: ("Some title", "p", None, None), 2: ("Fixed", "p", 0.9, None), 3: (None, None, 0.5, None), 4: ("Ab", "p", 0.0, "ValueError: down")}
+    assert tuple(sections.correction_stats(done).first()) == (4, 2, 1, 1)
+    checked = sections.assure(rows, corrector, lambda r: {"is_match": r["text"] == "body", "relevance_score": 0.9, "expected_section": "Expected" if r["text"] else None})
+    got = {r.chunk_id: (r.section_title, r.needs_review, r.auto_fixed, r.needs_manual_review) for r in checked.collect()}
+    assert got == {1: ("Expected", True, True, False), 2: ("Fixed", False, False, False), 3: (None, True, False, True), 4: ("Expected", True, True, False)}
+    bad = sections.validate(rows, lambda r: 1 / 0)
+    assert tuple(sections.validation_stats(bad).first()) == (4, 4, 0, 0, 4, 4) and sections.low_relevance(bad, 2).count() == 2
+    assert sections.correct(rows.limit(0), corrector).count() == 0
+
+
+def test_validated_headings(spark):
+    rows = [("heading", "Chapter 6 Functions"), ("text", "a"), ("heading", "Figure 3"), ("text", "b"), ("heading", "6.6 Bus"), ("heading", "B.2 Queue"), ("text", "c")]
+    e = spark.createDataFrame([(1, k, kind, t) for k, (kind, t) in enumerate(rows)] + [(None, 0, "text", "z")], "doc_id long, elem_idx long, type string, text string")
+    got = [(r.section_title, r.section_path) for r in tables.with_sections(e, validated=True).where("doc_id = 1").orderBy("elem_idx").collect()]
+    assert got[1] == ("Chapter 6 Functions", "Chapter 6 Functions") and got[3] == got[1] and got[5] == ("6.6 Bus", "6.6 Bus") and got[6] == ("B.2 Queue", "6.6 Bus > B.2 Queue")
+    assert got[0] == (None, None) and tables.with_sections(e.limit(0)).count() == 0
+
+
+def test_vectors_of_odd_shapes(spark):
+    base = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, []), (4, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    asked = base.where("vec_id <> 7").select(F.col("vec_id").alias("query_id"), "embedding")
+    assert sorted((r.query_id, r.vec_id, r.score) for r in retrieval.vector_topk(base, asked, 5).collect()) == [(1, 1, 1.0), (1, 7, 0.0), (2, 2, 1.0)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from textloom import cli
+
+    (tmp_path / "book.txt").write_text("The reset command stops the card.\n\nSecond paragraph\fPage two talks of voltage")
+    root = f"file://{tmp_path}/root"
+    assert cli.main(["--root", root, "ingest", str(tmp_path / "book.txt"), "--protocol", "mmc", "--version", "5.1", "--title", "Book"]) == 0
+    assert cli.main(["--root", root, "list"]) == 0
+    line = capsys.readouterr().out
+    assert line.startswith("mmc             5.1        Book") and " 2        1        " in line
+    assert cli.main(["--root", root, "ask", "what about voltage"]) == 0
+    assert "[1]" in capsys.readouterr().out
+    doc = store.Registry(spark, f"{root}/registry").documents().first().doc_id
+    assert cli.main(["--root", root, "delete", doc]) == 0 and cli.main(["--root", root, "list"]) == 0 and capsys.readouterr().out == ""
+
+
+def test_empty_tables_and_nulls(spark):
+    """Operators over nothing give nothing; null texts are no text."""
+    docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert [r.text for r in chunking.split_long(docs).collect()] == [""] and chunking.split_long(docs.limit(0)).count() == 0
+    hits = spark.createDataFrame([], "query_id long, doc_id long, rank long, section string, score double")
+    assert retrieval.rrf(hits, hits, 5).count() == 0 and retrieval.rerank_by_section(hits, "section").count() == 0
+    pages = spark.createDataFrame([], "spec_id long, page_no long, text string")
+    assert toc.chunk_document(pages).count() == 0 and toc.headed_coverage(pages).count() == 0 and toc.unheaded_pages(pages).count() == 0
+    assert chunking.pack_elements(spark.createDataFrame([], ELEMENT)).count() == 0
+    assert chunking.create_chunker("simple", size=5, overlap=1)(elements(spark, [("a b c", "text", 1, None), ("d e f", "text", 1, None)])).count() == 2
+
+
+def test_index_of_nothing_and_pages_of_files(spark, tmp_path):
+    empty = retrieval.Bm25Index.build(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/i")
+    assert retrieval.bm25(empty, spark.createDataFrame([(1, "a b")], "query_id long, text string")).count() == 0
+    (tmp_path / "a.txt").write_text("one\ftwo\f")
+    got = tables.pages_from_binaries(spark, str(tmp_path / "a.txt"), lambda raw: raw.decode().split("\f"), "*")
+    assert sorted((r.page_no, r.text) for r in got.collect()) == [(1, "one"), (2, "two")]
+    store.write_report(got.select("text"), f"file://{tmp_path}/report", "text")
+    assert spark.read.text(f"file://{tmp_path}/report").count() == 2
+
+
+def test_token_counter_by_vocabulary():
+    import public_tokenizers
+
+    assert chunking.bpe_count(public_tokenizers.path("byte_bpe_50k.json"))("hello world") == 2

@@ -808,7 +808,7 @@ def q_quality_assurance(s, d):
 _QUOTE = "replace(section_number, '.', '\\.')"
 
 
-@query(rf"""WITH {_RNG}, ct AS (SELECT r.spec_id, r.section_number, r.section_title, r.level, r.inferred, r.page_start, r.page_end, string_agg(p.text, chr(10) || chr(10) ORDER BY p.page_no) AS raw FROM rng r JOIN page p ON p.spec_id = r.spec_id AND p.page_no BETWEEN r.page_start AND r.page_end GROUP BY ALL),
+@query(rf"""WITH {_RNG}, ct AS (SELECT r.spec_id, r.section_number, r.section_title || CASE WHEN any_value(sp.doc_id) % 5 = 1 THEN ' [7]' ELSE '' END AS section_title, r.level, r.inferred, r.page_start, r.page_end, string_agg(p.text, chr(10) || chr(10) ORDER BY p.page_no) AS raw FROM rng r JOIN page p ON p.spec_id = r.spec_id AND p.page_no BETWEEN r.page_start AND r.page_end LEFT JOIN spec sp ON sp.spec_id = r.spec_id AND sp.section_number = r.section_number GROUP BY r.spec_id, r.section_number, r.section_title, r.level, r.inferred, r.page_start, r.page_end),
 sb AS (SELECT *, coalesce(nullif(trim(regexp_extract(substr(raw, 1, 500), '{T.QUOTED_SUBTITLE}', 1)), ''), nullif(regexp_extract(substr(raw, 1, 500), '{T.CODE_SUBTITLE}', 1), ''), list_filter(list_transform(string_split(substr(raw, 1, 500), chr(10))[1:10], lambda x: trim(x)), lambda x: length(x) >= 5 AND length(x) <= 50 AND regexp_matches(x, '^\p{{Lu}}') AND NOT starts_with(x, section_number) AND (NOT ends_with(x, '.') OR len(regexp_extract_all(x, ' ')) <= 5) AND NOT regexp_matches(x, '(?i)JEDEC Standard No\.|Page \d+|^\d+\s*$|Copyright|All rights reserved|^Table \d+|^Figure \d+|^\d+\.\d+'))[1]) AS subtitle FROM ct),
 tl AS (SELECT * EXCLUDE (section_title), CASE WHEN inferred THEN coalesce(nullif(regexp_extract(substr(raw, 1, 2000), '(?m)' || {_QUOTE} || '\s+([A-Z][^
 ]{{2,80}}?)(?:
@@ -817,7 +817,8 @@ px AS (SELECT spec_id, section_number, unnest(range(1, len(string_split(section_
 pa AS (SELECT pt.spec_id, pt.section_number, string_agg(prefix || coalesce(' ' || tl.section_title, ''), ' → ' ORDER BY i) AS path FROM pt LEFT JOIN tl ON tl.spec_id = pt.spec_id AND tl.section_number = pt.prefix GROUP BY ALL)
 SELECT spec_id AS doc_id, sha256(concat_ws(':', spec_id, section_number, page_start, 0)) AS chunk_id, section_title, path || CASE WHEN coalesce(subtitle, '') <> '' THEN ' - ' || subtitle ELSE '' END AS section_path, CAST(page_start AS VARCHAR) AS pages, page_end, 'text' AS chunk_type FROM tl JOIN pa USING (spec_id, section_number)""")
 def q_toc_chunks(s, d):
-    """The whole way from pages to stored chunks: the book's table of contents comes first, its pages follow behind it."""
+    """The whole way from pages to stored chunks: the book's table of contents comes first, its pages follow behind it. The first pattern that fits an
+    entry leaves the reference mark of some titles."""
     front = 25
     body = derived.pages(s, d).withColumn("page_no", F.col("page_no") + front)
     pages = derived.toc(s, d).select("spec_id", F.col("page_no").cast("long").alias("page_no"), "text").unionByName(body)
