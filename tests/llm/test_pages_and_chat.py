@@ -108,6 +108,10 @@ def test_archives(spark, sf_dir, tmp_path):
     index = warc.merge_runs(runs).orderBy("part", "nth").collect()
     keys = [(r.url_key, r.time, r.page_id is None, r.page_id or 0) for r in index]
     assert keys == sorted(keys) and len(keys) == len(rows)
+    places = {}
+    for r in index:
+        places.setdefault(r.url_key, []).append(r.capture_nth)
+    assert all(own == list(range(1, len(own) + 1)) for own in places.values())
     urls = {r.page_id: r.url for r in warc.read(runs.select(F.col("run").alias("path")).distinct()).collect()}
     assert urls[10**7 + 1] == "http://a b%/\r\n"
     assert warc.archive(pages.limit(0)).count() == 0
@@ -122,3 +126,33 @@ def test_loser_tree(k):
 
 def test_url_key():
     assert warc.url_key("http://News.Example.com/A?b") == "com,example,news)/a?b" and warc.url_key("") == ""
+
+
+def test_merge_in_several_passes(spark, tmp_path, monkeypatch):
+    """More runs than one task may merge, and one URL with a third of all captures, cut into several ranges."""
+    rng = random.Random(2)
+    rows = [(i, "http://hot.org/" if i % 3 == 0 else f"http://h{rng.randrange(40)}.org/{rng.randrange(9)}", f"page {i}") for i in range(900)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(12)
+    monkeypatch.setattr(warc, "FAN_IN", 4)
+    runs = warc.write(pages, f"file://{tmp_path}/w", time=F.col("page_id") % 7)
+    index = warc.merge_runs(runs, 6).orderBy("part", "nth").collect()
+    want = sorted((warc.url_key(u), i % 7, i) for i, u, _ in rows)
+    assert [(r.url_key, r.time, r.page_id) for r in index] == want
+    places = defaultdict(list)
+    for r in index:
+        places[r.url_key].append(r.capture_nth)
+    assert all(own == list(range(1, len(own) + 1)) for own in places.values()) and len(places["org,hot)/"]) == 300
+    assert warc.merge_runs(runs.limit(0)).count() == 0
+
+
+def test_stored_run(tmp_path):
+    """Places in a run of several blocks."""
+    captures = sorted(((f"k{i % 7}", i % 11, i if i % 5 else None, "a", i, 1) for i in range(3000)), key=warc._rank)
+    heads = warc._write_run(f"file://{tmp_path}/x.run", iter(captures))
+    run, ranks = warc.Run(f"file://{tmp_path}/x.run"), [warc._rank(c) for c in captures]
+    assert [n for _, n in heads] == [1024, 1024, 952] and [h for h, _ in heads] == captures[::1024]
+    for rank in [*ranks[::97], ("k3",), ("",), ("z",), ("k3", 4)]:
+        at = run.find(rank)
+        assert at == sum(r < rank for r in ranks)
+        assert [c for _, c in run.rows(at, ("k5",))] == [c for c, r in zip(captures, ranks) if r >= rank and r < ("k5",)]
+    assert warc._write_run(f"file://{tmp_path}/y.run", iter([])) == [] and warc.Run(f"file://{tmp_path}/y.run").find(("a",)) == 0

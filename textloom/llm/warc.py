@@ -2,8 +2,9 @@
 
 Pages are written as gzip members to archive files on shared storage. Of equal payloads of ``MIN_REVISIT`` bytes or more the
 one of the smallest page_id is stored, the others become revisit records that refer to it. Each file's captures form a run, sorted where it is
-written by URL key and time; runs meet in ranges of (key, time, page) and a loser tree merges the k runs of a range, which gives every URL
-its captures in order, over all files.
+written by URL key and time and stored beside the file in blocks. The merge is external: runs beyond ``FAN_IN`` are first merged in groups
+into longer ones; then each task takes a range of (key, time, page), finds its place in every run by bisection and merges them with a loser tree, a block of
+each in memory. That gives every URL its captures in order, over all files, however many one URL has.
 """
 
 from __future__ import annotations
@@ -26,7 +27,13 @@ from .runtime import BROADCAST_ENTRIES, fresh_path, materialize, releasing
 MIN_REVISIT = 100
 #: Compressed bytes of an archive file, about.
 FILE_BYTES = 32_000_000
-_RUN = "run string, seq int, url_key string, time long, page_id long, offset long, length long"
+#: Captures of a block of a run; runs that one task merges; captures of a range of the final merge, and heads of blocks that its cuts are taken from, about.
+BLOCK_ROWS = 1024
+FAN_IN = 256
+RANGE_ROWS = 100_000
+MOST_HEADS = 100_000
+_CAPTURE = pa.schema([("url_key", pa.string()), ("time", pa.int64()), ("page_id", pa.int64()), ("run", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+_RUN = "run string, index string, block long, n long, url_key string, time long, page_id long, offset long"
 _BACK = "path string, offset long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -105,14 +112,17 @@ def encode_record(page_id: int | None, url: str, when: str, payload: bytes, dige
 
 def decode_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """(offset, length, headers, block) of each record of an archive file."""
-    at = 0
+    at, view = 0, memoryview(data)
     while at < len(data):
         z = zlib.decompressobj(31)
-        raw = z.decompress(memoryview(data)[at : at + (1 << 16)])
+        parts = [z.decompress(view[at : at + (1 << 16)])]
         end = at + (1 << 16)
         while not z.eof:
-            raw += z.decompress(memoryview(data)[end : end + (1 << 20)])
+            if end >= len(data):
+                raise ValueError(f"the record at {at} is cut off")
+            parts.append(z.decompress(view[end : end + (1 << 20)]))
             end += 1 << 20
+        raw = b"".join(parts)
         length = min(end, len(data)) - at - len(z.unused_data)
         head, _, body = raw.partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
@@ -120,17 +130,83 @@ def decode_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], byte
         at += length
 
 
+def _rank(capture: tuple) -> tuple:
+    """(url_key, time, page_id, run, offset, length) -> what captures are ordered by; null ids last."""
+    key, time, page, run, offset, _ = capture
+    return key, time, page is None, page or 0, run, offset
+
+
+def _write_run(uri: str, captures: Iterator[tuple]) -> list[tuple]:
+    """Store captures, in order, in blocks; the first capture of each block and its rows."""
+    sink, heads, held = io.BytesIO(), [], []
+    with pa.ipc.new_file(sink, _CAPTURE, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+
+        def flush():
+            heads.append((held[0], len(held)))
+            out.write_batch(pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), _CAPTURE.types)], schema=_CAPTURE))
+            held.clear()
+
+        for capture in captures:
+            held.append(capture)
+            if len(held) == BLOCK_ROWS:
+                flush()
+        if held:
+            flush()
+    files.write_file(uri, sink.getbuffer())
+    return heads
+
+
+def _heads(run: str, index: str, heads: list[tuple]) -> pa.RecordBatch:
+    rows = [(run, index, k, n, h[0], h[1], h[2], h[4]) for k, (h, n) in enumerate(heads)]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[c.split(" ")[0] for c in _RUN.split(", ")])
+
+
+class Run:
+    """A stored run: blocks are read when they are needed, one at a time."""
+
+    def __init__(self, uri: str):
+        self._file = pa.ipc.open_file(files.open_file(uri))
+        self._blocks, self._at, self._rows = self._file.num_record_batches, -1, []
+
+    def _block(self, k: int) -> list[tuple]:
+        if k != self._at:
+            self._at, self._rows = k, list(zip(*(c.to_pylist() for c in self._file.get_batch(k).columns)))
+        return self._rows
+
+    def find(self, rank: tuple) -> int:
+        """How many captures come before a rank, or before any that starts like it."""
+        a, b = 0, self._blocks  # the last block whose first capture comes before
+        while a < b:
+            m = (a + b) // 2
+            a, b = (m + 1, b) if _rank(self._block(m)[0]) < rank else (a, m)
+        if not a:
+            return 0
+        rows = self._block(a - 1)
+        low, high = 0, len(rows)
+        while low < high:
+            m = (low + high) // 2
+            low, high = (m + 1, high) if _rank(rows[m]) < rank else (low, m)
+        return (a - 1) * BLOCK_ROWS + low
+
+    def rows(self, start: int, end: tuple | None) -> Iterator[tuple]:
+        for k in range(start // BLOCK_ROWS, self._blocks):
+            for capture in self._block(k)[start % BLOCK_ROWS if k == start // BLOCK_ROWS else 0 :]:
+                rank = _rank(capture)
+                if end is not None and rank >= end:
+                    return
+                yield rank, capture
+
+
 def _write_pass(folder: str, file_bytes: int):
     def run(batches):
-        task, n, out, at, rows = TaskContext.get().partitionId(), 0, io.BytesIO(), 0, []
+        task, n, out, at, rows, attempt = TaskContext.get().partitionId(), 0, io.BytesIO(), 0, [], files.attempt()
 
         def flush():
-            path = f"{folder}/part-{task:06d}-{n:06d}.warc.gz"
-            files.write_file(path, out.getvalue())
-            own = sorted(rows, key=lambda r: (r[0], r[1], r[2] is None, r[2] or 0))
-            cols = [[path] * len(own), list(range(len(own))), *zip(*own)]
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["run", "seq", "url_key", "time", "page_id", "offset", "length"])
+            path = f"{folder}/part-{task:06d}-{n:06d}-{attempt}.warc.gz"
+            files.write_file(path, out.getbuffer())
+            captures = sorted(((key, time, page, path, offset, length) for key, time, page, offset, length in rows), key=_rank)
+            return _heads(path, f"{path}.run", _write_run(f"{path}.run", captures))
 
         for batch in batches:
             for a in range(0, len(batch), 256):
@@ -156,7 +232,8 @@ def revisits(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str, time: Column | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """``pages(page_id integer, url, html)`` -> archive files under ``folder`` and the runs of captures ``(run, seq, url_key, time, page_id, offset, length)``.
+    """``pages(page_id integer, url, html)`` -> archive files under ``folder``, each with its run of captures, and the blocks' heads ``(run, index, block, n, url_key, time, page_id, offset)``:
+    archive, stored run, number and size of the block, and its first capture.
 
     ``time``: seconds of a capture (default: page_id after 2024-01-01). Null html is an empty payload, a null url empty. Rows that
     repeat the smallest page_id of a payload are responses each; a null page_id is never referred to. Extra columns are not read. An empty table writes nothing.
@@ -173,34 +250,65 @@ def write(pages: DataFrame, folder: str, time: Column | None = None, file_bytes:
     return materialize(rows.mapInArrow(releasing(_write_pass(folder, file_bytes)), _RUN), "runs")
 
 
-def merge_runs(runs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The capture index: ``(part, nth, url_key, time, page_id, run, offset, length)``, in order over all files by (part, nth)."""
+def _longer_runs(runs: DataFrame, groups: int) -> DataFrame:
+    """Merge the stored runs in groups into one run each."""
+    folder = fresh_path(runs.sparkSession, "runs")
+    files.make_folder(folder)
 
     def run(batches):
-        part, held = TaskContext.get().partitionId(), {}
+        attempt, of = files.attempt(), {}
         for batch in batches:
-            for r in batch.to_pylist():
-                held.setdefault(r["run"], []).append((r["url_key"], r["time"], r["page_id"] is None, r["page_id"] or 0, r["run"], r["offset"], r["length"]))
-        rows, nth = [], 0
+            for g, index in zip(batch.column("g").to_pylist(), batch.column("index").to_pylist()):
+                of.setdefault(g, []).append(index)
+        for g, own in sorted(of.items()):
+            uri = f"{folder}/merged-{g:06d}-{attempt}.run"
+            tree = LoserTree([Run(x).rows(0, None) for x in sorted(own)])
+            yield _heads(uri, uri, _write_run(uri, (capture for _, capture in tree)))
 
-        def flush():
-            keys, times, null, ids, paths, offsets, lengths = zip(*rows)
-            ids = [None if z else i for z, i in zip(null, ids)]
-            cols = [[part] * len(rows), list(range(nth, nth + len(rows))), keys, times, ids, paths, offsets, lengths]
-            kinds = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["part", "nth", "url_key", "time", "page_id", "run", "offset", "length"])
-
-        for item in LoserTree([iter(held[k]) for k in sorted(held)]):
-            rows.append(item)
-            if len(rows) == 10_000:
-                yield flush()
-                nth, rows = nth + len(rows), []
-        if rows:
-            yield flush()
+    named = runs.select("index").distinct().select("index", F.pmod(F.xxhash64("index"), F.lit(groups)).cast("int").alias("g"))
+    return materialize(named.repartitionById(groups, "g").mapInArrow(releasing(run), _RUN), "runs")
+
+
+def merge_runs(runs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The capture index from the heads that ``write`` gives: ``(part, nth, url_key, capture_nth, time, page_id, run, offset, length)``, in order over all files by (part, nth);
+    ``capture_nth`` counts a URL's captures from 1. Nothing from an empty manifest."""
+    spark = runs.sparkSession
+    while (n := runs.select("index").distinct().count()) > FAN_IN:
+        runs = _longer_runs(runs, -(-2 * n // FAN_IN))
+    index = sorted(r[0] for r in runs.select("index").distinct().collect())  # FAN_IN at most
+    blocks, total = runs.agg(F.count("*"), F.sum("n")).first()
+    parts = partitions or max(1, -(-(total or 0) // RANGE_ROWS))
+    some = runs if blocks <= MOST_HEADS else runs.where(F.pmod(F.xxhash64("index", "block"), F.lit(-(-blocks // MOST_HEADS))) == 0)
+    heads = sorted(_rank((*r, 0)) for r in some.select("url_key", "time", "page_id", "run", "offset").collect())
+    cuts = [heads[len(heads) * k // parts] for k in range(1, parts)] if heads else []
+    sent = spark.sparkContext.broadcast((index, cuts))
+
+    def run(batches):
+        index, cuts = sent.value
+        names = ["part", "nth", "url_key", "capture_nth", "time", "page_id", "run", "offset", "length"]
+        kinds = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        for part in (p for b in batches for p in b.column("id").to_pylist()):
+            low, high = cuts[part - 1] if part else None, cuts[part] if part < len(cuts) else None
+            opened = [Run(x) for x in index]
+            starts = [r.find(low) if low else 0 for r in opened]
+            tree = LoserTree([r.rows(a, high) for r, a in zip(opened, starts)])
+            rows, nth, seen, key = [], 0, 0, None
+            for _, (url, time, page, path, offset, length) in tree:
+                if url != key:
+                    # captures of the range's first URL may lie before it; the runs that are being read keep their blocks
+                    seen = sum(max(0, a - Run(x).find((url,))) for x, a in zip(index, starts)) if key is None and low else 0
+                    key = url
+                seen += 1
+                rows.append((part, nth, url, seen, time, page, path, offset, length))
+                nth += 1
+                if len(rows) == 10_000:
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    rows = []
+            if rows:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    parts = partitions or int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = runs.repartitionByRange(parts, "url_key", "time", "page_id", "run", "offset").sortWithinPartitions("run", "seq")
-    return ranged.mapInArrow(releasing(run), "part int, nth long, url_key string, time long, page_id long, run string, offset long, length long")
+    ranges = spark.range(0, parts if index else 0).select(F.col("id").cast("int").alias("id")).repartitionById(parts, "id")
+    return ranges.mapInArrow(releasing(run), "part int, nth long, url_key string, capture_nth long, time long, page_id long, run string, offset long, length long")
 
 
 def read(paths: DataFrame) -> DataFrame:
@@ -221,23 +329,24 @@ def read(paths: DataFrame) -> DataFrame:
                     rows.append((path, at, number("X-Page-Id"), _unheader(f["WARC-Target-URI"]), size, digest, f["WARC-Type"], number("X-Refers-To-Page-Id")))
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return paths.repartition(max(1, paths.count()), "path").mapInArrow(releasing(run), _BACK)
+    return paths.repartition(max(1, paths.count())).mapInArrow(releasing(run), _BACK)
 
 
 def archive(pages: DataFrame, time: Column | None = None) -> DataFrame:
-    """Write, merge the index, read back through it: ``(page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, part, nth)``, a row per page."""
+    """Write, merge the index, read back what it names: ``(page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, capture_nth, part, nth)``, a row per page."""
     runs = write(pages, fresh_path(pages.sparkSession, "warc"), time)
     index = merge_runs(runs)
     back = read(runs.select(F.col("run").alias("path")).distinct())
-    at = index.select(F.col("run").alias("path"), "offset", "url_key", "part", "nth")
+    at = index.select(F.col("run").alias("path"), "offset", "url_key", "capture_nth", "part", "nth")
     # both sides grow with the pages, though the planner sees only file names on one
-    return back.hint("shuffle_merge").join(at, ["path", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "part", "nth")
+    return back.hint("shuffle_merge").join(at, ["path", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_nth", "part", "nth")
 
 
-ORACLE_SQL = """
-WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+ORACLE_SQL = r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+p AS (SELECT *, CASE WHEN regexp_matches(url, '^[^:/?#]*://') THEN array_to_string(list_reverse(string_split(lower(regexp_extract(url, '^[^:/?#]*://([^/?#]*)', 1)), '.')), ',') || ')' || lower(regexp_extract(url, '(?s)^[^:/?#]*://[^/?#]*(.*)', 1)) ELSE lower(url) END AS url_key FROM u),
 f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
 SELECT p.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
-  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to, url_key, row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS capture_nth
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 100
 """
