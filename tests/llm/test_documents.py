@@ -410,3 +410,61 @@ def test_encoding_by_word_equals_encoding_whole_texts():
     texts = ["", "<|endoftext|>. Foo. don't x's. a..b c... straße! straße", *("".join(draw.choices(letters, k=draw.randint(0, 40))) for _ in range(4000))]
     for k in range(0, len(texts), 500):
         assert by_word.encode(texts[k : k + 500]) == whole.encode(texts[k : k + 500])
+
+
+def test_secrets_and_terms_of_kinds(spark):
+    """Keys are found by what their characters carry; a word that only stands near addresses, whosever they are, is a term, and so are two words together."""
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    filler = ["the and said to with call mail hold box " * 5] * 300
+    rows = [f'ü token = "{key}" ö', "internationalisation-organisation 11111111111111111111a aaaa1111aaaa1111aaaa1111", f"{key}@example.org"]
+    rows += [f"the zorb u{k}@s{k}.org said and with" for k in range(4)] + [f"call mail hold é v{k}@t{k}.org {k}" for k in range(4)]
+    spans = by_id(pii.report(spark.createDataFrame(list(enumerate(rows + filler)), "doc_id long, text string")))
+    at = rows[0].index(key)
+    assert spans[0].spans == f"secret:{at}:{at + 40}" and spans[0].n_secret == 1 and spans[0].n_spans == 1
+    assert spans[1].spans == "" and spans[2].spans.startswith("email:0:52") and spans[2].n_secret == 0
+    for k in range(4):
+        assert "term:4:8" in spans[3 + k].spans.split(",") and "zorb" == rows[3 + k][4:8]
+        assert spans[7 + k].n_term == 1 and spans[7 + k].spans.endswith("term:15:16")
+    assert all(spans[i].spans == "" for i in range(len(rows), len(rows) + len(filler)))
+
+
+def test_long_texts_cost_in_proportion():
+    """A text beyond the piece size is cut between words; hashes are the same as in one go."""
+    text = ("wörd " * 1000 + "x" * 300 + "\n") * 600
+    data, off = kernel.text_bytes(__import__("pyarrow").array(["short one", text, None, "tail"]))
+    h, start, end, w = kernel.words(data, off, kernel.NOT_SPACE)
+    assert len(data) > 2 * kernel.PIECE and len(h) == 2 + 600 * 1001 + 1 and w.tolist() == [0, 2, 2 + 600 * 1001, 2 + 600 * 1001, len(h)]
+    assert len(set(h[2:-1].tolist())) == 2 and data[start[-1] : end[-1]].tobytes() == b"tail"
+
+
+def test_token_files_of_hot_and_null_ids(spark, tmp_path, monkeypatch):
+    """A doc_id with a third of all rows, and as many rows without one: several ranges share them, in order, nothing lost."""
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 2_000)
+    rows = [(i, f"text {i} some words") for i in range(1000)] + [(500, f"hot {i}") for i in range(1000)] + [(None, f"none {i}") for i in range(1000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    manifest = token_files.write(frame, f"file://{tmp_path}/t", TOKENIZER(), by_word=True)
+    assert manifest.select("range").distinct().count() > 6
+    got = token_files.read_digests(manifest).orderBy("start").collect()
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0)) and len(ids) == 3000 and ids.count(None) == 1000 and ids.count(500) == 1001
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+
+
+def test_access_unpacks_a_block_a_plane():
+    a = np.random.default_rng(1).integers(0, 40_000, 3_000_000).astype(np.uint16)
+    f = token_files.WaveletFile(token_files.WaveletFile.encode(a, [1], np.array([len(a)]), 2))
+    assert f.access(2_999_999) == a[-1] and f.unpacked == f.planes and f._per_plane > 5
+    assert f.rank(7, 1_500_000) == (a[:1_500_000] == 7).sum() and f.unpacked <= 4 * f.planes
+
+
+def test_a_shingle_of_many_documents_goes_out_once(spark, monkeypatch):
+    """Texts that share a passage, more of them in a block than are sent one by one."""
+    from textloom.llm.ngram_join import OFTEN
+
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows = [(i, f"{passage} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))) for i in range(3 * OFTEN)]
+    rows += [(10_000 + i, rows[i][1] + " tail") for i in range(40)] + [(20_000, passage), (20_001, passage + " more")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert {i: c for i, (_, c) in got.items()} == {i: i for i in range(3 * OFTEN)} | {10_000 + i: i for i in range(40)} | {20_000: 20_000, 20_001: 20_000}
+    assert got[0][0] == 28 and got[20_000][0] == 8
