@@ -156,3 +156,72 @@ def test_stored_run(tmp_path):
         assert at == sum(r < rank for r in ranks)
         assert [c for _, c in run.rows(at, ("k5",))] == [c for c, r in zip(captures, ranks) if r >= rank and r < ("k5",)]
     assert warc._write_run(f"file://{tmp_path}/y.run", iter([])) == [] and warc.Run(f"file://{tmp_path}/y.run").find(("a",)) == 0
+
+
+def below(x, a, b):
+    """The beta distribution's share below x, by quadrature."""
+    import numpy as np
+    from math import lgamma
+
+    t = np.linspace(0, 1, 2_000_001)[1:-1]
+    log = (a - 1) * np.log(t) + (b - 1) * np.log1p(-t) + lgamma(a + b) - lgamma(a) - lgamma(b)
+    return float(np.exp(log)[t <= x].sum() / np.exp(log).sum())
+
+
+def test_beta_tail(spark):
+    cases = [(1.5, 2.5), (30.0, 90.0), (5.0, 400.0), (300.0, 900.0), (2.0, 1.1), (25.5, 70.25)]
+    got = spark.createDataFrame(cases, "a double, b double").select("a", "b", url_filter.beta_cdf(0.2, F.col("a"), F.col("b")).alias("p")).collect()
+    for r in got:
+        assert r.p == pytest.approx(below(0.2, r.a, r.b), abs=2e-6), (r.a, r.b)
+
+
+def test_registered_domains(spark):
+    want = {"a.b.example.com": ("example.com", "com"), "example.com:8080": ("example.com", "com"), "10.1.2.3": ("10.1.2.3", "10.1.2.3"), "10.1.2.3:80": ("10.1.2.3", "10.1.2.3"), "x.shop.co.uk": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "uk"), "user@h.net.": ("h.net", "net"), "local": ("local", "local"), "": ("", "")}
+    rows = spark.createDataFrame([(h,) for h in want], "host string")
+    domain, suffix = url_filter.registered_domain(F.col("host"))
+    assert {r.host: (r.d, r.s) for r in rows.select("host", domain.alias("d"), suffix.alias("s")).collect()} == want
+    domain, suffix = url_filter.registered_domain(F.lit("a.b.city.jp"), ("city.jp", "x.y.z"))
+    assert tuple(rows.limit(1).select(domain, suffix).first()) == ("b.city.jp", "city.jp")
+
+
+def test_verdicts_follow_the_posterior(spark):
+    """A planted bad host among others of several sizes: every verdict is that of the posterior, worked out by hand from the same priors."""
+    rng, rows, bad = random.Random(9), [], set()
+    for h in range(60):
+        rate = 0.6 if h % 10 == 0 else 0.28 if h % 10 == 1 else 0.03
+        for _ in range(rng.choice([1, 5, 40, 150])):
+            if rng.random() < rate:
+                bad.add(len(rows))
+            rows.append(f"h{h}.d{h // 4}.{('com', 'net')[h % 8 > 3]}")
+    pages = spark.createDataFrame([(i, f"http://{h}/x", "clash") for i, h in enumerate(rows)], "page_id long, url string, mean string")
+    outcomes = spark.createDataFrame([(i, i in bad) for i in range(len(rows))], "page_id long, bad boolean")
+    rep = url_filter.host_reputation(pages.select("page_id", url_filter.split_url(F.col("url"))[0].alias("host")), outcomes).collect()
+    counts = defaultdict(lambda: [0, 0])
+    for i, h in enumerate(rows):
+        for name in (h, h.split(".", 1)[1], h.rsplit(".", 1)[1]):
+            counts[name][0] += 1
+            counts[name][1] += i in bad
+
+    def strength(names):
+        own = [counts[x] for x in names]
+        total, worst = sum(n for n, _ in own), sum(k for _, k in own)
+        mu = worst / total
+        between = (sum(k * k / n for n, k in own) - worst * mu) / (len(own) - 1)
+        within = sum(k * (1 - k / n) for n, k in own) / (total - len(own))
+        size = (total - sum(n * n for n, _ in own) / total) / (len(own) - 1)
+        rho = min(0.5, max(0.001, (between - within) / (between + (size - 1) * within)))
+        return (1 - rho) / rho, mu
+
+    hosts = sorted(set(rows))
+    (m_h, mu), (m_d, _), (m_s, _) = (strength(sorted({f(h) for h in hosts})) for f in (lambda h: h, lambda h: h.split(".", 1)[1], lambda h: h.rsplit(".", 1)[1]))
+    shrink = lambda name, m, to: (counts[name][1] + m * to) / (counts[name][0] + m)
+    want = {}
+    for h in hosts:
+        p = shrink(h, m_h, shrink(h.split(".", 1)[1], m_d, shrink(h.rsplit(".", 1)[1], m_s, mu)))
+        a = p * (counts[h][0] + m_h)
+        want[h] = p, "block" if p > 0.2 and below(0.2, a, counts[h][0] + m_h - a) < 0.05 else "allow"
+    for r in rep:
+        assert r["mean"] == pytest.approx(want[r.host][0]) and r.host_verdict == want[r.host][1], r.host
+    assert {v for _, v in want.values()} == {"allow", "block"} and any(p > 0.2 and v == "allow" for p, v in want.values())
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, outcomes, rules=()).collect()}
+    assert got == {i: want[h][1] for i, h in enumerate(rows)}

@@ -18,33 +18,38 @@ from pyspark.sql import functions as F
 from . import kernel
 from .runtime import apply_in_passes, releasing
 
-#: Bytes of test text whose windows are broadcast at once (a window takes about 100 bytes for each word of text).
-MOST_BYTES = 8_000_000
+#: Bytes of test text whose windows are broadcast at once: measured, a window takes about 60 bytes, so a slice about 40 MB.
+MOST_BYTES = 4_000_000
 
 
 class Windows:
-    """The windows of some test items: by length, sorted hashes and the words and items behind each."""
+    """The windows of some test items, as arrays: by length, sorted hashes with the first word and the item of each; the words are slices of one text."""
 
-    def __init__(self, items: list[tuple[str, str | None]], n: int):
-        column = pa.array([t for _, t in items], pa.string())
-        data, off = kernel.text_bytes(column)
-        found: dict[int, dict[int, dict[bytes, set]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
+    def __init__(self, names: list[str], texts: pa.Array, n: int):
+        data, off = kernel.text_bytes(texts)
         h, start, end, w = kernel.words(data, off, kernel.ALNUM)
-        low = kernel.LOWER[data]
-        for k, (item, _) in enumerate(items):
-            a, b = int(w[k]), int(w[k + 1])
-            size = min(n, b - a)
-            if size:
-                own = [low[start[i] : end[i]].tobytes() for i in range(a, b)]
-                for i, g in enumerate(kernel.grams(h[a:b], size)):
-                    found[size][int(g)][b" ".join(own[i : i + size])].add(item)
-        self.sizes = {}
-        for size, by in found.items():
-            hashes = np.array(sorted(by), np.uint64)
-            bits = max(12, int(np.ceil(np.log2(16 * len(hashes)))))
+        self.names = names
+        self._text, self._start, self._end = kernel.LOWER[data].tobytes(), start.astype(np.int32), end.astype(np.int32)
+        size = np.minimum(np.diff(w), n)
+        self.sizes: dict[int, tuple] = {}
+        for length in np.unique(size[size > 0]).tolist():
+            g, item = kernel.grams(h, length), np.repeat(np.arange(len(names), dtype=np.int32), np.diff(w))
+            at = np.arange(len(g), dtype=np.int32)
+            real = (size[item[at]] == length) & (at + length <= w[item[at] + 1])
+            at = at[real]
+            order = np.lexsort((item[at], g[at]))
+            at = at[order]
+            again = np.zeros(len(at), bool)  # a window that an item repeats
+            again[1:] = (g[at][1:] == g[at][:-1]) & (item[at][1:] == item[at][:-1])
+            at = at[~again]
+            hashes = g[at]
+            bits = max(12, int(np.ceil(np.log2(8 * len(hashes)))))
             seen = np.zeros(1 << bits, bool)
             seen[hashes >> np.uint64(64 - bits)] = True
-            self.sizes[size] = hashes, bits, seen, [{t: sorted(x) for t, x in by[int(g)].items()} for g in hashes]
+            self.sizes[length] = hashes, at, item[at], bits, seen
+
+    def _words(self, first: int, size: int) -> list[bytes]:
+        return [self._text[a:b] for a, b in zip(self._start[first : first + size].tolist(), self._end[first : first + size].tolist())]
 
     def hits(self, data: np.ndarray, off: np.ndarray):
         """For each document: number of words, mask of hit words, items."""
@@ -52,20 +57,18 @@ class Windows:
         low = kernel.LOWER[data]
         mask = np.zeros(len(h), bool)
         items: dict[int, set] = defaultdict(set)
-        for size, (hashes, bits, seen, of) in self.sizes.items():
+        for size, (hashes, first, item, bits, seen) in self.sizes.items():
             g = kernel.grams(h, size)
             at = np.flatnonzero(seen[g >> np.uint64(64 - bits)])
-            place = np.searchsorted(hashes, g[at])
-            place[place == len(hashes)] = 0
-            real = hashes[place] == g[at]
-            at, place = at[real], place[real]
+            place, to = np.searchsorted(hashes, g[at], "left"), np.searchsorted(hashes, g[at], "right")
             doc = np.searchsorted(w, at, "right") - 1
-            inside = at + size <= w[doc + 1]
-            for i, p, d in zip(at[inside].tolist(), place[inside].tolist(), doc[inside].tolist()):
-                text = b" ".join([low[start[j] : end[j]].tobytes() for j in range(i, i + size)])
-                if (own := of[p].get(text)) is not None:
+            inside = (to > place) & (at + size <= w[doc + 1])
+            for i, a, b, d in zip(at[inside].tolist(), place[inside].tolist(), to[inside].tolist(), doc[inside].tolist()):
+                own = [low[start[j] : end[j]].tobytes() for j in range(i, i + size)]
+                found = [int(item[p]) for p in range(a, b) if self._words(int(first[p]), size) == own]
+                if found:
                     mask[i : i + size] = True
-                    items[d].update(own)
+                    items[d].update(self.names[x] for x in found)
         return w, mask, items
 
 
@@ -87,7 +90,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_bytes: int = M
 
     def windows(i: int) -> Windows:
         part = bench if slices == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == i)
-        return Windows([(r["item"], r["text"]) for r in part.collect()], n)  # bounded by the check above
+        rows = part.distinct().toArrow()  # bounded by the check above
+        return Windows(rows["item"].to_pylist(), rows["text"].combine_chunks(), n)
 
     def one_pass(d: DataFrame, test: Windows) -> DataFrame:
         sent = spark.sparkContext.broadcast(test)
@@ -153,3 +157,16 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_bytes:
             yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else batch.column(k) for k, c in enumerate(names)], names=names)
 
     return found.mapInArrow(releasing(run), found.schema).select(*docs.columns)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, i, n, item FROM dw JOIN bw USING (n, t)),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS list FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import apply_in_passes, look_up, materialize, releasing, set_slices
+from .runtime import apply_in_passes, look_up, materialize, releasing, set_slices, sorted_lookup
 
 MIN_SITES = 5
 LG_K = 10
@@ -24,7 +24,7 @@ BLANK = " \t\n\x0b\f\r"
 
 def _lines(docs: DataFrame) -> DataFrame:
     line = F.explode(F.split(F.coalesce("text", F.lit("")), "\n"))
-    rows = docs.select(F.coalesce("source", F.lit("")).alias("site"), line.alias("line")).where(F.trim("line", F.lit(BLANK)) != "")
+    rows = docs.select(F.struct("source").alias("site"), line.alias("line")).where(F.trim("line", F.lit(BLANK)) != "")
     return rows.select(F.xxhash64("line").alias("line"), F.xxhash64("site").alias("site"))
 
 
@@ -36,7 +36,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -
     low, high = math.floor(min_sites * (1 - error)), math.ceil(min_sites * (1 + error))
     spread = materialize(spread.where(F.col("est") >= low), "spread")
     near = spread.where(F.col("est") <= high).select(F.col("line").alias("doc_id"), F.lit(True).alias("near"))
-    counted = look_up(lines.withColumnRenamed("line", "doc_id"), near, 500_000).where("near")
+    counted = look_up(lines.withColumnRenamed("line", "doc_id"), near).where("near")
     exact = counted.groupBy("doc_id").agg(F.countDistinct("site").alias("n")).where(F.col("n") >= min_sites)
     return materialize(spread.where(F.col("est") > high).select("line").union(exact.select("doc_id")), "boilerplate")
 
@@ -55,19 +55,20 @@ def cut_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_
         sent = d.sparkSession.sparkContext.broadcast(hashes)
 
         def run(batches):
-            gone = set(sent.value.tolist())
-            blank = str.maketrans("", "", BLANK)
+            inside, some = sorted_lookup(sent.value), len(sent.value) > 0
             for batch in batches:
                 texts, lines, removed = (batch.column(c).to_pylist() for c in ("text", "_lines", "_removed"))
                 for k, t in enumerate(texts):
                     own = (t or "").split("\n")
-                    real = [bool(x.translate(blank)) if not x[:1].isalnum() else True for x in own]
+                    real = [j for j, x in enumerate(own) if x.strip(BLANK)]
                     if lines[k] is None:
-                        lines[k] = sum(real)
-                    cut = [r and xxhash.xxh64_intdigest(x.encode(), 42) - ((1 << 64) if xxhash.xxh64_intdigest(x.encode(), 42) >> 63 else 0) in gone for x, r in zip(own, real)] if gone else []
-                    if any(cut):
-                        texts[k] = "\n".join(x for x, c in zip(own, cut) if not c)
-                        removed[k] += sum(cut)
+                        lines[k] = len(real)
+                    if some and real:
+                        cut = inside(np.fromiter((xxhash.xxh64_intdigest(own[j].encode(), 42) for j in real), np.uint64, len(real))).tolist()
+                        if cut:
+                            gone = {real[c] for c in cut}
+                            texts[k] = "\n".join(x for j, x in enumerate(own) if j not in gone)
+                            removed[k] += len(gone)
                 new = {"text": pa.array(texts, pa.string()), "_lines": pa.array(lines, pa.int64()), "_removed": pa.array(removed, pa.int64())}
                 names = batch.schema.names
                 yield pa.record_batch([new.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
@@ -84,10 +85,10 @@ def report(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH lines AS (SELECT doc_id, coalesce(source, '') AS site, n, l
+WITH lines AS (SELECT doc_id, source AS site, n, l
   FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents)),
 marked AS (SELECT *, regexp_matches(l, '[^\x20\x09-\x0D]') AS real FROM lines),
-spread AS (SELECT l FROM marked WHERE real GROUP BY l HAVING count(DISTINCT site) >= 5)
+spread AS (SELECT l FROM marked WHERE real GROUP BY l HAVING count(DISTINCT site) + max(CASE WHEN site IS NULL THEN 1 ELSE 0 END) >= 5)
 SELECT m.doc_id, CAST(count(*) FILTER (WHERE real) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE s.l IS NOT NULL) AS BIGINT) AS n_removed,
   sha256(coalesce(string_agg(m.l, chr(10) ORDER BY n) FILTER (WHERE s.l IS NULL), '')) AS text_sha256
 FROM marked m LEFT JOIN spread s ON m.l = s.l AND m.real GROUP BY m.doc_id

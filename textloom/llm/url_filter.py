@@ -3,11 +3,14 @@
 Labelled pages give each host n outcomes, k of them bad. Rates shrink through beta-binomial priors: the suffix's
 towards the overall rate, the registered domain's towards its suffix's, the host's towards its domain's. Each level's prior strength
 comes from the spread between its groups (the ANOVA estimate of the intra-class correlation). A host is
-blocked when the lower bound of its posterior bad rate (mean less z standard deviations) passes ``max_bad``.
+blocked when the lower ``alpha`` quantile of its posterior, a beta distribution, passes ``max_bad``: that is, when the posterior
+probability of a bad rate of ``max_bad`` or less, the regularised incomplete beta function, is below ``alpha``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +19,10 @@ from .runtime import materialize
 #: (host, path, verdict)
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 MAX_BAD = 0.2
-Z = 1.645
-#: Second-level labels under which two-letter suffixes register names.
+ALPHA = 0.05
+#: Steps of the continued fraction of the incomplete beta function; it settles in some times the root of the counts.
+FRACTION_STEPS = 200
+#: Second-level labels under which two-letter suffixes register names, unless the caller gives other suffixes.
 SECOND_LEVEL = ("co", "com", "org", "net", "ac", "gov", "edu")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -42,10 +47,65 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
     return (none, none) if name is None else (name, verdict)
 
 
-def _domain(host: Column) -> Column:
-    part = F.split(host, r"\.")
-    deep = (F.size(part) >= 3) & (F.length(F.element_at(part, -1)) == 2) & F.element_at(part, -2).isin(*SECOND_LEVEL)
-    return F.when(deep, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def _bare(host: Column) -> Column:
+    """A host without user, port and final dot."""
+    own = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+    return F.regexp_replace(own, r"\.+$", "")
+
+
+def registered_domain(host: Column, suffixes=None) -> tuple[Column, Column]:
+    """The registered domain of a host and its public suffix; an address is both by itself.
+
+    ``suffixes``: public suffixes of two labels or more (``co.uk``); default: a label of ``SECOND_LEVEL`` under one of two letters. Every last label is a suffix too.
+    """
+    own = _bare(host)
+    address = own.rlike(r"^[0-9]+(\.[0-9]+){3}$") | F.startswith(own, F.lit("["))
+    part = F.split(own, r"\.")
+    if suffixes is None:
+        deep = F.when((F.size(part) >= 3) & (F.length(F.element_at(part, -1)) == 2) & F.try_element_at(part, F.lit(-2)).isin(*SECOND_LEVEL), 2).otherwise(1)
+    else:
+        deep = F.lit(1)
+        for n in sorted({s.count(".") + 1 for s in suffixes}):
+            deep = F.when(F.substring_index(own, ".", -n).isin(*[s for s in suffixes if s.count(".") + 1 == n]), n).otherwise(deep)
+    last = lambda n: F.array_join(F.slice(part, F.greatest(F.lit(1), F.size(part) - n + 1), F.size(part)), ".")
+    return F.when(address, own).otherwise(last(deep + 1)), F.when(address, own).otherwise(last(deep))
+
+
+def _log_gamma(z: Column) -> Column:
+    """Stirling's series, eight steps up, where it has all digits."""
+    up = z + 8
+    series = (up - 0.5) * F.log(up) - up + 0.9189385332046727 + 1 / (12 * up) - 1 / (360 * up * up * up) + 1 / (1260 * up * up * up * up * up)
+    below = F.lit(0.0)
+    for k in range(8):
+        below = below + F.log(z + k)
+    return series - below
+
+
+def beta_cdf(x: float, a: Column, b: Column, steps: int = FRACTION_STEPS) -> Column:
+    """The regularised incomplete beta function, by its continued fraction on the side where that is short."""
+    tiny = F.lit(1e-300)
+    safe = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+
+    def fraction(p: Column, q: Column, y: float) -> Column:
+        d0 = 1 / safe(1 - (p + q) * y / (p + 1))
+        start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("f"))
+
+        def step(s, m):
+            even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+            odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+            half = F.struct(safe(1 + even / s["c"]).alias("c"), (1 / safe(1 + even * s["d"])).alias("d"), s["f"].alias("f"))
+            other = lambda h: F.struct(safe(1 + odd / h["c"]).alias("c"), (1 / safe(1 + odd * h["d"])).alias("d"), (h["f"] * h["c"] * h["d"]).alias("f"))
+            both = F.transform(F.array(half), lambda h: other(h))
+            # the last product is taken with the new c and d
+            return F.transform(F.transform(F.array(half), lambda h: F.struct(h["c"].alias("c0"), h["d"].alias("d0"), h["f"].alias("f"), both[0]["c"].alias("c"), both[0]["d"].alias("d"))), lambda t: F.struct(t["c"].alias("c"), t["d"].alias("d"), (t["f"] * t["c0"] * t["d0"] * t["c"] * t["d"]).alias("f")))[0]
+
+        return F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda m: m.cast("double")), start, step, lambda s: s["f"])
+
+    front = F.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * math.log(x) + b * math.log1p(-x))
+    left = x < (a + 1) / (a + b + 2)
+    # one fraction, with the sides changed where need be
+    value = front * F.when(left, fraction(a, b, x) / a).otherwise(fraction(b, a, 1 - x) / b)
+    return F.when(left, value).otherwise(1 - value)
 
 
 def _strength(groups: DataFrame, level: str) -> DataFrame:
@@ -63,14 +123,16 @@ def _strength(groups: DataFrame, level: str) -> DataFrame:
     return s.select(((1 - rho) / rho).alias(f"m_{level}"), mu.alias("mu"))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, max_bad: float = MAX_BAD, z: float = Z) -> DataFrame:
-    """``pages(page_id, host)``, ``outcomes(page_id, bad boolean)`` -> ``(host, n, k, mean, bound, host_verdict)`` for every host.
+def host_reputation(pages: DataFrame, outcomes: DataFrame, max_bad: float = MAX_BAD, alpha: float = ALPHA, suffixes=None) -> DataFrame:
+    """``pages(page_id, host)``, ``outcomes(page_id, bad boolean)`` -> ``(host, n, k, mean, strength, tail, host_verdict)`` for every host: its posterior's mean and weight, and the
+    posterior probability of a bad rate of ``max_bad`` or less.
 
     Hosts without labels follow their domain and suffix; the empty host is always allowed. Outcomes of null id or value are left out.
     """
     labels = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     hosts = pages.join(labels, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.count_if("bad").alias("k"))
-    hosts = materialize(hosts.withColumn("domain", _domain(F.col("host"))).withColumn("suffix", F.substring_index(F.col("domain"), ".", -1)), "hosts")
+    domain, suffix = registered_domain(F.col("host"), suffixes)
+    hosts = materialize(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
     domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     host, domain, suffix = (_strength(t, level).first() for t, level in ((hosts, "h"), (domains, "d"), (suffixes, "s")))
@@ -80,19 +142,22 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, max_bad: float = MAX_
     all_hosts = hosts.join(domains, "domain")
     m = host["m_h"]
     mean = shrunk("k", "n", m, F.col("p_domain"))
-    bound = mean - z * F.sqrt(mean * (1 - mean) / (F.col("n") + m + 1))
-    blocked = (F.col("host") != "") & (bound > max_bad)
-    return all_hosts.select("host", "n", "k", mean.alias("mean"), bound.alias("bound"), F.when(blocked, "block").otherwise("allow").alias("host_verdict"))
+    rows = all_hosts.select("host", "n", "k", F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), mean)).alias("mean"), (F.col("n") + m).alias("strength"))
+    # far below the limit the tail is 1 to all digits that matter; elsewhere it is worked out
+    near = F.col("mean") > max_bad / 4
+    tail = F.when(near, beta_cdf(max_bad, F.col("mean") * F.col("strength"), (1 - F.col("mean")) * F.col("strength"))).otherwise(1.0)
+    rows = rows.withColumn("tail", tail)
+    return rows.withColumn("host_verdict", F.when((F.col("host") != "") & (F.col("mean") > max_bad) & (F.col("tail") < alpha), "block").otherwise("allow"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = MAX_BAD, z: float = Z) -> DataFrame:
-    """``pages(page_id, url, ...)`` -> ``(page_id, host, path, rule, verdict, bad_rate_bound)``, a row per input row, repeated rows too.
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = MAX_BAD, alpha: float = ALPHA, suffixes=None) -> DataFrame:
+    """``pages(page_id, url, ...)`` -> ``(page_id, host, path, rule, verdict, bad_rate)``, a row per input row, repeated rows too; ``bad_rate``: the host's posterior mean.
 
     Null urls and urls without ``://`` have an empty host and path and are allowed. Extra columns are not read. Empty tables give no rows.
     """
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    known = materialize(host_reputation(rows, outcomes, max_bad, z), "reputation")
+    known = materialize(host_reputation(rows, outcomes, max_bad, alpha, suffixes), "reputation")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = rows.join(known.select("host", "bound", "host_verdict"), "host", "left")
-    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("host_verdict"), F.lit("allow")).alias("verdict"), F.round("bound", 9).alias("bad_rate_bound"))
+    judged = rows.join(known.select("host", "mean", "host_verdict"), "host", "left")
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("host_verdict"), F.lit("allow")).alias("verdict"), F.round("mean", 9).alias("bad_rate"))
