@@ -225,3 +225,19 @@ def test_verdicts_follow_the_posterior(spark):
     assert {v for _, v in want.values()} == {"allow", "block"} and any(p > 0.2 and v == "allow" for p, v in want.values())
     got = {r.page_id: r.verdict for r in url_filter.judge(pages, outcomes, rules=()).collect()}
     assert got == {i: want[h][1] for i, h in enumerate(rows)}
+
+
+def test_budget_in_tokens(spark):
+    """Windows hold no more tokens of the vocabulary than the budget, the marks counted with four."""
+    from tokenizers import Tokenizer
+
+    from textloom.llm.queries import TOKENIZER
+
+    tok, rng = Tokenizer.from_file(TOKENIZER()), random.Random(3)
+    turns = [(1, k, ("user", "assistant")[k % 2], " ".join(rng.choice(["reset", "voltage!", "zqxj", "é"]) for _ in range(rng.randint(1, 60)))) for k in range(40)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    rows = chat.format_conversations(frame, 200, 60, chat.TokenCount(TOKENIZER())).orderBy("window").collect()
+    for r in rows:
+        own = [(m[1], m[2]) for m in chat._TURN.finditer(r.formatted)]
+        assert r.n_tokens == sum(4 + len(tok.encode(a, add_special_tokens=False).ids) + len(tok.encode(chat.unescape(b), add_special_tokens=False).ids) for a, b in own) <= 200
+    assert sum(r.n_turns - r.n_repeated for r in rows) == 40 and any(r.n_repeated for r in rows)

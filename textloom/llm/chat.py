@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize, releasing
+from .runtime import keep_warm, materialize, releasing
 
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET, HISTORY = 1024, 256
@@ -47,6 +47,25 @@ def estimate_tokens(role: str, text: str) -> int:
     return 4 + (len(role.encode()) + len(text.encode()) + 3) // 4
 
 
+_tokenizers: dict[str, object] = {}
+
+
+class TokenCount:
+    """Tokens of a turn by a tokenizers file, loaded once in each worker, and four for its marks."""
+
+    def __init__(self, path: str):
+        self._path = path
+
+    def __call__(self, role: str, text: str) -> int:
+        if self._path not in _tokenizers:
+            from tokenizers import Tokenizer
+
+            _tokenizers[self._path] = Tokenizer.from_file(self._path)
+            keep_warm(_tokenizers)
+        role, text = _tokenizers[self._path].encode_batch_fast([role, text], add_special_tokens=False)
+        return 4 + len(role.ids) + len(text.ids)
+
+
 def windows(turns, budget: int, history: int, count):
     """``turns``: (role, text) in order -> for each window its turns and how many of them, at the front, are repeated."""
     system, past, new, used = None, [], [], 0
@@ -122,7 +141,7 @@ def format_conversations(rows: DataFrame, budget: int = BUDGET, history: int = H
 
     Turns go by turn, then role and text; repeated rows are turns of their own. Null roles and texts are empty; rows of null conv_id
     are one conversation; null turns come first. Extra columns are not read. An empty table gives no rows.
-    ``count(role, text)``: tokens of a turn.
+    ``count(role, text)``: tokens of a turn, such as ``TokenCount(path)``.
     """
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
@@ -172,5 +191,5 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return rows.mapInArrow(releasing(_read_pass), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def round_trip(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    return read_back(materialize(format_conversations(rows, budget, history), "chat"))
+def round_trip(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, count=estimate_tokens) -> DataFrame:
+    return read_back(materialize(format_conversations(rows, budget, history, count), "chat"))
