@@ -236,7 +236,8 @@ def test_budget_in_tokens(spark):
     tok, rng = Tokenizer.from_file(TOKENIZER()), random.Random(3)
     turns = [(1, k, ("user", "assistant")[k % 2], " ".join(rng.choice(["reset", "voltage!", "zqxj", "é"]) for _ in range(rng.randint(1, 60)))) for k in range(40)]
     frame = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
-    rows = chat.format_conversations(frame, 200, 60, chat.TokenCount(TOKENIZER())).orderBy("window").collect()
+    rows = chat.format_conversations(frame, 200, 60, chat.TokenCount(TOKENIZER(), by_word=True)).orderBy("window").collect()
+    assert rows == chat.format_conversations(frame, 200, 60, chat.TokenCount(TOKENIZER())).orderBy("window").collect()
     for r in rows:
         own = [(m[1], m[2]) for m in chat._TURN.finditer(r.formatted)]
         assert r.n_tokens == sum(4 + len(tok.encode(a, add_special_tokens=False).ids) + len(tok.encode(chat.unescape(b), add_special_tokens=False).ids) for a, b in own) <= 200

@@ -14,11 +14,13 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import keep_warm, materialize, releasing
+from . import token_files
+from .runtime import materialize, releasing
 
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET, HISTORY = 1024, 256
@@ -42,32 +44,25 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role, flags=re.DOTALL)
 
 
-def estimate_tokens(role: str, text: str) -> int:
-    """Four bytes a token, and four for the marks of the turn."""
-    return 4 + (len(role.encode()) + len(text.encode()) + 3) // 4
-
-
-_tokenizers: dict[str, object] = {}
+def estimate_tokens(roles: list[str], texts: list[str]) -> list[int]:
+    """Of each turn: four bytes a token, and four for its marks."""
+    return [4 + (len(r.encode()) + len(t.encode()) + 3) // 4 for r, t in zip(roles, texts)]
 
 
 class TokenCount:
-    """Tokens of a turn by a tokenizers file, loaded once in each worker, and four for its marks."""
+    """Tokens of each turn by a tokenizers file, and four for its marks. ``by_word``: see ``token_files.Encoder``."""
 
-    def __init__(self, path: str):
-        self._path = path
+    def __init__(self, path: str, by_word: bool = False):
+        self._path, self._by_word = path, by_word
 
-    def __call__(self, role: str, text: str) -> int:
-        if self._path not in _tokenizers:
-            from tokenizers import Tokenizer
+    def __call__(self, roles: list[str], texts: list[str]) -> list[int]:
+        enc, n = token_files.encoder(self._path, self._by_word), len(roles)
+        sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(to) for _, _, to in enc.encode_column(pa.array([*texts, *roles], pa.string()), []))])
+        return (4 + sizes[:n] + sizes[n:]).tolist()
 
-            _tokenizers[self._path] = Tokenizer.from_file(self._path)
-            keep_warm(_tokenizers)
-        role, text = _tokenizers[self._path].encode_batch_fast([role, text], add_special_tokens=False)
-        return 4 + len(role.ids) + len(text.ids)
 
-
-def windows(turns, budget: int, history: int, count):
-    """``turns``: (role, text) in order -> for each window its turns and how many of them, at the front, are repeated."""
+def windows(turns, budget: int, history: int):
+    """``turns``: (role, text, tokens) in order -> for each window its turns and how many of them, at the front, are repeated."""
     system, past, new, used = None, [], [], 0
 
     def opened():
@@ -81,8 +76,7 @@ def windows(turns, budget: int, history: int, count):
         return head, sum(t[2] for t in head)
 
     head, used, first = [], 0, True
-    for role, text in turns:
-        turn = (role, text, count(role, text))
+    for turn in turns:
         if new and used + turn[2] > budget:
             yield head + new, len(head)
             past = [t for t in head + new if t is not system]
@@ -90,7 +84,7 @@ def windows(turns, budget: int, history: int, count):
             new = []
             while len(head) > (system is not None) and used + turn[2] > budget:  # history gives way to the new turn
                 used -= head.pop(1 if system else 0)[2]
-        if first and role == "system":
+        if first and turn[0] == "system":
             system = turn
         first = False
         new.append(turn)
@@ -100,15 +94,22 @@ def windows(turns, budget: int, history: int, count):
 
 
 def _format_pass(budget: int, history: int, count):
+    def counted(batches):
+        for b in batches:
+            for a in range(0, len(b), 1000):
+                part = b.slice(a, 1000)
+                roles, texts = (part.column(k).fill_null("").to_pylist() for k in ("role", "text"))
+                yield from zip(part.column("conv_id").to_pylist(), roles, texts, count(roles, texts))
+
     def run(batches):
-        rows = ((c, r or "", t or "") for b in batches for c, r, t in zip(*(b.column(k).to_pylist() for k in ("conv_id", "role", "text"))))
+        rows = counted(batches)
         pending = next(rows, None)
         out = []
 
         def own(conv):
             nonlocal pending
             while pending is not None and pending[0] == conv:
-                yield pending[1], pending[2]
+                yield pending[1:]
                 pending = next(rows, None)
 
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))]
@@ -116,7 +117,7 @@ def _format_pass(budget: int, history: int, count):
         flush = lambda: pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
         while pending is not None:
             conv = pending[0]
-            for w, (turns, repeated) in enumerate(windows(own(conv), budget, history, count)):
+            for w, (turns, repeated) in enumerate(windows(own(conv), budget, history)):
                 parts, loss, at = [], [], 0
                 for k, (role, text, _) in enumerate(turns):
                     head, body = f"{START}{escape_role(role)}\n", escape(text)
@@ -141,7 +142,7 @@ def format_conversations(rows: DataFrame, budget: int = BUDGET, history: int = H
 
     Turns go by turn, then role and text; repeated rows are turns of their own. Null roles and texts are empty; rows of null conv_id
     are one conversation; null turns come first. Extra columns are not read. An empty table gives no rows.
-    ``count(role, text)``: tokens of a turn, such as ``TokenCount(path)``.
+    ``count(roles, texts)``: tokens of each of some turns, such as ``TokenCount(path)``.
     """
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
