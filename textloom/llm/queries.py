@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op7_decontaminate": decontaminate.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
+    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op4_url_filter": url_filter.ORACLE_SQL, "op7_decontaminate": decontaminate.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}

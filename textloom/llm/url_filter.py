@@ -161,3 +161,34 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = M
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     judged = rows.join(known.select("host", "mean", "host_verdict"), "host", "left")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("host_verdict"), F.lit("allow")).alias("verdict"), F.round("mean", 9).alias("bad_rate"))
+
+
+def _level_sql(level: str, table: str) -> str:
+    """The prior strength of a level, from its groups' counts (n, k)."""
+    return f"""s{level} AS (SELECT (1 - rho) / rho AS m, mu FROM (SELECT mu, least(0.5::DOUBLE, greatest(0.001::DOUBLE, coalesce((msb - msw) / nullif(msb + (size - 1) * msw, 0), 0.01::DOUBLE))) AS rho
+  FROM (SELECT mu, (btw - bad * mu) / nullif(g - 1, 0) AS msb, wth / nullif(total - g, 0) AS msw, (total - squares / nullif(total, 0)) / nullif(g - 1, 0) AS size
+    FROM (SELECT coalesce(sum(k)::DOUBLE / nullif(sum(n), 0), 0) AS mu, count(*)::DOUBLE AS g, sum(n)::DOUBLE AS total, sum(n * n)::DOUBLE AS squares, sum(k)::DOUBLE AS bad, sum(k * (k::DOUBLE / n)) AS btw, sum(k * (1 - k::DOUBLE / n)) AS wth FROM {table} WHERE n > 0))))"""
+
+
+_RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+#: The posterior's tail by quadrature over 20,000 points, for hosts whose mean passes the limit.
+ORACLE_SQL = rf"""
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM p), u AS (SELECT rid, page_id, translate(raw, '{UPPER}', '{UPPER.lower()}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+l AS (SELECT doc_id AS page_id, max(toxic) > 0 AS bad FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL GROUP BY 1),
+c AS (SELECT host, count(bad) AS n, count(*) FILTER (WHERE bad) AS k, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '') AS bare FROM u LEFT JOIN l USING (page_id) GROUP BY host),
+d AS (SELECT *, string_split(bare, '.') AS part, regexp_matches(bare, '^[0-9]+(\.[0-9]+){{3}}$') OR starts_with(bare, '[') AS address FROM c),
+e AS (SELECT *, CASE WHEN len(part) >= 3 AND length(part[-1]) = 2 AND part[-2] IN {SECOND_LEVEL} THEN 2 ELSE 1 END AS deep FROM d),
+hosts AS (SELECT host, n, k, CASE WHEN address THEN bare ELSE array_to_string(part[greatest(1, len(part) - deep):], '.') END AS domain, CASE WHEN address THEN bare ELSE array_to_string(part[greatest(1, len(part) - deep + 1):], '.') END AS suffix FROM e),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL), suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
+{_level_sql("h", "hosts")}, {_level_sql("d", "domains")}, {_level_sql("s", "suffixes")},
+ps AS (SELECT suffix, (k + m * mu) / (n + m) AS p FROM suffixes, ss), pd AS (SELECT domain, (k + m * ps.p) / (n + m) AS p FROM domains JOIN ps USING (suffix), sd),
+ph AS (SELECT host, least(1 - 1e-12::DOUBLE, greatest(1e-12::DOUBLE, (k + m * pd.p) / (n + m))) AS mean, n + m AS strength FROM hosts JOIN pd USING (domain), sh),
+q AS (SELECT host, mean * strength AS a, (1 - mean) * strength AS b, (x + 0.5::DOUBLE) / 20000 AS t FROM ph, range(20000) r(x) WHERE mean > {MAX_BAD}),
+f AS (SELECT host, t, (a - 1) * ln(t) + (b - 1) * ln(1 - t) + lgamma(a + b) - lgamma(a) - lgamma(b) AS log FROM q),
+tail AS (SELECT host, sum(exp(log)) FILTER (WHERE t <= {MAX_BAD}) / sum(exp(log)) AS tail FROM f GROUP BY host),
+fit AS (SELECT rid, r.host || r.path AS rule, verdict FROM u JOIN (VALUES {_RULE_ROWS}) r(host, path, verdict) ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(r.host || r.path) DESC, verdict <> 'block') = 1)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host <> '' AND tail < {ALPHA} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 9) AS bad_rate
+FROM u LEFT JOIN fit USING (rid) LEFT JOIN ph USING (host) LEFT JOIN tail USING (host)
+"""
