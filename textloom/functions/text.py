@@ -277,6 +277,36 @@ def json_of_answer(text, schema: str) -> Column:
     return F.coalesce(whole, F.when(inside != "", F.from_json(inside, schema)))
 
 
+def near_pages(pages, expected, within: int = 2) -> Column:
+    """Whether any of some pages lies within so many of the expected one; false without pages."""
+    return F.coalesce(F.exists(_c(pages), lambda p: F.abs(p - _c(expected)) <= within), F.lit(False))
+
+
+def evaluation_points(path, title, text, pages, question, section, sub, page) -> Column:
+    """The five parts, 0 to 5 each, of how well a top hit (``path``, ``title``, ``text``, ``pages``) answers a question that expects ``section``, ``sub`` and ``page`` (null: nothing expected)."""
+    p, t, want = _c(path), _c(text), _c(page)
+    holds = lambda whole, part: F.contains(F.lower(whole), F.lower(part))
+    flawed = F.contains(p, F.lit("[Inferred]")) | F.contains(F.lower(p), F.lit(".part")) | (F.contains(p, F.lit("Page ")) & ~F.contains(_c(title), F.lit("Page ")))
+    last = F.element_at(F.split(p, " - "), -1)
+    known = F.coalesce(_c(sub), F.lit("")) != ""
+    own = (
+        F.when(~F.contains(p, F.lit(" - ")), 3).when(F.contains(last, F.lit("Table ")) | F.contains(last, F.lit("Figure ")), 2).when(known & holds(last, F.coalesce(_c(sub), F.lit(""))), 5)
+        .when(F.contains(F.substring(t, 1, 500), last), 4).otherwise(2)
+    )
+    exact = F.coalesce(F.array_contains(_c(pages), want), F.lit(False))
+    words = keyword_overlap(question, t)
+    parts = {
+        "retrieval_accuracy": F.when(F.coalesce(_c(section), F.lit("")) == "", 4).when(holds(p, _c(section)), 5).otherwise(2), "section_path_quality": F.when(flawed, 2).otherwise(5), "subtitle_accuracy": own,
+        "citation_accuracy": F.when(want.isNull() | (want == 0), 4).when(exact, 5).when(near_pages(pages, want), 4).otherwise(2), "content_completeness": F.when(words >= 3, 5).when(words >= 2, 4).otherwise(3),
+    }
+    return F.struct(*[v.cast("long").alias(k) for k, v in parts.items()])
+
+
+def evaluation_grade(pct) -> Column:
+    p = _c(pct)
+    return F.when(p >= 90, "EXCELLENT").when(p >= 75, "GOOD").when(p >= 60, "ACCEPTABLE").otherwise("NEEDS WORK")
+
+
 def grade(rate) -> Column:
     r = _c(rate)
     return F.when(r >= 0.9, "A").when(r >= 0.8, "B").when(r >= 0.7, "C").otherwise("D-F")

@@ -202,6 +202,14 @@ def ingest(registry: Registry, chunks: ChunkStore, doc: dict, rows: DataFrame) -
         raise
 
 
+def chunk_stats(chunks: DataFrame, *by: str) -> DataFrame:
+    """``(chunks, chars, tokens, mean_tokens, with_subtitle)`` of the texts of 50 characters or more; the last is the percentage of paths with a subtitle."""
+    n = T.token_estimate("text")
+    real = chunks.where(F.length("text") >= 50)
+    share = F.try_divide(100.0 * F.count_if(F.contains("section_path", F.lit(" - "))), F.count("*"))
+    return real.groupBy(*by).agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"), F.sum(n).alias("tokens"), F.round(F.avg(n), 6).alias("mean_tokens"), F.round(share, 6).alias("with_subtitle"))
+
+
 def document_table(registry: DataFrame) -> DataFrame:
     """``(line)``: a document each, in columns of fixed width."""
     cell = lambda c, n: F.rpad(F.coalesce(c.cast("string"), F.lit("")), n, " ")

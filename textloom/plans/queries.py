@@ -291,10 +291,9 @@ def q_doc_source(s, d):
     return e.join(docs, "doc_id", "left").select("event_id", F.coalesce("name", F.col("user_id").cast("string")).alias("shown"))
 
 
-@query(r"SELECT conv_id, turn, array_to_string(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{3,}')).list_sort(), ',') AS names FROM conversations")
+@query(r"SELECT conv_id, turn, array_to_string(list_distinct(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{3,}')).list_sort(), ',') AS names FROM conversations")
 def q_entities(s, d):
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{3,}"), F.lit(0))))
-    return table(s, d, "conversations").select("conv_id", "turn", F.array_join(found, ",").alias("names"))
+    return table(s, d, "conversations").select("conv_id", "turn", F.array_join(answers.entities("text"), ",").alias("names"))
 
 
 @query(rf"""WITH t AS (SELECT conv_id, turn, role, list_distinct({_TOK}) AS w, lead(list_distinct({_TOK})) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations)
@@ -708,6 +707,45 @@ def q_eval_rollup(s, d):
     return rows.withColumn("points", points).rollup("category").agg(F.count("*").alias("questions"), total.alias("points"), F.round(100.0 * total / (25 * F.count("*")), 6).alias("pct"), F.grouping("category").cast("long").alias("overall"))
 
 
+@query("""WITH r AS (SELECT doc_id AS chunk_id, source, round(CASE WHEN toxic = 1 THEN 0.1::DOUBLE ELSE 0.6::DOUBLE END + (doc_id % 30) / 100.0::DOUBLE, 6) AS relevance_score FROM labels JOIN documents USING (doc_id))
+SELECT * FROM r WHERE relevance_score < 0.7 ORDER BY relevance_score, chunk_id LIMIT 10""")
+def q_low_relevance(s, d):
+    rows = table(s, d, "labels").join(_docs(s, d).select("doc_id", "source"), "doc_id")
+    score = F.round(F.when(F.col("toxic") == 1, 0.1).otherwise(0.6) + F.col("doc_id") % 30 / F.lit(100.0), 6)
+    return sections.low_relevance(rows.select(F.col("doc_id").alias("chunk_id"), "source", score.alias("relevance_score")))
+
+
+_PATHS = "pt AS (SELECT doc_id, lang, concat_ws(' > ', source, lang) || CASE WHEN coalesce(CASE WHEN n_chars > 3000 THEN 'CSD' END, '') <> '' THEN ' - CSD' ELSE '' END AS path, length(text) AS chars FROM documents WHERE length(text) >= 50)"
+
+
+@query(f"WITH {_PATHS} SELECT lang, count(*) AS chunks, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(chars // 4) AS BIGINT) AS tokens, round(avg(chars // 4), 6) AS mean_tokens, round(100.0::DOUBLE * count(*) FILTER (WHERE contains(path, ' - ')) / count(*), 6) AS with_subtitle FROM pt GROUP BY lang")
+def q_stored_stats(s, d):
+    path = T.path_with_subtitle(F.concat_ws(" > ", "source", "lang"), F.when(F.col("n_chars") > 3000, "CSD"))
+    return store.chunk_stats(_docs(s, d).select("lang", "text", path.alias("section_path")), "lang")
+
+
+_MARKED = "CASE doc_id % 6 WHEN 0 THEN ' - Table 4' WHEN 1 THEN ' - CSD' WHEN 2 THEN ' - ' || substr(text, 3, 6) WHEN 3 THEN ' Page 7' WHEN 4 THEN ' [Inferred]' ELSE '' END"
+
+
+@query(rf"""WITH e AS (SELECT doc_id, concat_ws(' > ', source, lang) || {_MARKED} AS path, coalesce(source, '') AS title, text, [doc_id % 40, doc_id % 40 + 6] AS pages, CASE WHEN doc_id % 7 > 0 THEN doc_id % 50 END AS page FROM documents WHERE length(text) > 20),
+g AS (SELECT *, split_part(path, ' - ', -1) AS sub, len(list_filter(string_split('the tion and that with', ' '), lambda w: length(w) > 3 AND contains(lower(text), w))) AS kw FROM e),
+p AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 4 WHEN contains(path, 'src1') THEN 5 ELSE 2 END AS retrieval_accuracy, CASE WHEN contains(path, '[Inferred]') OR contains(path, 'Page ') THEN 2 ELSE 5 END AS section_path_quality,
+  CASE WHEN NOT contains(path, ' - ') THEN 3 WHEN contains(sub, 'Table ') THEN 2 WHEN contains(lower(sub), 'csd') THEN 5 WHEN contains(substr(text, 1, 500), sub) THEN 4 ELSE 2 END AS subtitle_accuracy,
+  CASE WHEN page IS NULL OR page = 0 THEN 4 WHEN list_contains(pages, page) THEN 5 WHEN abs(pages[1] - page) <= 2 OR abs(pages[2] - page) <= 2 THEN 4 ELSE 2 END AS citation_accuracy, CASE WHEN kw >= 3 THEN 5 WHEN kw >= 2 THEN 4 ELSE 3 END AS content_completeness FROM g),
+t AS (SELECT *, 4 * (retrieval_accuracy + section_path_quality + subtitle_accuracy + citation_accuracy + content_completeness) AS pct FROM p)
+SELECT doc_id, CAST(retrieval_accuracy AS BIGINT) AS retrieval_accuracy, CAST(section_path_quality AS BIGINT) AS section_path_quality, CAST(subtitle_accuracy AS BIGINT) AS subtitle_accuracy, CAST(citation_accuracy AS BIGINT) AS citation_accuracy, CAST(content_completeness AS BIGINT) AS content_completeness,
+  CASE WHEN pct >= 90 THEN 'EXCELLENT' WHEN pct >= 75 THEN 'GOOD' WHEN pct >= 60 THEN 'ACCEPTABLE' ELSE 'NEEDS WORK' END AS grade FROM t""")
+def q_evaluation_points(s, d):
+    """Documents as top hits, with paths that show every flaw and subtitle."""
+    n, docs = F.col("doc_id"), _docs(s, d).where(F.length("text") > 20)
+    ends = (F.lit(" - Table 4"), F.lit(" - CSD"), F.concat(F.lit(" - "), F.substring("text", 3, 6)), F.lit(" Page 7"), F.lit(" [Inferred]"), F.lit(""))
+    path = F.concat(F.concat_ws(" > ", "source", "lang"), F.element_at(F.array(*ends), (n % 6 + 1).cast("int")))
+    rows = docs.select("doc_id", "text", path.alias("path"), F.coalesce("source", F.lit("")).alias("title"), F.array(n % 40, n % 40 + 6).alias("pages"), F.when(n % 7 > 0, n % 50).alias("page"), F.when(n % 11 > 0, "SRC1").alias("expected"))
+    points = T.evaluation_points("path", "title", "text", "pages", F.lit("the tion and that with"), "expected", F.lit("csd"), "page")
+    rows = rows.select("doc_id", points.alias("p")).select("doc_id", "p.*")
+    return rows.withColumn("grade", T.evaluation_grade(4 * sum((F.col(c) for c in rows.columns[1:]), F.lit(0))))
+
+
 # --- questions to answers
 
 _ASK = rf"""{_BM25}, qt AS (SELECT item_id AS query_id, text, {_CLASS} AS query_type FROM benchmark), pl AS (SELECT * FROM qt JOIN (VALUES {_ROUTES}) r(query_type, strategy, top_k, min_score) USING (query_type)),
