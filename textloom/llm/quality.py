@@ -6,7 +6,7 @@ those before it stays out. The other good texts tell how many of them the first
 as many as go, whose exact one-sided binomial (Clopper-Pearson) upper bound of the false rejection rate, of all rules combined, is at most
 ``max_false_rejection``. The order does not depend on the texts it is tested on and the counts only grow along it, so no correction
 over rules or grid points is due (fixed sequence); the level is ``alpha`` divided by the strata that can be certified at all, so that with
-probability 1 - alpha no stratum loses more than ``max_false_rejection`` of its good texts. About 300 good labels suffice if none is
+probability 1 - alpha no stratum loses more than ``max_false_rejection`` of its good texts to them, of those that the base rules leave. About 300 good labels suffice if none is
 rejected (of four strata: 217 tested, 290 in all); with fewer, nothing is certified and the rules are off in that stratum.
 """
 

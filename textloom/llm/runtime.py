@@ -82,8 +82,19 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this process has written to the shared folder. Results that were not written elsewhere can no longer be read."""
+    while _written:
+        remove(spark, _written.pop())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -102,6 +113,7 @@ def discard(*tables: DataFrame | None) -> None:
         if (path := getattr(df, "_textloom_path", None)) is not None:
             remove(df.sparkSession, path)
             df._textloom_path = None
+            _written.remove(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
