@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_BYTES, ROW_BYTES, discard, materialize
+from .runtime import BROADCAST_BYTES, ROW_BYTES, discard, materialize, tidy
 
 SPACE = r"[\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -112,6 +112,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     empty texts have size 0 and copies 1. Repeated rows count each for itself; equal rows may get different copies.
     The order that rounding follows is fixed by size, doc_id and a hash, so reruns agree. Empty tables give no rows.
     """
+    tidy(docs.sparkSession)
     sized = materialize(sizes(docs), "sizes")
     histogram = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     by_source = materialize(
@@ -121,6 +122,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     goals = goals.alias("g").join(by_source.alias("b"), F.col("g.source").eqNullSafe(F.col("b.source"))).select("g.*", "rows", F.greatest(F.lit(1e-9), F.col("g.total") / F.col("rows")).alias("mean"))
     goals = materialize(goals, "goals")
     lam = tilts(histogram, goals.drop("rows"), most)
+    tidy(docs.sparkSession)
     goals = materialize(lam.alias("l").join(goals.select("source", "rows").alias("g"), F.col("l.source").eqNullSafe(F.col("g.source"))).select("l.*", "rows"), "goals")
     rows = sized.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select(
         F.col("d.doc_id").cast("long").alias("doc_id"), "d.source", "d.size", F.col("total").alias("source_size"), "target", _rate(F.col("lam"), F.col("d.size") / F.col("mean"), most).alias("rate"),

@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .components import components
-from .runtime import discard, materialize, releasing, without_ids
+from .runtime import discard, materialize, releasing, tidy, without_ids
 
 #: Shingles packed together by a task, and shingles counted together, about; sets of one side in a tree.
-BLOCK_SHINGLES = 500_000
+BLOCK_SHINGLES = 300_000
 RANGE_SHINGLES = 1_000_000
-TREE_SETS = 1000
+TREE_SETS = 300
 #: Probes that walk a tree together: so many that a bit for each of the tree's tokens and probe takes so many bytes.
-WALK_BYTES = 8_000_000
+WALK_BYTES = 2_000_000
 #: Documents of a block at most: their places take 16 bits beside 48 bits of a shingle's hash. A shingle of so many documents of a block, or more, goes
 #: to its range once for the block, so that a shingle of a third of all documents does not crowd a range; places from ``BLOCK_DOCS`` on stand for those.
 BLOCK_DOCS = 60_000
@@ -420,6 +420,7 @@ def similar_components(docs: DataFrame, n_words: int = 5, threshold: tuple[int,
     smallest id (null if a component has no other). Extra columns are not read. An empty table gives no rows.
     """
     num, den = threshold
+    tidy(docs.sparkSession)
     base = materialize(ordered_sets(docs, n_words, threshold), "sets")
     sets = materialize(base.where("toks is not null").groupBy("sig").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("toks").alias("toks")), "vertices")
 
@@ -456,16 +457,19 @@ def similar_components(docs: DataFrame, n_words: int = 5, threshold: tuple[int,
 
     links = materialize(verified(posted.where("sig <> pivot").select("sig", "pivot")), "links")
     roots = components(links)
+    tidy(docs.sparkSession)
     mixed = labelled(roots)
     more = verified(mixed.select("sig", F.when(F.col("comp") != F.col("lo"), F.col("p_lo")).otherwise(F.col("p_hi")).alias("pivot")))
     first, links = links, materialize(links.union(more), "links")
     roots = components(links)
     mixed = materialize(labelled(roots).select("key", "sig", "comp"), "mixed")
+    tidy(docs.sparkSession)
     if not mixed.isEmpty():
         last, links = links, materialize(links.union(_exhaust(mixed, sets, num, den)), "links")
         discard(last)
         roots = components(links)
     discard(posted, first, links, mixed, *passing)
+    tidy(docs.sparkSession)
     named = sets.select("sig", "low").join(roots.withColumnRenamed("u", "sig"), "sig", "left").select("sig", F.coalesce("v", "sig").alias("root"), "low")
     ids = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = named.select("sig", "root").join(ids, "root").select("sig", "component_id")

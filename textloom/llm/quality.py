@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import materialize, tidy
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rule -> (statistic, +1 rejects above the cutoff, -1 below it; grid).
@@ -141,6 +141,7 @@ def judge(docs: DataFrame, labels: DataFrame, max_false_rejection: float = MAX_F
     A row per input row, repeated rows too. Null text: no words, so rejected. Null language: a stratum of its own ('').
     A null doc_id is judged by its stratum's cutoffs like any other. ``carry`` adds the struct ``row`` of the row's own columns. Extra columns are not read. Empty tables give no rows.
     """
+    tidy(docs.sparkSession)
     stats = materialize(statistics(docs, carry), "statistics")
     cutoffs = materialize(certified_cutoffs(stats, labels, max_false_rejection, alpha), "cutoffs")
     failed = [F.when((F.expr(x) - F.col(r)) * sign > 0, F.lit(r)) for r, (x, sign, _) in RULES.items()]

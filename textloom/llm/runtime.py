@@ -116,6 +116,12 @@ def discard(*tables: DataFrame | None) -> None:
             _written.remove(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Between the parts of an operator that plans many jobs: let the driver go of finished plans, and so Spark's cleaner of their shuffles and broadcasts."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files, kernel
-from .runtime import BROADCAST_BYTES, fresh_path, keep_warm, materialize, releasing
+from .runtime import BROADCAST_BYTES, fresh_path, keep_warm, materialize, releasing, tidy
 
 MAGIC = b"TLWM"
 HEAD = struct.Struct("<4sHHQQI")
@@ -467,6 +467,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, by_word: boo
     bytes, or of a hash of them where an id has so many rows that they fill several ranges. Null texts are empty and hold the end id only. Extra columns are
     not read. An empty table gives no file. ``wide``: 32-bit ids, for vocabularies beyond 65,536.
     """
+    tidy(docs.sparkSession)
     files.make_folder(folder)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cuts, n_null = _cuts(docs)
