@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, mixing, ngram_join, pii, quality, token_files, url_filter, warc
+from . import chat, decontaminate, leaderboard, line_dedup, mixing, ngram_join, pii, quality, token_files, url_filter, vector_codes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,13 +67,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op12_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaderboard.change_feed(spark, *[table(spark, sf_dir, t) for t in ("sale_lines", "items", "vendors")])
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_line_dedup, op2_token_files, op3_chat_windows, op4_url_filter, op5_quality_rules,
-        op6_ngram_join, op7_decontaminate, op8_source_mix, op9_warc, op10_pii,
+        op6_ngram_join, op7_decontaminate, op8_source_mix, op9_warc, op10_pii, op12_leaderboard, op13_vector_codes,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op4_url_filter": url_filter.ORACLE_SQL, "op7_decontaminate": decontaminate.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
+    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op4_url_filter": url_filter.ORACLE_SQL, "op7_decontaminate": decontaminate.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op12_leaderboard": leaderboard.ORACLE_SQL, "op13_vector_codes": vector_codes.oracle_sql()}

@@ -122,9 +122,25 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def _store(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, at = _store(spark, path)
+    store.delete(at, True)
+
+
+def make_path(spark: SparkSession, path: str) -> None:
+    store, at = _store(spark, path)
+    store.mkdirs(at)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    store, at = _store(spark, path)
+    if not store.rename(at, _store(spark, to)[1]):
+        raise OSError(f"{path} could not be moved to {to}")
 
 
 def set_slices(ids: DataFrame, bound: int = BROADCAST_ENTRIES) -> tuple[int, Callable[[int], np.ndarray]]:
