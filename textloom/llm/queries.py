@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, leaderboard, line_dedup, mixing, ngram_join, pii, quality, token_files, url_filter, vector_codes, warc
+from . import chat, decontaminate, leaderboard, line_dedup, mixing, ngram_join, pii, quality, quality_model, token_files, url_filter, vector_codes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaderboard.change_feed(spark, *[table(spark, sf_dir, t) for t in ("sale_lines", "items", "vendors")])
 
@@ -78,7 +82,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_line_dedup, op2_token_files, op3_chat_windows, op4_url_filter, op5_quality_rules,
-        op6_ngram_join, op7_decontaminate, op8_source_mix, op9_warc, op10_pii, op12_leaderboard, op13_vector_codes,
+        op6_ngram_join, op7_decontaminate, op8_source_mix, op9_warc, op10_pii, op11_quality_model, op12_leaderboard, op13_vector_codes,
     )
     return {f.__name__: f for f in every}
 
