@@ -35,7 +35,12 @@ HELD_SUMS = 500_000
 #: The first arrival day (2024-01-01 in days since 1970) and the days that the batches divide.
 FIRST_DAY, DAYS = 19723, 180
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_CONF = {"spark.sql.streaming.stateStore.providerClass": _ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+#: The store that transformWithState needs. A query ends with its batch, so executors close its stores with their tasks and hold nothing of them.
+_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": _ROCKS,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 _LINES = "s int, day int, nation_id int, item_id long, cents long"
 _SUMS = "nation_id int, shard int, day int, item_id long, cents long"
 _NEWS = "nation_id int, shard int, day array<int>, item_id array<long>, revenue array<long>, on_board array<boolean>"
