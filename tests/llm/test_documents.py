@@ -187,12 +187,56 @@ def test_ngram_repeated_rows_and_null_ids(spark):
     rows = [(5, t), (5, t), (None, t), (7, t + " z"), (None, "alone here"), (9, None)]
     got = sorted(((r.doc_id, r.component_id) for r in ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(5, 5), (5, 5), (None, 5), (7, 5), (None, None), (9, 9)], key=str)
-    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id or 0) for r in kept) == [0, 0, 5, 9]
+    rows += [(5, "another text of the same id"), (None, "alone here"), (12, None), (12, None), (-3, t)]
+    odd = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, id int").withColumns({"row_key": F.lit(1), "same": F.lit(True), "odd": F.lit(0)})
+    kept = ngram_join.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(-3, t), (None, "alone here"), (9, None), (5, "another text of the same id"), (12, None), (12, None)], key=str)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.similar_components(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0
 
 
+@pytest.mark.parametrize("bits", [6, 15, 16, 18])
+def test_ordered_sets_at_many_ranges(bits, monkeypatch):
+    """Blocks with more frequent shingles than there are places for them, and ranges beyond 16 bits: every document keeps its shared shingles, in one order for all."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 10**7)
+    rng = random.Random(bits)
+    common = [f"c{k}" for k in range(6200)]
+    texts = [" ".join(common + [f"own{i}x{k}" for k in range(40)]) for i in range(ngram_join.OFTEN + 2)]
+    texts += [" ".join(rng.choice("abc") for _ in range(400)) for _ in range(6)] + ["a b c", None, "a b c"]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in ((t or "").split() for t in texts)]
+    shared = Counter(s for one in sets for s in one)
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    ranged = _with_task(lambda: list(ngram_join._hash_pass(5, bits)(iter([batch]))))
+    ranged = pa.Table.from_batches(ranged)
+    assert len(pa.ipc.open_stream(ranged.filter(ranged["meta"])["b"][0].as_py()).read_all()["cut"][0]) - 1 == ngram_join.OFTEN_PLACES
+    r = ranged["r"].to_numpy()
+    order = np.argsort(r, kind="stable")
+    cut = np.append(np.flatnonzero(np.diff(r[order], prepend=-1)), len(r))
+    numbered = pa.concat_tables([ngram_join._count_range(ranged.take(pa.array(order[a:b]))) for a, b in zip(cut, cut[1:])])
+    got = ngram_join._gather_block(4, 5)(numbered).to_pylist()
+    number = {}
+    for i, row in enumerate(got):
+        n_shared = sum(shared[s] > 1 for s in sets[i])
+        live = sets[i] and 4 * len(sets[i]) <= 5 * n_shared
+        assert row["doc_id"] == i and row["n"] == len(sets[i]) and (row["toks"] is not None) == bool(live)
+        if live:
+            toks = ngram_join.unpack(row["toks"])
+            assert len(toks) == n_shared and (np.diff(toks) > 0).all()
+            number[i] = set(toks.tolist())
+    for a, b in [*zip(number, list(number)[1:]), *(rng.sample(sorted(number), 2) for _ in range(60))]:
+        assert len(number[a] & number[b]) == len(sets[a] & sets[b])
+
+
+def _with_task(run):
+    from unittest import mock
+
+    with mock.patch.object(ngram_join.TaskContext, "get", lambda: mock.Mock(partitionId=lambda: 0)):
+        return run()
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_prefix_tree(seed):
     rng = random.Random(seed)

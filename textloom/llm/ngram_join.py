@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .components import components
-from .runtime import discard, materialize, releasing, tidy, without_ids
+from .runtime import discard, look_up, materialize, releasing, tidy, unused, without_ids
 
 #: Shingles packed together by a task, and shingles counted together, about; sets of one side in a tree.
 BLOCK_SHINGLES = 300_000
@@ -42,11 +42,15 @@ TREE_SETS = 300
 WALK_BYTES = 2_000_000
 #: Documents of a block at most: their places take 16 bits beside 48 bits of a shingle's hash. A shingle of so many documents of a block, or more, goes
 #: to its range once for the block, so that a shingle of a third of all documents does not crowd a range; places from ``BLOCK_DOCS`` on stand for those.
+#: There are ``OFTEN_PLACES`` of them: beyond that the most frequent ones take them, the others go document by document.
 BLOCK_DOCS = 60_000
 OFTEN = 128
-#: Shingles that a stored byte of documents gives, about, and the bits that a range takes at most.
+OFTEN_PLACES = (1 << 16) - BLOCK_DOCS
+#: Shingles that a stored byte of documents gives, about, and the bits that a range takes at most: at 100 TB a range holds 30 million shingles.
 SHINGLES_A_BYTE = 0.3
-MOST_BITS = 16
+MOST_BITS = 20
+#: A shingle's number: the class of its count, its range, its place in the range.
+LEVEL_AT, RANGE_AT = 56, 34
 
 _RANGED = "r int, blk long, meta boolean, nd int, a binary, b binary"
 _SETS = "doc_id long, sig binary, n int, toks binary"
@@ -92,6 +96,8 @@ def _hash_pass(n_words: int, bits: int):
         of = coded.indices.to_numpy()
         count = np.bincount(of)
         often = np.flatnonzero(count >= OFTEN)
+        if len(often) > OFTEN_PLACES:
+            often = np.sort(often[np.argsort(-count[often], kind="stable")[:OFTEN_PLACES]])
         hot_docs, hot_cut = np.zeros(0, np.uint16), np.zeros(1, np.int32)
         if len(often):
             number = np.full(len(count), -1, np.int64)
@@ -105,7 +111,7 @@ def _hash_pass(n_words: int, bits: int):
             place = np.concatenate((place[rest], np.arange(BLOCK_DOCS, BLOCK_DOCS + len(often), dtype=np.uint64)))
         # a word: 48 bits of the hash, and the document's place
         word = (h << np.uint64(bits)) & ~np.uint64(0xFFFF) | place
-        r = (h >> np.uint64(64 - bits)).astype(np.uint16)
+        r = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
         order = np.argsort(r, kind="stable")
         cut = np.searchsorted(r[order], np.arange(2**bits + 1))
         word = word[order]
@@ -122,7 +128,7 @@ def _hash_pass(n_words: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blk, ids, sets, held = TaskContext.get().partitionId() << 32, [], [], 0
-        most = max(BLOCK_SHINGLES, 32 << bits)  # some shingles for each range, however many there are
+        most = max(BLOCK_SHINGLES, min(32 << bits, max(1 << 21, 8 << bits)))  # some shingles for each range, however many there are
         for batch in batches:
             own = batch.column("doc_id").to_pylist()
             for i, s in enumerate(kernel.shingle_sets(*kernel.text_bytes(batch.column("text")), n_words)):
@@ -170,7 +176,7 @@ def _count_range(table: pa.Table) -> pa.Table:
         shared = df > 1
         number = np.full(len(df), -1, np.int64)
         level = np.log2(df[shared]).astype(np.int64)
-        number[shared] = level << 48 | np.int64(r) << 32 | np.arange(told, told + len(level))
+        number[shared] = level << LEVEL_AT | np.int64(r) << RANGE_AT | np.arange(told, told + len(level))
         told += len(level)
         token[at[order]] = np.repeat(number, runs)
     kept = token >= 0
@@ -214,12 +220,14 @@ def _gather_block(num: int, den: int):
     return run
 
 
-def ordered_sets(docs: DataFrame, n_words: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
+def ordered_sets(docs: DataFrame, n_words: int = 5, threshold: tuple[int, int] = (4, 5), bits: int | None = None) -> DataFrame:
     """``(doc_id, sig, n, toks)``, a row per document: the set's signature and size, and its shared shingles in the
-    global order, or null where too few are shared for any link to a different text or a copy."""
+    global order, or null where too few are shared for any link to a different text or a copy. ``bits``: those that number
+    the ranges, by default from the stored size."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    stored = min(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 50)
-    bits = min(MOST_BITS, max(6, math.ceil(math.log2(max(1, SHINGLES_A_BYTE * stored / RANGE_SHINGLES)))))
+    if bits is None:
+        stored = min(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 50)
+        bits = min(MOST_BITS, max(6, math.ceil(math.log2(max(1, SHINGLES_A_BYTE * stored / RANGE_SHINGLES)))))
     ranged = docs.mapInArrow(releasing(_hash_pass(n_words, bits)), _RANGED)
     numbered = ranged.groupBy("r").applyInArrow(_count_range, _RANGED)
     return numbered.groupBy("blk").applyInArrow(_gather_block(*threshold), _SETS)
@@ -512,13 +520,25 @@ def _exhaust(mixed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def keep_one(docs: DataFrame, n_words: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
-    """Drop all but the document of the smallest doc_id of each component; columns as they come.
+    """Drop all but one document of each component, that of the smallest doc_id; columns as they come.
 
-    Rows that share a doc_id count as one document, of which one row stays; rows without a doc_id all stay.
+    Every row is a document of its own, also where several share a doc_id or have none: different texts all stay, of copies one. Among rows of one
+    doc_id an arbitrary one comes first, rows without a doc_id come last.
     """
-    found = materialize(similar_components(docs, n_words, threshold), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select(*docs.columns)
-        docs = named.unionByName(docs.where("doc_id is null"))
-    return without_ids(docs, gone)
+    ids = docs.groupBy("doc_id").count().agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull() | (F.col("count") > 1)).alias("odd")).first()
+    if not ids["odd"]:
+        found = materialize(similar_components(docs, n_words, threshold), "components")
+        return without_ids(docs, found.where("doc_id <> component_id").select("doc_id"))
+    # rows that an id does not name get one of their own, below all others, and are written, so that it stays theirs
+    key, named = unused(docs, "row_key"), unused(docs, "same")
+    shared = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias(named)), "shared")
+    marked = look_up(docs, shared).withColumn(named, F.coalesce(named, F.col("doc_id").isNull()))
+    odd = marked.where(named).withColumn(key, F.lit(min(0, ids["low"] or 0) - 1) - F.monotonically_increasing_id()).drop(named)
+    odd = materialize(odd, "odd_rows")
+    rows = marked.where(~F.col(named)).drop(named).withColumn(key, F.col("doc_id").cast("long")).unionByName(odd)
+    found = materialize(similar_components(rows.select(F.col(key).alias("doc_id"), "text"), n_words, threshold), "components")
+    real = look_up(found, odd.select(F.col(key).alias("doc_id"), F.col("doc_id").cast("long").alias("real"), F.lit(True).alias("odd")))
+    first = F.struct(F.coalesce(F.when(F.col("odd"), F.col("real")).otherwise(F.col("doc_id")), F.lit((1 << 63) - 1)), "doc_id")
+    kept = materialize(real.groupBy("component_id").agg(F.min_by("doc_id", first).alias("kept")), "kept")
+    gone = found.join(kept.hint("shuffle_merge"), "component_id").where("doc_id <> kept").select(F.col("doc_id").alias("gone"))
+    return without_ids(rows, gone, key).select(*docs.columns)

@@ -173,23 +173,30 @@ def sorted_lookup(table: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     return at
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has, whatever its capitals."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id", bound: int = BROADCAST_BYTES // ROW_BYTES) -> DataFrame:
     """Rows whose id is not in ``ids``: a bounded set is sent to the executors, a larger one is anti-joined."""
-    name = ids.columns[0]
-    ids = materialize(ids.where(F.col(name).isNotNull()).select(F.col(name).cast("long").alias("__id")).distinct(), "ids")
+    name, own = ids.columns[0], unused(docs, "id")
+    ids = materialize(ids.where(F.col(name).isNotNull()).select(F.col(name).cast("long").alias(own)).distinct(), "ids")
     n = ids.count()
     if n == 0:
         return docs
-    if n > bound:
-        return docs.join(ids.hint("shuffle_merge"), docs[column] == ids["__id"], "left_anti")
-    return docs.join(F.broadcast(ids), docs[column] == ids["__id"], "left_anti")
+    return docs.join(ids.hint("shuffle_merge") if n > bound else F.broadcast(ids), docs[column] == ids[own], "left_anti")
 
 
 def look_up(docs: DataFrame, values: DataFrame, bound: int = BROADCAST_BYTES // ROW_BYTES, column: str = "doc_id") -> DataFrame:
     """Left join ``values(<column> unique, numbers ...)`` to ``docs``: sent to the executors if of ``bound`` rows at most, else by a shuffle."""
-    values = values.withColumnRenamed(column, "__id")
+    own = unused(docs, unused(values, "id"))
+    values = values.withColumnRenamed(column, own)
     side = F.broadcast(values) if values.count() <= bound else values.hint("shuffle_merge")
-    return docs.join(side, docs[column] == values["__id"], "left").drop("__id")
+    return docs.join(side, docs[column] == values[own], "left").drop(own)
 
 
 def apply_in_passes(docs: DataFrame, n: int, chunk: Callable[[int], object], scan: Callable[[DataFrame, object], DataFrame], name: str) -> DataFrame:
