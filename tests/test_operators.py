@@ -1,5 +1,7 @@
 """Values and rules that SQL does not show: scores, packers, chunk factory, store, streaming."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +142,11 @@ def test_registry_and_ingest(spark, tmp_path):
     with pytest.raises(Exception):
         store.ingest(registry, chunks, bad, rows.withColumn("doc_id", F.lit("c")))
     assert chunks.read("c").count() == 0 and registry.get("c").count() == 0  # what was written before the failure is gone
+    with pytest.raises(Exception):  # and what a failed second version was to replace is there again
+        store.ingest(registry, chunks, {"doc_id": "a", "title": "new", "total_pages": "many"}, rows.withColumn("text", F.lit("new")))
+    assert sorted(r.text for r in chunks.read("a").collect()) == ["one", "two"] and registry.get("a").first().title == "a"
+    with pytest.raises(KeyError):
+        registry.soft_delete("nobody", chunks)
     registry.soft_delete("a", chunks)
     assert [r.doc_id for r in registry.documents().collect()] == ["b"] and not registry.get("a").first().is_active and chunks.read().count() == 2
     assert store.filtered(chunks.read(), registry.read(), protocol="p", active_only=True).count() == 2 and store.filtered(chunks.read(), doc_id="a").count() == 0
@@ -184,6 +191,74 @@ def test_answers_by_a_caller(spark):
     assert stats.total_queries == 3 and stats.by_model == {"m": 3} and store.pipeline_stats(audit.limit(0)).first().total_queries == 0
 
 
+def test_a_model_is_called_once_a_question(spark, tmp_path):
+    """A model that answers differently each time: the answer, its citations and its audit row come from one call."""
+    planned = answers.plan(spark.createDataFrame([(k, f"q{k}") for k in range(5)], "query_id long, text string"), top_k=2, min_score=0.0, strategy="vector")
+    hits = spark.createDataFrame([(k, d, 0.9 - d / 10, d) for k in range(5) for d in (1, 2)], "query_id long, doc_id long, score double, rank long")
+    chunks = spark.createDataFrame([(1, "one", "A", [1]), (2, "two", "B", [2])], "doc_id long, text string, section_path string, pages array<long>")
+    folder = str(tmp_path)
+
+    def generate(row):
+        name = f"{folder}/{row['query']}"
+        with open(name, "a") as f:
+            f.write("x")
+        n = os.path.getsize(name)
+        return {"answer": f"call {n} [{n}]", "model": "m1", "prompt_tokens": 7, "completion_tokens": n}
+
+    out = answers.answer(planned, answers.retrieve(planned, hits, hits.limit(0), chunks), generate)
+    rows = out.collect()
+    audit = store.audit_rows(out, "none", 99.0)
+    assert out.count() == audit.count() == 5 and answers.formatted(out).count() == 5
+    assert {os.path.getsize(f"{folder}/q{k}") for k in range(5)} == {1}
+    assert {(r.answer, r.citations[0].number, r.model, r.usage.completion_tokens, r.latency_ms >= 0) for r in rows} == {("call 1 [1]", 1, "m1", 1, True)}
+    assert {(r.answer, r.model, '"number":1' in r.citations) for r in audit.collect()} == {("call 1 [1]", "m1", True)}
+
+
+def test_numbers_of_any_length(spark):
+    long = "9" * 25
+    row = spark.range(1).select(T.citations(F.lit(f"[{long}] and [2], [{long}], [2]")).alias("c"), T.section_numbers(F.lit(f"{long}.1 X")).alias("s")).first()
+    assert row.c == [2] and row.s == [1]
+    pages = spark.createDataFrame([(1, 1, f"1.2 Title of it ..... {long}\n1.3 Another one ..... 12")], "spec_id long, page_no int, text string")
+    assert {(r.section_number, r.page_number) for r in toc.entries(pages).collect()} == {("1.3", 12)}
+
+
+def test_context_of_null_fields(spark):
+    hits = spark.createDataFrame([(1, 1, None, [3], 0.5, "aa"), (1, 2, "P", None, None, None), (1, 3, "Q", [], 0.25, "bb")], "query_id long, rank long, section_path string, pages array<int>, score double, text string")
+    got = retrieval.context(hits).first().context
+    assert got == "[1]  (Page 3, Relevance: 50.0%)\naa\n\n---\n\n[2] P (Page N/A, Relevance: 0.0%)\n\n\n---\n\n[3] Q (Page N/A, Relevance: 25.0%)\nbb\n"
+
+
+def test_best_of_many_queries_in_bounded_steps(spark, monkeypatch):
+    """Ties, more queries than a step's scores and batches smaller than k: the rows of a plain sort."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base, asked = rng.integers(-2, 3, (300, 4)).astype(float), rng.integers(-2, 3, (90, 4)).astype(float)
+    monkeypatch.setattr(retrieval, "MOST_SCORES", 500)
+    best = retrieval.Best(90, 7)
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    score = np.round(unit(asked) @ unit(base).T, 6)
+    ids = rng.permutation(300)
+    for a in range(0, 300, 5):
+        for q in range(0, 90, 40):
+            best.add(q, score[q : q + 40, a : a + 5], ids[a : a + 5])
+    got = sorted((int(q), int(i), float(x)) for part in best.rows(50) for q, i, x in zip(*part))
+    want = sorted((q, int(ids[j]), float(score[q, j])) for q in range(90) for j in sorted(range(300), key=lambda j: (-score[q, j], ids[j]))[:7])
+    assert got == want
+    frame = lambda m, *names: spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], f"{names[0]} long, embedding array<double>")
+    rows = retrieval.vector_topk(frame(base, "vec_id"), frame(asked, "query_id"), 7).collect()
+    assert sorted((r.query_id, r.vec_id, r.score) for r in rows) == sorted((q, j, float(score[q, j]) + 0.0) for q in range(90) for j in sorted(range(300), key=lambda j: (-score[q, j], j))[:7])
+
+
+def test_simple_chunks_are_windows(spark):
+    from textloom import cli
+    from textloom.config import Settings
+
+    words = " ".join(f"w{k}" for k in range(12))
+    got = cli.chunked(elements(spark, [(words, "text", 1, None)]), Settings(chunking_strategy="simple", chunk_size=8, chunk_overlap=2)).orderBy("chunk_index").collect()
+    assert [r.text for r in got] == [" ".join(f"w{k}" for k in range(8)), " ".join(f"w{k}" for k in range(6, 12))] and got[0].section_path is None
+
+
 def test_correction_and_validation_by_a_caller(spark):
     rows = spark.createDataFrame([(1, "good text", "Some title", "p"), (2, "body", "Figure 2", "p"), (3, None, None, None), (4, "raise", "Ab", "p")], "chunk_id long, text string, section_title string, section_path string")
 

@@ -14,10 +14,7 @@ class Settings:
     max_chunk_size: int = 800
     chunking_strategy: str = "section_aware"
     top_k: int = 10
-    rrf_k: int = 60
     embedding_dim: int = 64
-    page_offset: int = 0
-    long_section_pages: int = 10
     context_chars: int = 4000
     context_hits: int = 5
 

@@ -62,11 +62,11 @@ def parent_prefixes(number) -> Column:
 
 
 def section_numbers(title) -> Column:
-    """6.6.34.1 X -> [6,6,34,1]; B.2.6 X -> [2,6]; none -> []."""
+    """6.6.34.1 X -> [6,6,34,1]; B.2.6 X -> [2,6]; none -> []. A part too large for an int is left out."""
     t = F.trim(F.coalesce(_c(title), F.lit("")))
     own = F.regexp_extract(t, r"^[\d\.]+", 0)
     found = F.when(own != "", own).otherwise(F.regexp_extract(t, r"^(?:Appendix\s+)?[A-Z]\.?([\d\.]+)", 1))
-    return F.transform(F.filter(F.split(found, r"\."), lambda p: p != ""), lambda p: p.cast("int"))
+    return F.filter(F.transform(F.split(found, r"\."), lambda p: p.try_cast("int")), lambda p: p.isNotNull())
 
 
 def major_change(old, new, levels: int = 3) -> Column:
@@ -224,8 +224,9 @@ def sentences(text) -> Column:
 
 
 def citations(answer) -> Column:
-    """Distinct [n] of an answer, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(_c(answer), F.lit("")), F.lit(r"\[(\d+)\]"), F.lit(1)), lambda n: n.cast("long")))
+    """Distinct [n] of an answer, in order; a number too large for a long cites nothing."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(_c(answer), F.lit("")), F.lit(r"\[(\d+)\]"), F.lit(1)), lambda n: n.try_cast("long"))
+    return F.array_distinct(F.filter(found, lambda n: n.isNotNull()))
 
 
 def keyword_overlap(question, text) -> Column:

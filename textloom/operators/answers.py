@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import retrieval
+from ..session import written
+from . import retrieval, store
 from .plugs import with_results
 
 # What is said where nothing is found, and the instructions for each type of question.
@@ -79,6 +81,19 @@ def retrieve(planned: DataFrame, vector: DataFrame, keyword: DataFrame, chunks:
     return hits
 
 
+def search(planned: DataFrame, asked: DataFrame, chunks: DataFrame, index: retrieval.Bm25Index, registry: DataFrame | None = None, doc_id=None, protocol: str | None = None, active_only: bool = False, deep: int = 30, rerank: bool = True) -> DataFrame:
+    """Retrieve among the chunks of a document, of a protocol or of active documents.
+
+    ``asked(query_id, embedding)``, ``chunks(chunk_id, doc_id, embedding, text, section_path, pages, ...)``, ``index`` over chunk ids. Filters hold before the cut on the vector side,
+    and on the keyword side after the scores, so that a word's weight stays that of the whole corpus.
+    """
+    own = store.filtered(chunks, registry, doc_id, protocol, active_only)
+    vector = retrieval.vector_topk(own, asked, deep, "chunk_id").withColumnRenamed("chunk_id", "doc_id")
+    scored = retrieval.bm25(index, planned).join(own.select(F.col("chunk_id").alias("doc_id")), "doc_id", "left_semi")
+    payload = own.withColumn("of_doc", F.col("doc_id")).drop("doc_id", "embedding").withColumnRenamed("chunk_id", "doc_id")
+    return retrieve(planned, vector, retrieval.ranked(scored, deep), payload, rerank)
+
+
 def extract(hits: DataFrame, most: int = 3, chars: int = 160) -> DataFrame:
     """``(query_id, answer)``: the opening of the best hits, each with its number: a stand-in for a model's answer."""
     part = F.concat(F.trim(F.substring(F.coalesce("text", F.lit("")), 1, chars)), F.lit(" ["), F.col("rank").cast("string"), F.lit("]"))
@@ -86,18 +101,36 @@ def extract(hits: DataFrame, most: int = 3, chars: int = 160) -> DataFrame:
     return own.select("query_id", F.array_join(F.transform("p", lambda x: x["part"]), " ").alias("answer"))
 
 
-def answer(planned: DataFrame, hits: DataFrame, generate: Callable[[dict], str] | None = None) -> DataFrame:
-    """``(query_id, query, query_type, strategy, answer, citations, confidence, num_chunks, num_citations, top_score, context, error)``, a row per query.
+#: What a model's call may tell beside its answer.
+SAID = "answer string, model string, prompt_tokens long, completion_tokens long, latency_ms double"
+
+
+def _timed(generate: Callable[[dict], str | dict]) -> Callable[[dict], dict]:
+    def call(row: dict) -> dict:
+        began = time.perf_counter()
+        said = generate(row)
+        return {**(said if isinstance(said, dict) else {"answer": said}), "latency_ms": 1000 * (time.perf_counter() - began)}
+
+    return call
+
+
+def answer(planned: DataFrame, hits: DataFrame, generate: Callable[[dict], str | dict] | None = None, context_chars: int = 4000, context_hits: int = 5) -> DataFrame:
+    """``(query_id, query, query_type, strategy, answer, citations, confidence, num_chunks, num_citations, top_score, context, error, model, usage, latency_ms)``, a row per query.
 
-    ``generate`` gets ``query``, ``context``, ``instructions`` and ``query_type`` and gives the answer's text, in which ``[n]`` cites hit n; if it raises, the answer says so, cites
+    ``generate`` gets ``query``, ``context``, ``instructions`` and ``query_type`` and gives the answer's text, in which ``[n]`` cites hit n, or a dict of ``answer`` and what it knows of ``model``,
+    ``prompt_tokens`` and ``completion_tokens``. It is called once a question: what it said is written down before anything is read from it. If it raises, the answer says so, cites
     nothing and has confidence 0. Without it, or without hits, the answer is extracted. Citations beyond the hits are dropped.
     """
     top = hits.groupBy("query_id").agg(F.count("*").alias("num_chunks"), F.max_by("score", -F.col("rank")).alias("top_score"))
-    rows = planned.select("query_id", F.col("text").alias("query"), "query_type", "strategy").join(top, "query_id", "left").join(retrieval.context(hits), "query_id", "left")
+    rows = planned.select("query_id", F.col("text").alias("query"), "query_type", "strategy").join(top, "query_id", "left").join(retrieval.context(hits, context_chars, context_hits), "query_id", "left")
     rows = rows.join(extract(hits), "query_id", "left").withColumns({"context": F.coalesce("context", F.lit(NO_CONTEXT)), "answer": F.coalesce("answer", F.lit(CANNOT)), "error": F.lit(None).cast("string")})
     if generate is not None:
-        rows = with_results(rows.withColumn("instructions", instructions("query_type")), lambda r: {"answer": generate(r)}, "answer string", "_g")
+        rows = written(with_results(rows.withColumn("instructions", instructions("query_type")), _timed(generate), SAID, "_g"), "answers")
         rows = rows.withColumn("answer", F.when(F.col("_g_error").isNull(), F.coalesce("_g.answer", F.lit(""))).otherwise(F.concat(F.lit(FAILED), F.col("_g_error")))).withColumn("error", F.col("_g_error"))
+        rows = rows.withColumns({"model": F.col("_g.model"), "usage": F.struct("_g.prompt_tokens", "_g.completion_tokens"), "latency_ms": F.col("_g.latency_ms")})
+    else:
+        none = lambda kind: F.lit(None).cast(kind)
+        rows = rows.withColumns({"model": none("string"), "usage": none("struct<prompt_tokens:bigint,completion_tokens:bigint>"), "latency_ms": none("double")})
     good = F.col("error").isNull()
     cited = rows.where(good).select("query_id", F.posexplode(T.citations("answer")).alias("pos", "number"))
     cited = cited.join(hits.withColumn("number", F.col("rank")), ["query_id", "number"])
@@ -107,7 +140,7 @@ def answer(planned: DataFrame, hits: DataFrame, generate: Callable[[dict], str]
     sure = F.when(good, T.confidence("top_score", "answer")).otherwise(0.0)
     return out.select(
         "query_id", "query", "query_type", "strategy", "answer", "citations", sure.alias("confidence"), F.coalesce("num_chunks", F.lit(0)).alias("num_chunks"),
-        F.size("citations").cast("long").alias("num_citations"), F.coalesce("top_score", F.lit(0.0)).alias("top_score"), "context", "error",
+        F.size("citations").cast("long").alias("num_citations"), F.coalesce("top_score", F.lit(0.0)).alias("top_score"), "context", "error", "model", "usage", "latency_ms",
     )
 
 

@@ -17,9 +17,10 @@ def fixed_windows(docs: DataFrame, size: int = 350, overlap: int = 50) -> DataFr
     """``docs(doc_id, text)`` -> ``(doc_id, chunk_index, total_chunks, n_tokens, text)``: token windows that stop at the end of the text."""
     words = docs.select("doc_id", T.tokens("text").alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    rows = words.select("doc_id", "w", F.size(starts).cast("long").alias("total_chunks"), F.posexplode(starts).alias("chunk_index", "s"))
-    own = F.slice("w", F.col("s") + 1, F.lit(size))
-    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "total_chunks", F.size(own).cast("long").alias("n_tokens"), F.array_join(own, " ").alias("text"))
+    # the windows are cut before they are dealt out, so that a row carries its own words alone
+    windows = F.transform(starts, lambda s: F.slice("w", s + 1, F.lit(size)))
+    rows = words.select("doc_id", F.size(starts).cast("long").alias("total_chunks"), F.posexplode(windows).alias("chunk_index", "own"))
+    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "total_chunks", F.size("own").cast("long").alias("n_tokens"), F.array_join("own", " ").alias("text"))
 
 
 def split_long(sections: DataFrame, max_tokens: int = 800, overlap: int = 50) -> DataFrame:

@@ -2,6 +2,7 @@
 
 A ``BucketTable`` holds rows in buckets by a hash of their key. A change writes the buckets that it touches into a folder of its own and then commits a small list of
 which folder holds which bucket; readers take the newest list. A change that fails before its commit leaves nothing behind but its folder, which is removed.
+A table has one writer at a time; a second one finds its list's number taken and fails, unless both commit within the same moment.
 """
 
 from __future__ import annotations
@@ -142,6 +143,15 @@ class BucketTable:
     def delete(self, key) -> None:
         self._change(None, self._spark.createDataFrame([(key,)], f"{self._key} {'long' if isinstance(key, int) else 'string'}"))
 
+    def state(self) -> tuple[dict[int, str], str | None]:
+        """What ``restore`` goes back to."""
+        return self._committed()[1:]
+
+    def restore(self, folders: dict[int, str], schema: str | None) -> None:
+        """Commit an earlier state again; its folders must not have been vacuumed."""
+        number, _, now = self._committed()
+        self._commit(number + 1, folders, schema or now)
+
     def vacuum(self) -> None:
         """Remove folders that the newest list does not name. Not while others read or write."""
         _, folders, _ = self._committed()
@@ -179,26 +189,30 @@ class Registry(BucketTable):
         return active(self.read()) if active_only else self.read()
 
     def soft_delete(self, doc_id: str, chunks: ChunkStore | None = None) -> None:
-        """The document's chunks go, its row stays and is no longer active."""
+        """The document's chunks go, its row stays and is no longer active. A document that is not there is an error."""
+        row = self.get(doc_id).withColumn("is_active", F.lit(False))
+        found = row.collect()  # one row
+        if not found:
+            raise KeyError(f"no document {doc_id!r}")
         if chunks is not None:
             chunks.delete(doc_id)
-        row = self.get(doc_id).withColumn("is_active", F.lit(False))
-        self.replace(self._spark.createDataFrame(row.collect(), row.schema))  # one row
+        self.replace(self._spark.createDataFrame(found, row.schema))
 
 
 def ingest(registry: Registry, chunks: ChunkStore, doc: dict, rows: DataFrame) -> None:
-    """Replace a document's chunks and registry row; if the second fails, its chunks go again."""
+    """Replace a document's chunks and registry row; if the second fails, the chunks are again what they were."""
     spark = rows.sparkSession
     n = rows.count()
     if not n:
         raise ValueError(f"no chunks for {doc['doc_id']}")
+    before = chunks.state()
     chunks.replace_documents(rows)
     try:
         names = [c.split(" ")[0] for c in REGISTRY.split(", ")]
         row = {**dict.fromkeys(names), **doc, "total_chunks": n, "is_active": True}
         registry.add(spark.createDataFrame([tuple(row[c] for c in names)], REGISTRY))
     except Exception:
-        chunks.delete(doc["doc_id"])
+        chunks.restore(*before)
         raise
 
 
@@ -229,10 +243,14 @@ def write_report(rows: DataFrame, path: str, kind: str = "json") -> None:
 AUDIT = "query_id string, query string, answer string, confidence double, latency_ms double, model string, citations string, ts timestamp"
 
 
-def audit_rows(answers: DataFrame, model: str, latency_ms: float) -> DataFrame:
-    """Audit rows of a batch of answers: citations as JSON, the batch's time shared evenly."""
-    n = max(1, answers.count())
-    return answers.select(F.col("query_id").cast("string").alias("query_id"), "query", "answer", "confidence", F.lit(latency_ms / n).alias("latency_ms"), F.lit(model).alias("model"), F.to_json("citations").alias("citations"), F.current_timestamp().alias("ts"))
+def audit_rows(answers: DataFrame, model: str, latency_ms: float | None = None) -> DataFrame:
+    """Audit rows of answers: citations as JSON, the model and the time that each answer's call tells of. Where it tells none, ``model`` and an even share of ``latency_ms``."""
+    n = answers.agg(F.greatest(F.count("*"), F.lit(1)).alias("_n"))  # one row
+    share = F.lit(latency_ms).cast("double") / F.col("_n")
+    return answers.join(F.broadcast(n)).select(
+        F.col("query_id").cast("string").alias("query_id"), "query", "answer", "confidence", F.coalesce("latency_ms", share).alias("latency_ms"), F.coalesce("model", F.lit(model)).alias("model"),
+        F.to_json("citations").alias("citations"), F.current_timestamp().alias("ts"),
+    )
 
 
 def append_audit(rows: DataFrame, path: str) -> None:

@@ -14,12 +14,12 @@ def toc_pages(pages: DataFrame, search: int = 30) -> DataFrame:
 
 
 def entries(pages: DataFrame) -> DataFrame:
-    """Every match of the four line patterns on ``pages(spec_id, page_no, text)``, titles cleaned up."""
+    """Every match of the four line patterns on ``pages(spec_id, page_no, text)``, titles cleaned up; a page number too large for a long is no entry."""
     hits = None
     for k, pattern in enumerate(T.TOC_PATTERNS):
         groups = [F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "number"), (2, "title"), (3, "page"))]
         own = pages.select("spec_id", F.col("page_no").alias("toc_page"), F.posexplode(F.arrays_zip(*groups)).alias("pos", "e"))
-        own = own.select("spec_id", "toc_page", F.lit(k).cast("long").alias("pattern_used"), F.col("pos").cast("long").alias("pos"), F.col("e.number").alias("section_number"), T.clean_toc_title("e.title").alias("section_title"), F.col("e.page").cast("long").alias("page_number"))
+        own = own.select("spec_id", "toc_page", F.lit(k).cast("long").alias("pattern_used"), F.col("pos").cast("long").alias("pos"), F.col("e.number").alias("section_number"), T.clean_toc_title("e.title").alias("section_title"), F.col("e.page").try_cast("long").alias("page_number")).where("page_number is not null")
         hits = own if hits is None else hits.union(own)
     return hits.withColumn("level", T.level("section_number"))
 

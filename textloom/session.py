@@ -6,8 +6,9 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "textloom", **conf: str) -> SparkSession:
@@ -28,3 +29,10 @@ def shared_folder(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, worked out once and read back from the shared folder, however often they are used."""
+    path = f"{shared_folder(df.sparkSession)}/textloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
