@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, chunking, retrieval, sections, store, toc, vector_index
+from ..operators import answers, block_index, chunking, retrieval, sections, store, toc, vector_index
 from ..session import shared_folder
 from ..sources import tables
 from ..sources.tables import table
@@ -198,6 +198,21 @@ def q_bm25_batch(s, d):
     return retrieval.ranked(_bm25(s, d), 10)
 
 
+_BLOCKS: dict[tuple, block_index.BlockIndex] = {}
+
+
+def _blocks(s, d) -> block_index.BlockIndex:
+    key = s.sparkContext.applicationId, d
+    if key not in _BLOCKS:
+        _BLOCKS[key] = block_index.BlockIndex.build(_docs(s, d).select("doc_id", "text"), f"{shared_folder(s)}/textloom/blocks-{uuid.uuid4().hex}")
+    return _BLOCKS[key]
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM kr WHERE rank <= 10")
+def q_bm25_pruned(s, d):
+    return _blocks(s, d).topk(_asked(s, d), 10)
+
+
 @query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM kr WHERE query_id = 0 AND rank <= 20")
 def q_bm25_topk(s, d):
     return retrieval.ranked(retrieval.bm25(_index(s, d), _asked(s, d).where("query_id = 0")), 20)
