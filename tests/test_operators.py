@@ -334,3 +334,9 @@ def test_token_counter_by_vocabulary():
     import public_tokenizers
 
     assert chunking.bpe_count(public_tokenizers.path("byte_bpe_50k.json"))("hello world") == 2
+
+
+def test_an_element_ends_with_its_own_tag(spark):
+    html = "<table><tr><td><p>a</p></td><td><p>b</p></td></tr></table><li><p>c</p> d</li><p>e<p>f</p><pre>g</pre><h1>x</h2>y</h1>"
+    got = tables.html_elements(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).collect()
+    assert [(r.type, r.text) for r in got] == [("table", "ab"), ("list_item", "c d"), ("text", "ef"), ("heading", "xy")]

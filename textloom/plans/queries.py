@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answers, block_index, chunking, retrieval, sections, store, toc, vector_index
 from ..session import shared_folder
-from ..sources import tables
+from ..sources import page_files, tables
 from ..sources.tables import table
 from . import derived
 from .derived import FOUND, PAGES, RANGES, SPEC, TOC
@@ -93,6 +93,19 @@ def q_vector_index(s, d):
     return _vector_index(s, d).search(asked, 10, probes=None, candidates=None)
 
 
+@query("SELECT CAST(page_id // 40 AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY page_id // 40 ORDER BY page_id) AS INTEGER) AS page_no, md5(translate(coalesce(html, ''), chr(12) || chr(13), ' ' || chr(10))) AS text_md5 FROM pages")
+def q_page_files(s, d):
+    """All pages, written as files of 40 pages and read back by the data source, a task a file."""
+    n = F.row_number().over(Window.partitionBy(F.expr("page_id div 40")).orderBy("page_id"))
+    folder = f"{shared_folder(s)}/textloom/page-files-{uuid.uuid4().hex}"
+    page_files.write(table(s, d, "pages").select(F.expr("page_id div 40").cast("string").alias("doc_id"), n.alias("page_no"), F.col("html").alias("text")), folder)
+    return page_files.read(s, folder).select("doc_id", "page_no", F.md5("text").alias("text_md5"))
+
+
+# One pattern for each tag, as RE2 knows no references back.
+_TAGGED = "(?s)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}>" for t in tables.TAGS)
+
+
 # --- text basics
 
 _TOK = r"list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')"
@@ -603,9 +616,10 @@ def q_common_parent(s, d):
 
 
 @query(r"""WITH b AS (SELECT page_id, regexp_replace(html, '(?s)<(script|style)\b.*?</(script|style)>', '', 'g') AS h FROM pages),
-e AS (SELECT page_id, unnest(regexp_extract_all(h, 'ELEMENT_TAGS', 1)) AS tag, unnest(regexp_extract_all(h, 'ELEMENT_TAGS', 2)) AS body, unnest(range(len(regexp_extract_all(h, 'ELEMENT_TAGS', 1)))) AS elem_idx FROM b),
+em AS (SELECT page_id, unnest(regexp_extract_all(h, 'ELEMENT_TAGS')) AS m, unnest(range(len(regexp_extract_all(h, 'ELEMENT_TAGS')))) AS elem_idx FROM b),
+e AS (SELECT page_id, regexp_extract(m, '^<(\w+)', 1) AS tag, regexp_replace(regexp_replace(m, '^<[^>]*>', ''), '</\w+>$', '') AS body, elem_idx FROM em),
 t AS (SELECT page_id, elem_idx, CASE WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'li' THEN 'list_item' WHEN tag = 'figcaption' THEN 'figure_caption' ELSE 'text' END AS type, trim(regexp_replace(regexp_replace(body, '<[^>]*>', '', 'g'), '[ \t\n\r]+', ' ', 'g')) AS text FROM e)
-SELECT page_id, elem_idx, type, text, CAST(CASE WHEN length(text) < 30 THEN 1 WHEN length(text) < 60 THEN 2 ELSE 3 END AS BIGINT) AS level, last_value(CASE WHEN type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY elem_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section_title FROM t WHERE text <> ''""".replace("ELEMENT_TAGS", tables.ELEMENT))
+SELECT page_id, elem_idx, type, text, CAST(CASE WHEN length(text) < 30 THEN 1 WHEN length(text) < 60 THEN 2 ELSE 3 END AS BIGINT) AS level, last_value(CASE WHEN type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY elem_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section_title FROM t WHERE text <> ''""".replace("ELEMENT_TAGS", _TAGGED))
 def q_elements(s, d):
     e = tables.html_elements(table(s, d, "pages"))
     w = Window.partitionBy("page_id").orderBy("elem_idx").rowsBetween(Window.unboundedPreceding, -1)
@@ -633,7 +647,8 @@ def q_pack_truncate(s, d):
 
 
 _ELEMENTS = rf"""hb AS (SELECT page_id, regexp_replace(html, '(?s)<(script|style)\b.*?</(script|style)>', '', 'g') AS h FROM pages),
-he AS (SELECT page_id, unnest(regexp_extract_all(h, '{tables.ELEMENT}', 1)) AS tag, unnest(regexp_extract_all(h, '{tables.ELEMENT}', 2)) AS body, unnest(range(len(regexp_extract_all(h, '{tables.ELEMENT}', 1)))) AS elem_idx FROM hb),
+hm AS (SELECT page_id, unnest(regexp_extract_all(h, '{_TAGGED}')) AS m, unnest(range(len(regexp_extract_all(h, '{_TAGGED}')))) AS elem_idx FROM hb),
+he AS (SELECT page_id, regexp_extract(m, '^<(\w+)', 1) AS tag, regexp_replace(regexp_replace(m, '^<[^>]*>', ''), '</\w+>$', '') AS body, elem_idx FROM hm),
 ht AS (SELECT page_id, elem_idx, tag, trim(regexp_replace(regexp_replace(body, '<[^>]*>', '', 'g'), '[ \t\n\r]+', ' ', 'g')) AS text FROM he),
 el AS (SELECT page_id AS doc_id, row_number() OVER (PARTITION BY page_id ORDER BY elem_idx) AS i, text, length(text) // 4 AS n, CASE WHEN length(text) % 5 = 0 THEN 'table' ELSE 'text' END AS type, [1 + elem_idx // 3] AS pages,
   CASE WHEN elem_idx < 2 THEN NULL WHEN (elem_idx // 4) % 4 = 3 THEN 'Overview' ELSE '6.' || (1 + (elem_idx // 4) % 3) || CASE WHEN page_id % 2 = 0 THEN '.1.' || elem_idx % 3 ELSE '' END || ' Part' END AS title FROM ht WHERE text <> '')"""

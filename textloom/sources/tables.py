@@ -13,7 +13,9 @@ from ..functions import text as T
 
 
 # Fixed value: the tags that make an element.
-ELEMENT = r"(?s)<(h[1-3]|p|li|figcaption|table)\b[^>]*>(.*?)</(?:h[1-3]|p|li|figcaption|table)>"
+TAGS = ("h1", "h2", "h3", "p", "li", "figcaption", "table")
+#: An element ends with the closing tag of its own kind, so that a table keeps the paragraphs in its cells.
+ELEMENT = rf"(?s)<({'|'.join(TAGS)})\b[^>]*>(.*?)</\1>"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
