@@ -124,21 +124,6 @@ def stored_chunks(chunks: DataFrame, entries: DataFrame | None = None) -> DataFr
     )
 
 
-def covered_pages(ranges: DataFrame) -> DataFrame:
-    return ranges.select("spec_id", F.explode(F.sequence("page_start", "page_end")).alias("page_no")).distinct()
-
-
-def uncovered_pages(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    return pages.select("spec_id", F.col("page_no").cast("long").alias("page_no")).subtract(covered_pages(ranges))
-
-
-def islands(pages: DataFrame) -> DataFrame:
-    """Runs of consecutive ``(spec_id, page_no)``."""
-    w = Window.partitionBy("spec_id").orderBy("page_no")
-    runs = pages.withColumn("g", F.col("page_no") - F.row_number().over(w))
-    return runs.groupBy("spec_id", "g").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page")).drop("g")
-
-
 def out_of_order(found: DataFrame) -> DataFrame:
     """Entries whose section key is below the previous one's, in page order."""
     w = Window.partitionBy("spec_id").orderBy("page_number", "ord")

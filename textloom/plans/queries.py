@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, block_index, chunking, retrieval, sections, store, toc, vector_index
+from ..operators import answers, block_index, chunking, intervals, retrieval, sections, store, toc, vector_index
 from ..session import shared_folder
 from ..sources import page_files, tables
 from ..sources.tables import table
@@ -497,7 +497,7 @@ def q_clean_content(s, d):
 @query(f"WITH {_RNG}, k AS (SELECT DISTINCT spec_id, unnest(range(page_start, page_end + 1)) AS page_no FROM rng WHERE level <= 2) SELECT spec_id, count(*) AS covered, max(last_page) AS total, round(100.0::DOUBLE * count(*) / max(last_page), 6) AS pct FROM k JOIN lastp USING (spec_id) GROUP BY spec_id")
 def q_coverage(s, d):
     last = derived.pages(s, d).groupBy("spec_id").agg(F.max("page_no").alias("last_page"))
-    got = toc.covered_pages(_ranges(s, d).where("level <= 2")).join(last, "spec_id").groupBy("spec_id").agg(F.count("*").alias("covered"), F.max("last_page").alias("total"))
+    got = intervals.covered(_ranges(s, d).where("level <= 2")).join(last.withColumnRenamed("last_page", "total"), "spec_id")
     return got.withColumn("pct", F.round(100.0 * F.col("covered") / F.col("total"), 6))
 
 
@@ -506,12 +506,12 @@ _OPEN = f"{_RNG}, k AS (SELECT DISTINCT spec_id, unnest(range(page_start, page_e
 
 @query(f"WITH {_OPEN} SELECT * FROM un")
 def q_uncovered_pages(s, d):
-    return toc.uncovered_pages(derived.pages(s, d), _ranges(s, d).where("level <= 2"))
+    return intervals.outside(derived.pages(s, d), _ranges(s, d).where("level <= 2"))
 
 
 @query(f"WITH {_OPEN}, g AS (SELECT *, page_no - row_number() OVER (PARTITION BY spec_id ORDER BY page_no) AS g FROM un) SELECT spec_id, min(page_no) AS first_page, max(page_no) AS last_page FROM g GROUP BY spec_id, g")
 def q_gap_islands(s, d):
-    return toc.islands(toc.uncovered_pages(derived.pages(s, d), _ranges(s, d).where("level <= 2")))
+    return intervals.islands(intervals.outside(derived.pages(s, d), _ranges(s, d).where("level <= 2")))
 
 
 @query(f"WITH {SPEC}, {FOUND} SELECT spec_id, level, count(*) AS n, array_to_string(list(section_number ORDER BY ord)[1:3], ',') AS examples FROM found GROUP BY ALL")

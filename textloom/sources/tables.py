@@ -14,6 +14,8 @@ from ..functions import text as T
 
 # Fixed value: the tags that make an element.
 TAGS = ("h1", "h2", "h3", "p", "li", "figcaption", "table")
+#: Pages of a bin, by which ranges and pages meet.
+BIN_PAGES = 64
 #: An element ends with the closing tag of its own kind, so that a table keeps the paragraphs in its cells.
 ELEMENT = rf"(?s)<({'|'.join(TAGS)})\b[^>]*>(.*?)</\1>"
 
@@ -38,9 +40,12 @@ def pages_from_binaries(spark: SparkSession, path: str, parse: Callable[[bytes],
 
 
 def page_range(pages: DataFrame, ranges: DataFrame, offset: int = 0) -> DataFrame:
-    """Pages of each ``ranges(spec_id, section_number, page_start, page_end)``: the range is spread to its pages and joined by equality."""
-    spread = ranges.select("spec_id", "section_number", F.explode(F.sequence(F.col("page_start") + offset, F.col("page_end") + offset)).alias("page_no"))
-    return spread.join(pages, ["spec_id", "page_no"])
+    """Pages of each ``ranges(spec_id, section_number, page_start, page_end)``: a range goes to its bins of ``BIN_PAGES`` pages, a page to its own."""
+    first, last = (F.col(c) + offset for c in ("page_start", "page_end"))
+    bin_of = lambda page: F.floor(page / BIN_PAGES)
+    spread = ranges.where("page_start <= page_end").select("spec_id", "section_number", first.alias("_first"), last.alias("_last"), F.explode(F.sequence(bin_of(first), bin_of(last))).alias("_bin"))
+    found = pages.withColumn("_bin", bin_of(F.col("page_no"))).join(spread, ["spec_id", "_bin"])
+    return found.where(F.col("page_no").between(F.col("_first"), F.col("_last"))).drop("_bin", "_first", "_last")
 
 
 def range_content(pages: DataFrame, ranges: DataFrame, offset: int = 0) -> DataFrame:
