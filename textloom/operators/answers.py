@@ -36,20 +36,23 @@ def instructions(query_type) -> Column:
     return out
 
 
-def expand(query) -> Column:
-    """Query expansion: the query itself."""
-    return F.col(query)
-
-
 def entities(text) -> Column:
     """Distinct capitalised words of four letters or more, sorted: a stand-in for a model's entities."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[A-Z][a-z]{3,}"), F.lit(0))))
 
 
-def plan(queries: DataFrame, top_k: int | None = None, min_score: float | None = None, strategy: str | None = None) -> DataFrame:
+def found_entities(rows: DataFrame, find: Callable[[dict], list] | None = None) -> DataFrame:
+    """Rows with ``entities``, sorted and distinct: what ``find`` names in a row, or ``entities`` of its text. Where it fails there are none, and ``entities_error`` says why."""
+    if find is None:
+        return rows.withColumns({"entities": entities("text"), "entities_error": F.lit(None).cast("string")})
+    out = with_results(rows, lambda r: {"names": [str(x) for x in find(r)]}, "names array<string>", "_found")
+    return out.withColumn("entities", F.array_sort(F.array_distinct(F.coalesce("_found.names", F.array().cast("array<string>"))))).withColumnRenamed("_found_error", "entities_error").drop("_found")
+
+
+def plan(queries: DataFrame, top_k: int | None = None, min_score: float | None = None, strategy: str | None = None, classifier: Callable[[dict], str] | None = None) -> DataFrame:
     """``queries(query_id, text)`` with ``query_type``, ``strategy``, ``top_k`` and ``min_score``: the router's, or the caller's where given.
     Types and strategies that are not known fall back to vectors."""
-    routed = retrieval.route(queries)
+    routed = retrieval.route(queries, classifier)
     pick = lambda given, column: F.col(column) if given is None else F.lit(given)
     return routed.select(
         "query_id", "text", "query_type", F.when(pick(strategy, "strategy") == "hybrid", "hybrid").otherwise("vector").alias("strategy"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, block_index, chunking, intervals, retrieval, sections, store, toc, vector_index
+from ..operators import answers, block_index, chunking, classifier, intervals, retrieval, sections, store, toc, vector_index
 from ..session import shared_folder
 from ..sources import page_files, tables
 from ..sources.tables import table
@@ -236,6 +236,43 @@ def q_bm25_doc_filter(s, d):
     return retrieval.ranked(_bm25(s, d).join(_docs(s, d).where("source = 'src3'").select("doc_id"), "doc_id", "left_semi"), 5)
 
 
+_FEED = rf"""{_BM25}, hs AS (SELECT query_id, doc_id, score / sum(score) OVER (PARTITION BY query_id) AS share FROM kr WHERE rank <= 10),
+hw AS (SELECT query_id, share, len(w) AS n, unnest(w) AS term FROM hs JOIN w USING (doc_id)), fw AS (SELECT query_id, term, round(sum(share / n), 9) AS fed FROM hw GROUP BY ALL),
+fp AS (SELECT * FROM fw QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fed DESC, term) <= 10), qn AS (SELECT query_id, sum(times) AS n FROM q GROUP BY ALL),
+ow AS (SELECT query_id, term, round(times::DOUBLE / n, 9) AS asked FROM q JOIN qn USING (query_id)),
+ex AS (SELECT query_id, term, CASE WHEN query_id IN (SELECT query_id FROM fp) THEN 0.5::DOUBLE * coalesce(asked, 0) + 0.5::DOUBLE * coalesce(fed, 0) ELSE asked END AS times FROM ow FULL JOIN fp USING (query_id, term))"""
+
+
+def _expanded(s, d):
+    return retrieval.expanded(_asked(s, d), retrieval.ranked(_bm25(s, d), 10), _docs(s, d).select("doc_id", "text"))
+
+
+@query(f"WITH {_FEED} SELECT query_id, term, round(times + 1e-12::DOUBLE, 6) AS weight FROM ex WHERE times > 0")
+def q_query_expansion(s, d):
+    return _expanded(s, d).select("query_id", "term", F.round(F.col("times") + 1e-12, 6).alias("weight"))
+
+
+@query(f"""WITH {_FEED}, es AS (SELECT query_id, tf.doc_id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM ex JOIN tf USING (term) JOIN idf USING (term) JOIN dl ON dl.doc_id = tf.doc_id, st WHERE times > 0 GROUP BY ALL)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM es WHERE score > 0 QUALIFY rank <= 10""")
+def q_expanded_search(s, d):
+    return retrieval.ranked(retrieval.bm25_weighted(_index(s, d), _expanded(s, d)), 10)
+
+
+_BAYES = rf"""ex AS (SELECT lang AS label, coalesce(text, '') AS text FROM documents WHERE lang IS NOT NULL), ew AS (SELECT label, unnest({_TOK}) AS term FROM ex), tn AS (SELECT term, label, count(*) AS n FROM ew GROUP BY ALL),
+sz AS (SELECT count(DISTINCT term) AS v FROM tn), tt AS (SELECT label, sum(n) AS total FROM tn GROUP BY ALL),
+lb AS (SELECT label, ln(count(*)) - ln((SELECT count(*) FROM ex)) AS prior FROM ex GROUP BY label), lm AS (SELECT label, prior, -ln((coalesce(total, 0) + v)::DOUBLE) AS unseen FROM lb LEFT JOIN tt USING (label), sz),
+cw AS (SELECT conv_id, turn, term, count(*) AS times FROM (SELECT conv_id, turn, unnest({_TOK}) AS term FROM conversations) WHERE term IN (SELECT term FROM tn) GROUP BY ALL), cs AS (SELECT conv_id, turn, sum(times) AS size FROM cw GROUP BY ALL),
+gn AS (SELECT conv_id, turn, label, sum(times * ln(n + 1.0::DOUBLE)) AS gained FROM cw JOIN tn USING (term) GROUP BY ALL),
+sc AS (SELECT c.conv_id, c.turn, l.label, round(prior + coalesce(size, 0) * unseen + coalesce(gained, 0), 6) AS score FROM conversations c CROSS JOIN lm l LEFT JOIN cs ON cs.conv_id = c.conv_id AND cs.turn = c.turn LEFT JOIN gn ON gn.conv_id = c.conv_id AND gn.turn = c.turn AND gn.label = l.label)"""
+
+
+@query(f"WITH {_BAYES} SELECT conv_id, turn, label, round(score, 4) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, label) = 1")
+def q_naive_bayes(s, d):
+    """Languages of the turns, by a model of the documents."""
+    model = classifier.fit(_docs(s, d).select("text", F.col("lang").alias("label")))
+    return classifier.classify(table(s, d, "conversations"), model, "conv_id", "turn").select("conv_id", "turn", "label", F.round("score", 4).alias("score"))
+
+
 @query(f"WITH {_POST} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, round(m, 6) AS mean_idf FROM st, me")
 def q_bm25_stats(s, d):
     return _index(s, d).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
