@@ -278,15 +278,14 @@ def q_bm25_stats(s, d):
     return _index(s, d).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
 
 
-_RRF = f"""{_VEC}, {_BM25}, l AS (SELECT query_id // 100 AS query_id, vec_id AS doc_id, rank AS v, NULL AS k FROM vr WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, NULL, rank FROM kr WHERE rank <= 20 AND query_id IN (SELECT vec_id // 100 FROM embeddings WHERE vec_id % 100 = 0)),
+_RRF = f"""{_VEC}, {_BM25}, l AS (SELECT query_id // 100 AS query_id, vec_id AS doc_id, rank AS v, NULL AS k FROM vr WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, NULL, rank FROM kr WHERE rank <= 20),
 fu AS (SELECT query_id, doc_id, max(v) AS v_rank, max(k) AS k_rank FROM l GROUP BY ALL), fs AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + v_rank), 0) + coalesce(1.0::DOUBLE / (60 + k_rank), 0), 9) AS score FROM fu),
 rrf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v_rank NULLS LAST, k_rank NULLS LAST) AS rank FROM fs)"""
 
 
 def _legs(s, d, k=20):
     v = _vector(s, d, k).select(F.expr("query_id div 100").alias("query_id"), F.col("vec_id").alias("doc_id"), "rank")
-    asked = table(s, d, "embeddings").where("vec_id % 100 = 0").select(F.expr("vec_id div 100").alias("query_id"))
-    return v, retrieval.ranked(retrieval.bm25(_index(s, d), _asked(s, d).join(asked, "query_id", "left_semi")), k).select("query_id", "doc_id", "rank")
+    return v, retrieval.ranked(_bm25(s, d), k).select("query_id", "doc_id", "rank")
 
 
 @query(f"WITH {_RRF} SELECT query_id, doc_id, score, rank FROM rrf WHERE rank <= 10")
@@ -338,22 +337,23 @@ def q_citation_extract(s, d):
     return _answers(s, d).select("conv_id", "turn", F.array_join(T.citations("answer"), ",").alias("cited"))
 
 
-@query(rf"WITH {_HIT}, {_ANS}, c AS (SELECT DISTINCT conv_id, turn, unnest({_CITE}) AS number FROM ans) SELECT conv_id, turn, number, vec_id, substr(text, 1, 200) || '...' AS text_preview FROM c JOIN hit ON rank = number AND query_id = 0")
+@query(rf"WITH {_HIT}, {_ANS}, c AS (SELECT DISTINCT conv_id, turn, unnest({_CITE}) AS number FROM ans) SELECT conv_id, turn, number, vec_id, substr(text, 1, 200) || '...' AS text_preview FROM c JOIN hit ON rank = number AND query_id = 100 * (conv_id % 7)")
 def q_citation_join(s, d):
     cited = _answers(s, d).select("conv_id", "turn", F.explode(T.citations("answer")).alias("number"))
-    hits = _hits(s, d).where("query_id = 0").select(F.col("rank").alias("number"), "vec_id", T.preview("text").alias("text_preview"))
-    return cited.join(hits, "number").select("conv_id", "turn", "number", "vec_id", "text_preview")
+    cited = cited.withColumn("query_id", 100 * (F.col("conv_id") % 7))
+    hits = _hits(s, d).select("query_id", F.col("rank").alias("number"), "vec_id", T.preview("text").alias("text_preview"))
+    return cited.join(hits, ["query_id", "number"]).select("conv_id", "turn", "number", "vec_id", "text_preview")
 
 
-@query(rf"""WITH {_VEC}, top AS (SELECT query_id // 100 AS k, max(score) AS sc FROM vr WHERE rank = 2 GROUP BY ALL),
+@query(rf"""WITH {_VEC}, top AS (SELECT query_id // 100 AS k, rank, score AS sc FROM vr WHERE rank <= 10),
 a AS (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN text || ' [1]' WHEN 1 THEN 'Unable to determine. ' || text ELSE text END AS answer FROM conversations WHERE role = 'assistant'),
 c AS (SELECT conv_id, turn, round(CASE WHEN sc IS NULL THEN 0 WHEN contains(lower(answer), 'i cannot answer') OR contains(lower(answer), 'not found in the context') OR contains(lower(answer), 'insufficient information') OR contains(lower(answer), 'context doesn''t contain') OR contains(lower(answer), 'unable to determine') THEN greatest(0.3::DOUBLE, sc * 0.5::DOUBLE)
-  WHEN NOT regexp_matches(answer, '\[\d+\]') THEN greatest(0.4::DOUBLE, sc * 0.6::DOUBLE) ELSE least(1.0::DOUBLE, sc * 1.1::DOUBLE) END, 6) AS confidence FROM a LEFT JOIN top ON k = conv_id % 7)
+  WHEN NOT regexp_matches(answer, '\[\d+\]') THEN greatest(0.4::DOUBLE, sc * 0.6::DOUBLE) ELSE least(1.0::DOUBLE, sc * 1.1::DOUBLE) END, 6) AS confidence FROM a LEFT JOIN top ON k = conv_id % 7 AND rank = 1 + turn % 10)
 SELECT *, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS bucket FROM c""")
 def q_confidence(s, d):
-    top = _vector(s, d, 10).where("rank = 2").select(F.expr("query_id div 100").alias("k"), F.col("score").alias("sc"))
+    top = _vector(s, d, 10).select(F.expr("query_id div 100").alias("k"), "rank", F.col("score").alias("sc"))
     a = F.when(F.col("conv_id") % 3 == 0, F.concat("text", F.lit(" [1]"))).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("Unable to determine. "), "text")).otherwise(F.col("text"))
-    rows = table(s, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", a.alias("answer"), (F.col("conv_id") % 7).alias("k")).join(top, "k", "left")
+    rows = table(s, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", a.alias("answer"), (F.col("conv_id") % 7).alias("k"), (1 + F.col("turn") % 10).cast("long").alias("rank")).join(top, ["k", "rank"], "left")
     rows = rows.select("conv_id", "turn", F.round(T.confidence("sc", "answer"), 6).alias("confidence"))
     return rows.withColumn("bucket", F.when(F.col("confidence") >= 0.8, "high").when(F.col("confidence") >= 0.6, "medium").otherwise("low"))
 
@@ -579,9 +579,9 @@ def q_toc_quality(s, d):
     return toc.toc_quality(derived.entries(s, d).withColumn("section_title", title).withColumn("ord", ord_))
 
 
-@query(f"WITH {SPEC}, {FOUND} SELECT spec_id, section_number, page_number FROM found UNION ALL SELECT spec_id, section_number || '.1', page_number FROM spec WHERE doc_id % 50 = 0")
+@query(f"WITH {SPEC}, {FOUND} SELECT spec_id, section_number, page_number FROM found UNION ALL SELECT spec_id, section_number || '.1', page_number FROM spec")
 def q_union_toc(s, d):
-    extra = derived.spec(s, d).where("doc_id % 50 = 0").select("spec_id", F.concat("section_number", F.lit(".1")).alias("section_number"), "page_number")
+    extra = derived.spec(s, d).select("spec_id", F.concat("section_number", F.lit(".1")).alias("section_number"), "page_number")
     return toc.with_parents(derived.entries(s, d)).select("spec_id", "section_number", "page_number").unionByName(extra)
 
 
