@@ -757,7 +757,7 @@ def q_heading_stack(s, d):
     """Every fourth element is made a heading."""
     e = _elements(s, d).select("doc_id", "elem_idx", "text")
     e = e.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("elem_idx")).cast("long"))
-    return tables.with_sections(e.withColumn("type", F.when(F.col("i") % 4 == 1, "heading").otherwise("text"))).select("doc_id", "i", "section_title", "section_path")
+    return tables.with_sections(e.withColumn("type", F.when(F.col("i") % 4 == 1, "heading").otherwise("text")), spread=True).select("doc_id", "i", "section_title", "section_path")
 
 
 # --- quality and evaluation

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .heading_stack import push, spread_sections
 
 
 # Fixed value: the tags that make an element.
@@ -65,23 +66,20 @@ def html_elements(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", F.col("pos").cast("long").alias("elem_idx"), kind.alias("type"), text.alias("text")).where("text <> ''")
 
 
-def with_sections(elements: DataFrame, validated: bool = False) -> DataFrame:
+def with_sections(elements: DataFrame, validated: bool = False, spread: bool = False) -> DataFrame:
     """``elements(doc_id, elem_idx, type, text, ...)`` with ``section_title`` and ``section_path``: the latest heading before an element, and the headings above
     each other, joined by ' > '; a heading still has those before it. Nulls before the first one.
 
-    A heading's level comes from its length; ``validated``: from its number, and headings that are none (captions, page numbers, too long) change nothing. A document
-    streams through one task; equal ``elem_idx`` go by text.
+    A heading's level comes from its length; ``validated``: from its number, 4 at most, and headings that are none (captions, page numbers, too long) change nothing. A document
+    streams through one task, or, with ``spread``, through as many as its blocks need; equal ``elem_idx`` go by text. A heading without a text is none.
     """
-    level = T.heading_level("text") if validated else T.level_by_length("text")
-    rows = elements.withColumn("_level", F.when(F.col("type") == "heading", level).cast("int"))
+    level = F.least(T.heading_level("text"), F.lit(4)) if validated else T.level_by_length("text")
+    rows = elements.withColumn("_level", F.when((F.col("type") == "heading") & F.col("text").isNotNull(), level).cast("int"))
+    if spread:
+        return spread_sections(rows).drop("_level")
     out = rows.withColumns({"section_title": F.lit(None).cast("string"), "section_path": F.lit(None).cast("string")})
     names = out.columns
 
-    def after(path: list[str], n: int, text: str) -> list[str]:
-        if validated:
-            return [*path[: min(n, 4) - 1], text]
-        return [text] if n == 1 else [*path[: n - 1], text] if len(path) >= n - 1 else [*path, text]
-
     def run(batches):
         doc, path, title, fresh = None, [], None, True
         for batch in batches:
@@ -92,7 +90,7 @@ def with_sections(elements: DataFrame, validated: bool = False) -> DataFrame:
                 titles.append(title)
                 paths.append(" > ".join(path) if path else None)
                 if n is not None:
-                    path, title = after(path, n, text), text
+                    path, title = push(path, n, text), text
             columns = [*(batch.column(k) for k in range(batch.num_columns - 2)), pa.array(titles, pa.string()), pa.array(paths, pa.string())]
             yield pa.record_batch(columns, names=names)
 
