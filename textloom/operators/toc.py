@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 
 
 def toc_pages(pages: DataFrame, search: int = 30) -> DataFrame:
@@ -114,6 +115,7 @@ def stored_chunks(chunks: DataFrame, entries: DataFrame | None = None) -> DataFr
     The path runs over ``entries`` (default: the chunks) and ends in the subtitle, if there is one; a chunk cites its start page (0 if unknown). Ids are hashes of
     document, section, start page and index, so ingesting again gives the same ones.
     """
+    chunks = written(chunks, "sections")
     paths = section_paths(chunks.select("spec_id", "section_number", "section_title"), entries)
     index = F.col("chunk_index") if "chunk_index" in chunks.columns else F.lit(0)
     out = chunks.join(paths, ["spec_id", "section_number", "section_title"], "left")
@@ -155,12 +157,12 @@ def chunk_document(pages: DataFrame, page_offset: int = 0) -> DataFrame:
     ``pages(spec_id, page_no, text)``; entry pages are ``page_offset`` below the page numbers. A document without a table of contents gives no rows; a section
     whose pages have no text has none either.
     """
-    found = with_parents(first_of_each(entries(toc_pages(pages))))
+    found = written(with_parents(first_of_each(entries(toc_pages(pages)))), "entries")
     last = pages.groupBy("spec_id").agg((F.max("page_no") - page_offset).cast("long").alias("last_page"))
     ranges = page_ranges(found, last)
     subs = subsections(ranges, pages.withColumn("page_no", F.col("page_no") - page_offset))
     subs = subs.select("spec_id", "section_number", "section_title", "level", F.lit(False).alias("inferred"), F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"))
-    every = ranges.select(subs.columns).unionByName(subs)
+    every = written(ranges.select(subs.columns).unionByName(subs), "ranges")
     from ..sources.tables import range_content
 
     texts = range_content(pages, every.select("spec_id", "section_number", "page_start", "page_end").distinct(), page_offset)
