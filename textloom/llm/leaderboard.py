@@ -12,9 +12,9 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .runtime import fresh_path, make_path, materialize, move, releasing
 
+if TYPE_CHECKING:  # the driver of other queries does without it
+    import pandas as pd
+
 TOP = 10
 BATCHES = 10
 #: Days by which a line may lie behind the latest day of the batches before its own.
@@ -86,6 +89,8 @@ class Shard(StatefulProcessor):
         self.saved = handle.getValueState("board", "items binary, cents binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         parts = [[p[c].to_numpy(np.int64) for c in ("day", "item_id", "cents")] for p in rows]
         days, items, cents = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((items, days))
@@ -122,6 +127,8 @@ class Shard(StatefulProcessor):
 
 def replay(news: pd.DataFrame, top: int = TOP) -> pd.DataFrame:
     """A nation's feed from the news of its shards: the board's changes, day by day, from an empty board on."""
+    import pandas as pd
+
     nation = int(news["nation_id"].iloc[0])
     days, items, revenues, on = (np.concatenate([np.asarray(x) for x in news[c]]) for c in ("day", "item_id", "revenue", "on_board"))
     order = np.argsort(days, kind="stable")
