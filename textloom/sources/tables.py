@@ -73,7 +73,8 @@ def with_sections(elements: DataFrame, validated: bool = False, spread: bool = F
     A heading's level comes from its length; ``validated``: from its number, 4 at most, and headings that are none (captions, page numbers, too long) change nothing. A document
     streams through one task, or, with ``spread``, through as many as its blocks need; equal ``elem_idx`` go by text. A heading without a text is none.
     """
-    level = F.least(T.heading_level("text"), F.lit(4)) if validated else T.level_by_length("text")
+    level = T.heading_level("text") if validated else T.level_by_length("text")
+    level = F.when(level > 4, 4).otherwise(level) if validated else level
     rows = elements.withColumn("_level", F.when((F.col("type") == "heading") & F.col("text").isNotNull(), level).cast("int"))
     if spread:
         return spread_sections(rows).drop("_level")
