@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answers, block_index, chunking, classifier, intervals, retrieval, sections, store, toc, vector_index
-from ..session import shared_folder
+from ..session import shared_folder, written
 from ..sources import page_files, tables
 from ..sources.tables import table
 from . import derived
@@ -857,7 +857,7 @@ def _questions(s, d):
     """Planned questions, hits by hashed vectors and by words, and the chunks: documents, asked by the benchmark's items."""
     docs = _docs(s, d)
     planned = answers.plan(_asked(s, d))
-    base = docs.select("doc_id", retrieval.hashed_vector("text").alias("embedding"))
+    base = written(docs.select("doc_id", retrieval.hashed_vector("text").alias("embedding")), "hashed")
     vector = retrieval.vector_topk(base, planned.select("query_id", retrieval.hashed_vector("text").alias("embedding")), 30, "doc_id")
     keyword = retrieval.ranked(retrieval.bm25(_index(s, d), planned), 30)
     chunks = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.concat_ws(" > ", "source", "lang").alias("section_path"), F.array(F.col("doc_id") % 97).alias("pages"), "source")
