@@ -1,56 +1,72 @@
-"""BM25 postings in blocks with their highest impact, and a search that reads only blocks that can still matter.
+"""Bounds on BM25 scores by range of documents, and a search that scores only ranges that can still matter.
 
-A block holds one term's postings within one range of documents; ranges are the same for all terms, so that the impacts of a query's blocks in a range add up to a bound for
-every document there. A search works in steps, all of them joins and aggregations:
+A range is a few documents that lie beside each other in a task of the build, so that the tables are written where the texts are read and nothing is shuffled. For each range and term the index
+knows the highest part of a score that a document can get, without the term's weight. A search works in steps:
 
-1. bounds: for each query and range the sum of its terms' block impacts, read from a narrow table without postings;
+1. bounds: for each query and range the sum of its terms' highest parts times their weights, read from a narrow table without documents;
 2. a first guess: the ``FIRST_RANGES`` ranges of the highest bounds are scored; a query's k-th best score there is its threshold;
-3. the rest: ranges whose bound reaches the threshold are scored, the others are never read.
+3. the rest: ranges whose bound reaches the threshold are scored, the others are not.
 
-Scores are those of ``retrieval.bm25``. Where a query has a term of negative weight, block impacts bound nothing, and all its ranges are scored.
+Scores are those of ``retrieval.bm25``. Where a query has a term of negative weight, the parts bound nothing, and all its ranges are scored.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..session import written
-from .retrieval import bm25_stats, postings
+from .retrieval import RANGE_DOCS, Bm25Index, asked_words, ranked, scores, small, term_weights
 
-#: Documents of a range, about: they are dealt to ranges by a hash of their id.
-RANGE_DOCS = 64
 #: Ranges scored for a first threshold, for each query.
 FIRST_RANGES = 8
 
 
+def _highest(avgdl: float, k1: float, b: float):
+    """Rows of documents -> ``(rng, term, part)``: the highest part of each term of a range; twice, if a task's batches cut the range, which only lifts its bound."""
+
+    def run(batches):
+        for batch in batches:
+            own, begin = batch.column("rng").to_numpy(), 0
+            cuts = np.flatnonzero(np.diff(own)) + 1
+            for end in [*cuts.tolist(), len(own)]:
+                part = batch.slice(begin, end - begin)
+                begin = end
+                if not part.num_rows:
+                    continue
+                # a document of several lengths hits once for each: its parts add up
+                tf = part.column("tfs").flatten().to_numpy().astype(float)
+                row = np.repeat(np.arange(part.num_rows), part.column("tfs").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                value = np.zeros(len(tf))
+                lengths = part.column("dls").to_pylist()
+                for nth in range(max(map(len, lengths))):
+                    dl = np.array([np.inf if nth >= len(x) or x[nth] is None else x[nth] for x in lengths], float)[row]
+                    value += tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+                words = part.column("terms").flatten()
+                best = pa.table({"term": words, "part": value}).group_by("term").aggregate([("part", "max")])
+                for x in best.combine_chunks().to_batches(100_000):
+                    yield pa.record_batch([pa.array(np.full(x.num_rows, own[end - 1])), x.column("term"), x.column("part_max")], names=["rng", "term", "part"])
+
+    return run
+
+
 class BlockIndex:
-    """``blocks(term, rng, df, impact, docs)`` in the order of terms, ``bounds`` the same without postings, ``stats`` one row, as Parquet under ``path``."""
+    """A ``Bm25Index`` and ``bounds(rng, term, part)``, as Parquet under ``path``."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.blocks, self.bounds, self.stats = (spark.read.parquet(f"{path}/{t}") for t in ("blocks", "bounds", "stats"))
+        self.index, self.bounds = Bm25Index(spark, path), spark.read.parquet(f"{path}/bounds")
+        self.k1, self.b, self.epsilon = spark.read.parquet(f"{path}/fixed").select("k1", "b", "epsilon").first()
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, range_docs: int = RANGE_DOCS) -> BlockIndex:
-        """``chunks(doc_id, text)``; a doc_id is one document, null texts are documents without words. ``k1``, ``b`` and ``epsilon`` hold for all searches."""
+        """``chunks(doc_id, text)``; null texts are documents without words and length. ``k1``, ``b`` and ``epsilon`` hold for all searches."""
         spark = chunks.sparkSession
-        posted = postings(chunks)
-        posted.write.mode("overwrite").parquet(f"{path}/counts")
-        posted = spark.read.parquet(f"{path}/counts")
-        bm25_stats(posted, chunks).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-        stats = spark.read.parquet(f"{path}/stats")
-        ranges = max(1, (stats.first()["n_docs"] or 0) // range_docs)
-        n, d, tf = F.col("n_docs"), F.col("df"), F.col("tf")
-        raw = F.log(n - d + 0.5) - F.log(d + 0.5)
-        idf = F.when(raw < 0, epsilon * F.col("mean_idf")).otherwise(raw)
-        impact = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-        rng = F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int")
-        scored = posted.join(posted.groupBy("term").agg(F.count("*").alias("df")), "term").join(F.broadcast(stats))  # one row of statistics
-        scored = scored.select("term", rng.alias("rng"), "doc_id", impact.alias("impact"))
-        blocks = scored.groupBy("term", "rng").agg(F.max("impact").alias("impact"), F.min("impact").alias("least"), F.array_sort(F.collect_list(F.struct("doc_id", "impact"))).alias("docs"))
-        blocks.repartitionByRange("term", "rng").sortWithinPartitions("term", "rng").write.mode("overwrite").option("parquet.block.size", 8_000_000).parquet(f"{path}/blocks")
-        spark.read.parquet(f"{path}/blocks").drop("docs").write.mode("overwrite").option("parquet.block.size", 8_000_000).parquet(f"{path}/bounds")
+        index = Bm25Index.build(chunks, path, range_docs)
+        docs = index.docs.where("doc_id is not null").select("rng", "dls", "terms", "tfs")
+        docs.mapInArrow(_highest(index.stats.first()["avgdl"], k1, b), "rng long, term string, part double").write.mode("overwrite").parquet(f"{path}/bounds")
+        index.stats.select(*[F.lit(float(x)).alias(n) for n, x in (("k1", k1), ("b", b), ("epsilon", epsilon))]).coalesce(1).write.mode("overwrite").parquet(f"{path}/fixed")
         return cls(spark, path)
 
     def topk(self, queries: DataFrame, k: int, first_ranges: int = FIRST_RANGES) -> DataFrame:
@@ -59,29 +75,25 @@ class BlockIndex:
 
     def search(self, queries: DataFrame, k: int, first_ranges: int = FIRST_RANGES) -> tuple[DataFrame, DataFrame]:
         """The hits, and ``(query_id, ranges, scored)``: of how many ranges with a term of the query how many were scored."""
-        asked = queries.select("query_id", F.explode(T.tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        asked = written(asked, "asked")
-        both = self.bounds.join(asked, "term")
-        bounds = both.groupBy("query_id", "rng").agg(F.sum(F.col("times") * F.col("impact")).alias("bound"), F.min("least").alias("least"))
+        weights = term_weights(self.index, asked_words(queries), self.epsilon)
+        bounds = self.bounds.join(small(weights), "term").groupBy("query_id", "rng").agg(F.sum(F.col("weight") * F.col("part")).alias("bound"), F.min("weight").alias("least"))
+        bounds = written(bounds, "bounds")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "rng"))
-        signed = F.min("least").over(Window.partitionBy("query_id")) < 0
-        bounds = written(bounds.withColumn("first", (place <= first_ranges) | signed).select("query_id", "rng", "bound", "first"), "bounds")
-        guessed = written(self._scored(asked, bounds.where("first")), "guessed")
-        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-        least = guessed.where("score > 0").withColumn("n", nth).where(F.col("n") == k).select("query_id", F.col("score").alias("least"))
+        best = bounds.select("query_id", "rng", place.alias("place"), F.lit(True).alias("best")).where(F.col("place") <= first_ranges).drop("place")
+        first = bounds.join(small(written(best, "best")), ["query_id", "rng"], "left").where(F.coalesce("best", F.col("least") < 0)).select("query_id", "rng")
+        first = written(first, "first")
+        guessed = written(ranked(self._scored(weights, first, k), k), "guessed")
+        least = small(written(guessed.where(F.col("rank") == k).select("query_id", F.col("score").alias("reach")), "reached"))
         # scores are rounded to 6 places, so a bound within one more of the threshold may still tie with it
-        rest = bounds.where("not first").join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 2e-6)).select("query_id", "rng")
-        rest = written(rest, "rest")
-        every = guessed.unionByName(self._scored(asked, rest)).where("score > 0")
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-        hits = every.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-        read = bounds.where("first").select("query_id", "rng").union(rest).groupBy("query_id").agg(F.count("*").alias("scored"))
+        rest = bounds.join(least, "query_id", "left").where(F.col("reach").isNull() | (F.col("bound") >= F.col("reach") - 2e-6)).select("query_id", "rng")
+        rest = written(rest.join(small(first), ["query_id", "rng"], "left_anti"), "rest")
+        every = guessed.drop("rank").unionByName(self._scored(weights, rest, k))
+        read = first.union(rest).groupBy("query_id").agg(F.count("*").alias("scored"))
         work = bounds.groupBy("query_id").agg(F.count("*").alias("ranges")).join(read, "query_id", "left").fillna(0, ["scored"])
-        return hits, work
-
-    def _scored(self, asked: DataFrame, ranges: DataFrame) -> DataFrame:
-        """``(query_id, doc_id, score)`` of all documents of some queries' ranges."""
-        wanted = ranges.select("query_id", "rng").join(asked, "query_id")
-        found = self.blocks.select("term", "rng", "docs").join(wanted, ["term", "rng"])
-        rows = found.select("query_id", "times", F.explode("docs").alias("d"))
-        return rows.groupBy("query_id", F.col("d.doc_id").alias("doc_id")).agg(F.round(F.sum(F.col("times") * F.col("d.impact")), 6).alias("score"))
+        return ranked(every, k), work
+
+    def _scored(self, weights: DataFrame, ranges: DataFrame, k: int) -> DataFrame:
+        """``(query_id, doc_id, score)``: the best of each task among the documents of some queries' ranges; ranges that nobody asks for are not read on."""
+        asking = small(written(ranges.groupBy("rng").agg(F.collect_list("query_id").alias("asking")), "asking"))
+        docs = self.index.docs.join(asking, "rng").select("doc_id", "dls", "terms", "tfs", "asking")
+        return scores(self.index, weights, k, self.k1, self.b, docs)
