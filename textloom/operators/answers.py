@@ -75,7 +75,8 @@ def retrieve(planned: DataFrame, vector: DataFrame, keyword: DataFrame, chunks:
     most = planned.agg(F.max("top_k")).first()[0] or 0
     fused = retrieval.rrf(found.where(hybrid).select("query_id", "doc_id", "rank"), words.select("query_id", "doc_id", "rank"), most)
     fused = fused.join(asked.select("query_id", "top_k"), "query_id").where("rank <= top_k").select("query_id", "doc_id", "score", "rank")
-    hits = found.where(~hybrid).select("query_id", "doc_id", "score", "rank").unionByName(fused).join(chunks, "doc_id")
+    hits = retrieval.small(written(found.where(~hybrid).select("query_id", "doc_id", "score", "rank").unionByName(fused), "hits"))
+    hits = chunks.join(hits, "doc_id")  # chunks stay where they are read, unless there are many hits
     hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "doc_id")).cast("long"))
     if rerank:
         several = F.count("*").over(Window.partitionBy("query_id")) > 1
@@ -92,9 +93,9 @@ def search(planned: DataFrame, asked: DataFrame, chunks: DataFrame, index: retri
     """
     own = store.filtered(chunks, registry, doc_id, protocol, active_only)
     vector = retrieval.vector_topk(own, asked, deep, "chunk_id").withColumnRenamed("chunk_id", "doc_id")
-    scored = retrieval.bm25(index, planned).join(own.select(F.col("chunk_id").alias("doc_id")), "doc_id", "left_semi")
+    keyword = retrieval.bm25_topk(index, planned, deep, own.select(F.col("chunk_id").alias("doc_id")))
     payload = own.withColumn("of_doc", F.col("doc_id")).drop("doc_id", "embedding").withColumnRenamed("chunk_id", "doc_id")
-    return retrieve(planned, vector, retrieval.ranked(scored, deep), payload, rerank)
+    return retrieve(planned, vector, keyword, payload, rerank)
 
 
 def extract(hits: DataFrame, most: int = 3, chars: int = 160) -> DataFrame:
@@ -124,6 +125,7 @@ def answer(planned: DataFrame, hits: DataFrame, generate: Callable[[dict], str |
     ``prompt_tokens`` and ``completion_tokens``. It is called once a question: what it said is written down before anything is read from it. If it raises, the answer says so, cites
     nothing and has confidence 0. Without it, or without hits, the answer is extracted. Citations beyond the hits are dropped.
     """
+    hits = written(hits, "found")
     top = hits.groupBy("query_id").agg(F.count("*").alias("num_chunks"), F.max_by("score", -F.col("rank")).alias("top_score"))
     rows = planned.select("query_id", F.col("text").alias("query"), "query_type", "strategy").join(top, "query_id", "left").join(retrieval.context(hits, context_chars, context_hits), "query_id", "left")
     rows = rows.join(extract(hits), "query_id", "left").withColumns({"context": F.coalesce("context", F.lit(NO_CONTEXT)), "answer": F.coalesce("answer", F.lit(CANNOT)), "error": F.lit(None).cast("string")})
@@ -172,6 +174,7 @@ def checked(answers: DataFrame) -> DataFrame:
 
 def simple(planned: DataFrame, hits: DataFrame) -> DataFrame:
     """Answers without a model: ``(query_id, answer, citations, confidence)`` from the vector hits ``(query_id, rank, score, text, section_title, pages, source)`` as they are."""
+    hits = written(hits, "found")
     best = hits.where("rank = 1").select("query_id", F.col("score").alias("confidence"), F.col("text").alias("top"), F.coalesce("section_title", F.lit("N/A")).alias("title"))
     text = F.concat(
         F.lit("**Relevant Information:**\n\n"), F.substring("top", 1, 800), F.lit("...\n\n*This is a simple retrieval result. Enable LLM mode for comprehensive answers with citations.*\n\n**Top Match:** "),
