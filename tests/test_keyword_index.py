@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import answers, block_index, retrieval
+from textloom.operators import answers, block_index, retrieval, toc
 from textloom.plans import queries as plans
 
 #: Documents that share an id, of equal and of unequal lengths, and some of no id.
@@ -70,3 +70,9 @@ def test_hits_of_an_answer_are_worked_out_once(spark):
     hits = spark.range(3).select(F.lit(0).cast("long").alias("query_id"), (F.col("id") + 1).alias("rank"), F.lit(0.9).alias("score"), F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("p").alias("section_path"), F.array(F.lit(1)).alias("pages"))
     out = answers.answer(planned, hits)
     assert "Range" not in plan_of(out) and out.first()["num_chunks"] == 3
+
+
+def test_pages_of_documents_are_worked_out_once(spark):
+    pages = spark.range(3).select(F.lit(1).cast("long").alias("spec_id"), (F.col("id") + 1).alias("page_no"), F.lit("Contents\n2.1 Some heading here ...... 2").alias("text"))
+    out = toc.chunk_document(pages)
+    assert "Range (" not in plan_of(out) and out.count() > 0

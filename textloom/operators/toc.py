@@ -157,6 +157,7 @@ def chunk_document(pages: DataFrame, page_offset: int = 0) -> DataFrame:
     ``pages(spec_id, page_no, text)``; entry pages are ``page_offset`` below the page numbers. A document without a table of contents gives no rows; a section
     whose pages have no text has none either.
     """
+    pages = written(pages, "pages")  # read four times
     found = written(with_parents(first_of_each(entries(toc_pages(pages)))), "entries")
     last = pages.groupBy("spec_id").agg((F.max("page_no") - page_offset).cast("long").alias("last_page"))
     ranges = page_ranges(found, last)
